@@ -38,24 +38,29 @@ def ip4(c) -> Column:
 def ip6(c) -> Column:
     """IPv6 text -> 32 hex digits, null when it is not a valid address."""
     c = F.lower(_col(c))
-    tail = F.regexp_extract(c, r":([0-9.]+)$", 1)
-    quad = ip4(tail)
-    hexed = F.lpad(F.lower(F.hex(quad)), 8, "0")
-    s = F.when(tail.contains(".") & quad.isNotNull(),
-               F.concat(F.regexp_replace(c, r"[0-9.]+$", ""),
-                        F.substring(hexed, 1, 4), F.lit(":"), F.substring(hexed, 5, 4))
-               ).otherwise(c)
-    halves = F.split(s, "::")
-    left = F.filter(F.split(F.get(halves, F.lit(0)), ":"), lambda x: x != "")
-    right = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda x: x != "")
-    gap = F.lit(8) - F.size(left) - F.size(right)
-    groups = F.when(F.size(halves) == 2,
-                    F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-                    ).otherwise(F.split(s, ":"))
-    ok = (c.contains(":") & (F.size(halves) <= 2) & ~s.rlike(r"(^:[^:])|([^:]:$)|:::")
-          & (F.size(groups) == 8) & ((F.size(halves) == 1) | (gap >= 1))
-          & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")))
-    return F.when(ok, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+    def with_quad(q):
+        h = F.lpad(F.lower(F.hex(q)), 8, "0")
+        return F.when(q.isNotNull(), F.concat(F.regexp_replace(c, r"[0-9.]+$", ""), F.substring(h, 1, 4),
+                                              F.lit(":"), F.substring(h, 5, 4))).otherwise(c)
+
+    def filled(lr):
+        gap = F.lit(8) - F.size(lr["l"]) - F.size(lr["r"])
+        return F.when(gap >= 1, F.concat(lr["l"], F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), lr["r"])
+                      ).otherwise(F.array().cast("array<string>"))
+
+    def groups(h):
+        words = lambda i: F.filter(F.split(F.get(h, F.lit(i)), ":"), lambda x: x != "")
+        return (F.when(F.size(h) == 1, F.split(F.get(h, F.lit(0)), ":"))
+                .when(F.size(h) == 2, let(F.struct(words(0).alias("l"), words(1).alias("r")), filled)))
+
+    def render(g):
+        return F.when((F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")),
+                      F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))
+
+    text = F.when(c.contains("."), let(ip4(F.regexp_extract(c, r":([0-9.]+)$", 1)), with_quad)).otherwise(c)
+    return F.when(c.contains(":") & ~c.rlike(r"(^:[^:])|([^:]:$)|:::"),
+                  let(F.split(text, "::"), lambda h: let(groups(h), render)))
 
 
 def is_valid_ip(c) -> Column:

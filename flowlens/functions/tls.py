@@ -69,9 +69,9 @@ def byte_entropy(counts) -> Column:
 
 def _moments(a) -> Column:
     """STRUCT(n, mean, std) of an array, population deviation about the mean."""
-    return let(_sum(a) / F.size(a), lambda m: F.struct(
+    return let(F.try_divide(_sum(a), F.size(a)), lambda m: F.struct(
         F.size(a).alias("n"), m.alias("mean"),
-        F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a)).alias("std")))
+        F.sqrt(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)), F.size(a))).alias("std")))
 
 
 def splt_score(lengths, times) -> Column:
@@ -80,20 +80,20 @@ def splt_score(lengths, times) -> Column:
     tm = F.transform(F.coalesce(_col(times), F.array().cast("array<double>")), lambda x: x.cast("double"))
 
     def by_length(m):
-        cv = m["std"] / m["mean"]
+        cv = F.try_divide(m["std"], m["mean"])
         return (F.when((m["n"] < 5) | (m["mean"] <= 0), 0.0).when((cv < 0.05) & (m["mean"] < 500), 0.35)
                 .when((cv < 0.10) & (m["mean"] < 200), 0.20).otherwise(0.0))
 
     def by_time(m):
-        cv = m["std"] / m["mean"]
+        cv = F.try_divide(m["std"], m["mean"])
         return (F.when((m["n"] < 4) | (m["mean"] <= 0.1), 0.0).when((cv < 0.05) & (m["mean"] > 5), 0.30)
                 .when((cv < 0.15) & (m["mean"] > 10), 0.15).otherwise(0.0))
 
     def by_direction(a):
-        out_avg = _sum(F.filter(a, lambda x, i: i % 2 == 0)) / F.ceil(F.size(a) / 2)
-        in_avg = _sum(F.filter(a, lambda x, i: i % 2 == 1)) / F.floor(F.size(a) / 2)
+        out_avg = _sum(F.filter(a, lambda x, i: i % 2 == 0)) / F.greatest(F.ceil(F.size(a) / 2), F.lit(1))
+        in_avg = _sum(F.filter(a, lambda x, i: i % 2 == 1)) / F.greatest(F.floor(F.size(a) / 2), F.lit(1))
         return let(F.struct(out_avg.alias("o"), in_avg.alias("i")), lambda d: F.when(
-            (F.size(a) >= 6) & (d["o"] > 0) & (d["i"] > 0) & (d["o"] / d["i"] > 10) & (d["o"] > 1000), 0.25).otherwise(0.0))
+            (F.size(a) >= 6) & (d["o"] > 0) & (d["i"] > 0) & (F.try_divide(d["o"], d["i"]) > 10) & (d["o"] > 1000), 0.25).otherwise(0.0))
 
     def gaps(t):
         k = F.greatest(F.size(t) - 1, F.lit(0))

@@ -48,7 +48,6 @@ def sliding(df: DataFrame, *, key="src_ip", t="t_us", rid="flow_id", horizon_us:
                      F.col(t).cast("long").alias("_t"), F.col(rid).alias("_id"), *vals, *dcols,
                      payload.alias("_row"))
     kcols = [f"_k{i}" for i in range(len(keys))]
-    own = F.floor(F.col("_t") / bucket)
     own = (F.col("_t") - F.pmod(F.col("_t"), F.lit(bucket))) / bucket
     own = own.cast("long")
     spill = F.pmod(F.col("_t"), F.lit(bucket)) + H >= bucket
@@ -111,9 +110,9 @@ def sliding(df: DataFrame, *, key="src_ip", t="t_us", rid="flow_id", horizon_us:
 def gap_stats(n, s, sq) -> tuple[Column, Column]:
     """Mean and population deviation, in seconds, of integer microsecond gaps."""
     n, s, sq = (F.col(x).cast("decimal(20,0)") for x in (n, s, sq))
-    mean = F.when(n > 0, s.cast("double") / n.cast("double") / SECOND).otherwise(F.lit(0.0))
+    mean = F.coalesce(F.try_divide(s.cast("double"), n.cast("double") * SECOND), F.lit(0.0))
     var = (n * sq - s * s).cast("double")
-    std = F.when(n > 0, F.sqrt(var) / n.cast("double") / SECOND).otherwise(F.lit(0.0))
+    std = F.coalesce(F.try_divide(F.sqrt(var), n.cast("double") * SECOND), F.lit(0.0))
     return mean, std
 
 
@@ -122,23 +121,28 @@ def bucket_of(t, bucket_us: int) -> Column:
     return ((c - F.pmod(c, F.lit(bucket_us))) / bucket_us).cast("long")
 
 
-def running_totals(df: DataFrame, *, keys, sums: dict[str, Column], t="t_us", rid="flow_id",
-                   include_current: bool = True, bucket_us: int = 60 * SECOND) -> DataFrame:
-    """Append running sums per key in (t, rid) order."""
-    keys = _names(keys)
-    df = df.withColumn("_b", bucket_of(t, bucket_us))
-    for n, e in sums.items():
-        df = df.withColumn(f"_v_{n}", e)
-    part = df.groupBy(*keys, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums])
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    part = part.select(*keys, "_b", *[F.coalesce(F.sum(f"_p_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
-                                      for n in sums])
-    inside = W.partitionBy(*keys, "_b").orderBy(t, rid).rowsBetween(
-        W.unboundedPreceding, W.currentRow if include_current else -1)
-    out = df.join(part, [*keys, "_b"])
-    keep = [c for c in df.columns if c != "_b" and not c.startswith("_v_")]
-    return out.select(*keep, *[(F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))).alias(n)
-                               for n in sums])
+def running_totals(df: DataFrame, *, keys=None, sums: dict[str, Column] | None = None, specs=None,
+                   t="t_us", rid="flow_id", include_current: bool = True,
+                   bucket_us: int = 60 * SECOND) -> DataFrame:
+    """Append running sums per key in (t, rid) order.
+
+    `specs` is a list of (keys, sums) when several keys are needed at once; the input is
+    then read once for the rows and once per key for the bucket totals.
+    """
+    specs = specs or [(keys, sums)]
+    d = df.withColumn("_b", bucket_of(t, bucket_us))
+    out = d
+    for i, (ks, ss) in enumerate(specs):
+        ks = _names(ks)
+        part = d.groupBy(*ks, "_b").agg(*[F.sum(e).alias(n) for n, e in ss.items()])
+        before = W.partitionBy(*ks).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        part = part.select(*ks, "_b", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_o{i}_{n}") for n in ss])
+        inside = W.partitionBy(*ks, "_b").orderBy(t, rid).rowsBetween(
+            W.unboundedPreceding, W.currentRow if include_current else -1)
+        have = out.columns
+        out = out.join(part, [*ks, "_b"]).select(
+            *have, *[(F.col(f"_o{i}_{n}") + F.coalesce(F.sum(e).over(inside), F.lit(0))).alias(n) for n, e in ss.items()])
+    return out.drop("_b")
 
 
 def row_index(df: DataFrame, *, keys, name: str = "row_idx", **kw) -> DataFrame:

@@ -173,7 +173,7 @@ def with_views(sql: str, compress: int = 3600, extra: dict[str, str] | None = No
     ctes = {"flows": flows_sql(compress), "tls": TLS_SQL, "scored": SCORED_SQL, "alerts": ALERTS_SQL}
     ctes.update(extra or {})
     need, text = set(), sql
-    for _ in range(6):  # close over dependencies
+    for _ in range(20):  # close over dependencies
         for name, body in ctes.items():
             if name not in need and _mentions(text, name):
                 need.add(name)

@@ -359,9 +359,9 @@ _SP_T = "CASE WHEN flow_id % 4 = 0 THEN i * 12.0 WHEN flow_id % 4 = 1 THEN i * 1
  g AS (SELECT flow_id, t - lag(t) OVER (PARTITION BY flow_id ORDER BY i) AS gap FROM a),
  ls AS (SELECT flow_id, avg(l) m, stddev_pop(l) s, avg(l) FILTER (i % 2 = 0) oa, avg(l) FILTER (i % 2 = 1) ia FROM a GROUP BY flow_id),
  gs AS (SELECT flow_id, count(*) n, avg(gap) m, stddev_pop(gap) s FROM g WHERE gap > 0 GROUP BY flow_id)
- SELECT ls.flow_id, round(least(CASE WHEN ls.s/ls.m < 0.05 AND ls.m < 500 THEN 0.35 WHEN ls.s/ls.m < 0.10 AND ls.m < 200 THEN 0.20 ELSE 0 END
+ SELECT ls.flow_id, round(CAST(least(CASE WHEN ls.s/ls.m < 0.05 AND ls.m < 500 THEN 0.35 WHEN ls.s/ls.m < 0.10 AND ls.m < 200 THEN 0.20 ELSE 0 END
   + CASE WHEN gs.n >= 4 AND gs.m > 0.1 THEN CASE WHEN gs.s/gs.m < 0.05 AND gs.m > 5 THEN 0.30 WHEN gs.s/gs.m < 0.15 AND gs.m > 10 THEN 0.15 ELSE 0 END ELSE 0 END
-  + CASE WHEN oa > 0 AND ia > 0 AND oa/ia > 10 AND oa > 1000 THEN 0.25 ELSE 0 END, 0.5), 6) + 0.0 AS score FROM ls LEFT JOIN gs USING (flow_id)"""))
+  + CASE WHEN oa > 0 AND ia > 0 AND oa/ia > 10 AND oa > 1000 THEN 0.25 ELSE 0 END, 0.5) AS DOUBLE), 6) + 0.0 AS score FROM ls LEFT JOIN gs USING (flow_id)"""))
 def _(spark, sf):
     d = flows(spark, sf).select("flow_id", F.expr(f"transform(sequence(0, 7), i -> CAST({_SP_L} AS DOUBLE))").alias("ln"),
                                 F.expr(f"transform(sequence(0, 7), i -> CAST({_SP_T} AS DOUBLE))").alias("tm"))
