@@ -28,7 +28,7 @@ def _(spark, sf):
     return flows(spark, sf).transform(Wn.host_rolling_60s).select("flow_id", *V.HOST_AGGREGATES)
 
 
-@query("agg_cold_start_median", with_views("SELECT " + ", ".join(f"round(median({c}), 6) + 0.0 AS {c}" for c in V.HOST_AGGREGATES) + f" FROM ({HOST_SQL})"))
+@query("agg_cold_start_median", with_views("SELECT " + ", ".join(f"round(median({c}), 6) + 0.0 AS {c}" for c in V.HOST_AGGREGATES) + " FROM (" + HOST_SQL.replace("round(", "(").replace(", 6) + 0.0", ")") + ")"))
 def _(spark, sf):
     return flows(spark, sf).transform(Wn.host_rolling_60s).agg(*[F.median(c).alias(c) for c in V.HOST_AGGREGATES])
 
