@@ -214,9 +214,9 @@ def temporal_ratio_60s(df: DataFrame, *, window_us: int = MINUTE, max_rows: int
     ranks = {f"_r{r}": F.when(att & (F.col("severity") == s), 1).otherwise(0)
              for s, r in V.SEVERITY_RANK.items() if r > 0}
     w = sliding(df, horizon_us=window_us, closed=True, max_rows=max_rows,
-                sums={"_att": F.when(att, 1).otherwise(0), **ranks})
+                sums={"_tatt": F.when(att, 1).otherwise(0), **ranks})
     top = F.coalesce(*[F.when(F.col(f"_r{r}") > 0, F.lit(r)) for r in (4, 3, 2, 1)], F.lit(0))
-    ratio = F.col("_att") / F.col("win_n")
+    ratio = F.col("_tatt") / F.col("win_n")
     sure = (F.col("severity") == "CRITICAL") & (F.col("confidence") > 0.95)
     alert = (F.when(~att, (ratio > 0.50) & (top >= 3)).when(sure, True).when(ratio >= alert_ratio, True)
              .when(F.col("win_n") < 5, F.col("confidence") > 0.85).otherwise(False))
@@ -224,7 +224,7 @@ def temporal_ratio_60s(df: DataFrame, *, window_us: int = MINUTE, max_rows: int
     sev = (F.when(~att, F.when((ratio > 0.50) & (top >= 3), name).otherwise("BENIGN")).when(sure, "CRITICAL")
            .when((ratio >= alert_ratio) | (F.col("win_n") < 5), F.col("severity")).otherwise("BENIGN"))
     return w.withColumns({"window_n": F.col("win_n"), "window_ratio": ratio, "temporal_alert": alert,
-                          "effective_severity": sev}).drop("win_n", "_att", *ranks)
+                          "effective_severity": sev}).drop("win_n", "_tatt", *ranks)
 
 
 # ── long-term baselines ──────────────────────────────────────────────────────
