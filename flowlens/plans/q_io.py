@@ -29,7 +29,7 @@ def text_file(df, name):
 @query("src_zeek_tsv", vw("SELECT uid, orig_h AS src_ip, orig_p AS src_port, proto, history, resp_ip_bytes FROM conn"))
 def _(spark, sf):
     path = scratch_path(spark, "conn-log")
-    zeek.write_zeek(conn(spark, sf).select(*zeek.CONN), path, "conn")
+    zeek.write_zeek(conn(spark, sf).select(*[F.col(f"`{c}`") for c in zeek.CONN]), path, "conn")
     d = zeek.src_zeek_tsv(spark, path)
     return d.select("uid", F.col("`id.orig_h`").alias("src_ip"), F.col("`id.orig_p`").cast("long").alias("src_port"), "proto", "history", F.col("resp_ip_bytes").cast("long"))
 
