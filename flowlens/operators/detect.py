@@ -299,7 +299,8 @@ def peer_deviation(df: DataFrame, baseline: DataFrame, *, group="department") ->
     stats = [c for c in b.columns if c.startswith(("mean_", "std_"))]
     d = df.join(b.select(group, *[F.col(c).alias("_" + c) for c in stats]), group, "left")
     z = {m: _peer_z(F.col(m), F.col(f"_mean_{m}"), F.col(f"_std_{m}")) for m in ("fpm", "unique_dst", "bytes_per_flow", "send_ratio")}
-    d = d.withColumns({f"_z_{m}": e for m, e in z.items()})
+    # noise in the last digits must not decide a threshold (one outlier in ten has z = 3 exactly)
+    d = d.withColumns({f"_z_{m}": F.round(e, 9) for m, e in z.items()})
     step = lambda m, hi, lo: F.when(F.col(f"_z_{m}") >= 5.0, hi).when(F.col(f"_z_{m}") >= 3.0, lo).otherwise(0.0)
     ratio = (F.when((F.col("_z_send_ratio") >= 4.0) & (F.col("send_ratio") > 0.80), 0.30).when(F.col("_z_send_ratio") >= 3.0, 0.10).otherwise(0.0))
     parts = [step("fpm", 0.35, 0.20), step("unique_dst", 0.30, 0.15), step("bytes_per_flow", 0.25, 0.10), ratio]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions import scores as S
 from flowlens.operators import detect as D, features as X, filters as Fl, joins as J, output as O, windows as Wn
+from flowlens.session import cut
 
 
 def enrich(df: DataFrame, dims: dict) -> DataFrame:
@@ -27,7 +28,8 @@ def cascade(df: DataFrame, dims: dict, *, probability, family: str = "family", u
     `probability` is a column: the calibrated attack probability of the model stage.
     """
     d = enrich(df, dims)
-    d = D.eta_score(d, bad_ja3=dims["bad_ja3_names"]).transform(D.intel_gate)
+    # the gated table feeds several keyed windows: write it once instead of recomputing its joins
+    d = cut(D.eta_score(d, bad_ja3=dims["bad_ja3_names"]).transform(D.intel_gate), "gated")
     now = O.immediate_alert(d)
     d = d.filter("gate_action = 'CONTINUE'").withColumns({"p": F.round(probability, 6), "rule_score": F.lit(0.0)})
     d = D.ml_result(d, family=family).transform(D.apply_intel_boost)

@@ -161,7 +161,7 @@ named("vpn_authorized", "SELECT flow_id, CAST(src_ip IN ('192.168.10.10', '192.1
       lambda spark, sf: identified(spark, sf).select("flow_id", D.vpn_authorized().cast("int").alias("ok")), extra=IDENT)
 
 # ── peers and behaviour ──────────────────────────────────────────────────────
-_z = lambda m: f"CASE WHEN std_{m} < 0.01 THEN CASE WHEN abs({m} - mean_{m}) < 0.01 THEN 0 ELSE 10 END ELSE abs({m} - mean_{m}) / std_{m} END"
+_z = lambda m: f"round(CASE WHEN std_{m} < 0.01 THEN CASE WHEN abs({m} - mean_{m}) < 0.01 THEN 0 ELSE 10 END ELSE abs({m} - mean_{m}) / std_{m} END, 9)"
 PDX = {**PEERX, "emd": "SELECT *, " + __import__("flowlens.plans.q_windows", fromlist=["DEPT_SQL"]).DEPT_SQL + " AS department FROM em",
        "pz": "SELECT emd.*, p.mean_fpm IS NOT NULL AND fpm IS NOT NULL AS known, " + ", ".join(f"{_z(m)} AS z_{m}" for m in A.PEER) + " FROM emd LEFT JOIN (SELECT * FROM peerm WHERE is_ready) p USING (department)",
        "pdev": """SELECT *, CASE WHEN known THEN least(CASE WHEN z_fpm >= 5 THEN 0.35 WHEN z_fpm >= 3 THEN 0.20 ELSE 0 END + CASE WHEN z_unique_dst >= 5 THEN 0.30 WHEN z_unique_dst >= 3 THEN 0.15 ELSE 0 END + CASE WHEN z_bytes_per_flow >= 5 THEN 0.25 WHEN z_bytes_per_flow >= 3 THEN 0.10 ELSE 0 END
