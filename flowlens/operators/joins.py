@@ -244,22 +244,35 @@ def match_fp_pattern(alerts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Append fp_action: 'suppress', 'downgrade' or null.
 
     The first pattern (by id) with confidence >= 0.5 that fits decides; an empty field fits
-    anything. Patterns of one shape (which fields are set, how long the address prefixes
-    are) match by equality, so there is one equality join per distinct shape.
+    anything. Patterns of one shape (which fields are set, how many labels the address
+    prefixes have) match by equality, so there is one equality join per distinct shape.
     """
     p = patterns.filter(F.col("confidence") >= 0.5).select(
         F.coalesce("attack_type", F.lit("")).alias("_a"), _prefix("src_pattern").alias("_s"), _prefix("dst_pattern").alias("_d"),
         F.coalesce("dst_port", F.lit(0)).cast("long").alias("_p"),
         F.struct("id", F.when(F.col("confidence") >= 0.8, "suppress").otherwise("downgrade").alias("act")).alias("_r"))
-    p = p.withColumn("_shape", F.struct((F.col("_a") != "").alias("a"), F.length("_s").alias("s"), F.length("_d").alias("d"), (F.col("_p") != 0).alias("p")))
-    # field-set and prefix-length combinations: a handful, whatever the number of patterns
+    # a prefix that ends at a dot is cut by its number of labels, any other by its length
+    dots = lambda c: F.when((F.col(c) == "") | F.col(c).endswith("."), F.length(F.regexp_replace(c, "[^.]", ""))).otherwise(-1)
+    size = lambda c: F.when(dots(c) < 0, F.length(c)).otherwise(0)
+    p = p.withColumn("_shape", F.struct((F.col("_a") != "").alias("a"), dots("_s").alias("sd"), size("_s").alias("sl"),
+                                        dots("_d").alias("dd"), size("_d").alias("dl"), (F.col("_p") != 0).alias("p")))
+
+    def head(ip, n, length):
+        if n == 0:
+            return F.lit("")
+        key = F.concat(F.substring_index(ip, ".", n), F.lit(".")) if n > 0 else F.substring(ip, 1, length)
+        return F.when(F.startswith(F.col(ip), key), key)
+
+    # field sets and label counts: at most 64 combinations for dotted prefixes, usually about four
     shapes = [r[0] for r in p.select("_shape").distinct().collect()]
     out, found = alerts, []
     for i, s in enumerate(shapes):
-        side = p.filter((F.col("_shape.a") == s["a"]) & (F.col("_shape.s") == s["s"]) & (F.col("_shape.d") == s["d"])
-                        & (F.col("_shape.p") == s["p"])).groupBy("_a", "_s", "_d", "_p").agg(F.min("_r").alias(f"_r{i}"))
-        keys = {"_a": F.col("attack_type") if s["a"] else F.lit(""), "_s": F.substring("src_ip", 1, s["s"]),
-                "_d": F.substring("dst_ip", 1, s["d"]), "_p": F.col("dst_port").cast("long") if s["p"] else F.lit(0).cast("long")}
+        same = F.lit(True)
+        for f in ("a", "sd", "sl", "dd", "dl", "p"):
+            same = same & (F.col(f"_shape.{f}") == s[f])
+        side = p.filter(same).groupBy("_a", "_s", "_d", "_p").agg(F.min("_r").alias(f"_r{i}"))
+        keys = {"_a": F.col("attack_type") if s["a"] else F.lit(""), "_s": head("src_ip", s["sd"], s["sl"]), "_d": head("dst_ip", s["dd"], s["dl"]),
+                "_p": F.col("dst_port").cast("long") if s["p"] else F.lit(0).cast("long")}
         out = out.withColumns(keys).join(side, list(keys), "left").drop(*keys)
         found.append(F.col(f"_r{i}"))
     act = F.array_min(F.array(*found))["act"] if found else F.lit(None).cast("string")

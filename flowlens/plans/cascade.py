@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens import values as V
 from flowlens.functions import scores as S
 from flowlens.operators import detect as D, features as X, filters as Fl, joins as J, output as O, windows as Wn
 from flowlens.session import cut
@@ -35,7 +36,12 @@ def cascade(df: DataFrame, dims: dict, *, probability, family: str = "family", u
     d = D.ml_result(d, family=family).transform(D.apply_intel_boost)
     first_ip = F.get(F.filter("threat_hits", lambda h: (h["type"] == "ip") & (h["direction"] == "dst")), F.lit(0))
     d = D.policy_eval(d.withColumn("dst_category", first_ip["category"]))
-    d = X.ueba_metrics(d).transform(Wn.ueba_running_z).transform(D.ueba_long_result, active=ueba_active, holidays=holidays)
+    # only what the behaviour layers and the alert rows need goes on
+    d = cut(X.ueba_metrics(d).select(
+        "flow_id", "t_us", "ts", "src_ip", "dst_ip", "dst_port", "department", "total_bytes", "fwd_bytes", *V.UEBA_METRICS,
+        "is_attack", "ml_score", "ml_type", "ml_severity", "ml_source", "rule_score", "eta_score", "eta_pure", "eta_anomaly_count",
+        "ti_boost", "ti_severity", "violation", "policy_severity", "policy_category", "policy_reasons"), "judged")
+    d = d.transform(Wn.ueba_running_z).transform(D.ueba_long_result, active=ueba_active, holidays=holidays)
     d = Wn.entity_metrics_60s(d)
     peers = dims.get("peer_baseline")
     if peers is not None:
