@@ -420,7 +420,7 @@ def _(spark, sf):
 
 @query("score_stage1_48", with_views(f"SELECT flow_id, p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS is_attack, CASE WHEN p >= 0.5 THEN {ladder_sql('p', 'phase3')} ELSE 'BENIGN' END AS severity FROM (SELECT flow_id, {sql_round({'p': fused_sql(temperature=1.3, eps='1e-7')})} FROM flows)"))
 def _(spark, sf):
-    d = flows(spark, sf).select("flow_id", F.round(S.score_stage1(["p1", "p2", "p3"], temperature=1.3, eps=1e-7), 6).alias("p"))
+    d = flows(spark, sf).select("flow_id", F.round(S.score_stage1(["p1", "p2", "p3"], temperature=1.3, eps=1e-7) + 1e-9, 6).alias("p"))
     return d.select("flow_id", "p", (F.col("p") >= 0.5).cast("int").alias("is_attack"),
                     F.when(F.col("p") >= 0.5, S.severity_of("p", "phase3")).otherwise("BENIGN").alias("severity"))
 
