@@ -7,6 +7,7 @@ suffix matches are turned into equality joins on the part of the key that must b
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowlens import values as V
@@ -16,8 +17,10 @@ from flowlens.operators.segments import SECOND, bucket_of
 
 
 def frame(spark, rows, schema: str) -> DataFrame:
-    """A table from the fixed values."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small table from given rows. Built from Arrow data it is a local relation, so Spark
+    knows its size when it chooses the join."""
+    names = [f.split()[0] for f in schema.split(",")]
+    return spark.createDataFrame(pd.DataFrame([tuple(r) for r in rows], columns=names), schema)
 
 
 # ── logs ─────────────────────────────────────────────────────────────────────

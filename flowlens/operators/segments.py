@@ -58,6 +58,8 @@ def sliding(df: DataFrame, *, key="src_ip", t="t_us", rid="flow_id", horizon_us:
             .withColumn("_b", F.col("_c.b"))
             .withColumn("_row", F.when(F.col("_c.own"), F.col("_row"))).drop("_c"))
     part = kcols + ["_b"]
+    # one exchange serves all windows below, also those that add a distinct column to the key
+    base = base.repartition(*part)
     byrow = W.partitionBy(*part).orderBy("_t", "_id")
     gone = (lambda older, now: older < now - H) if closed else (lambda older, now: older <= now - H)
     enter, leave = {"_n": F.lit(1)}, {"_n": F.lit(-1)}

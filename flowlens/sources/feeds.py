@@ -61,7 +61,7 @@ def src_dimensions(spark, *, identity_json: str | None = None) -> dict[str, Data
         rows = [(ip, d.get("hostname", ""), d.get("mac", ""), d.get("type", "unknown"), d.get("department", "Unknown"), d.get("owner", ""),
                  d.get("priority", "medium"), bool(d.get("trusted", False))) for ip, d in cfg.get("devices", {}).items()]
     return {
-        "devices": spark.createDataFrame(rows, devices),
+        "devices": frame(spark, rows, devices),
         "subnets": frame(spark, subnets.items(), "cidr string, department string"),
         "sensitivity": frame(spark, [(k, *v) for k, v in V.DEPARTMENT_SENSITIVITY.items()], "department string, level string, data_class string, escalate boolean"),
         "vlans": frame(spark, [(i, *v) for i, v in enumerate(V.VLANS)], "ord int, vlan string, department string, priority string, cidr string"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.operators.joins import frame
 from flowlens.operators.output import shape_alerts
 from flowlens.operators.setops import latest_wins
 from flowlens.session import scratch_path
@@ -59,7 +60,7 @@ def snk_feed_state(iocs: DataFrame, *, updated_us: int) -> DataFrame:
 def feeds_due(state: DataFrame, feeds: dict, *, now_us: int) -> DataFrame:
     """Enabled feeds whose last update is at least their interval ago (or never)."""
     spark = state.sparkSession
-    dim = spark.createDataFrame([(n, f[3]) for n, f in feeds.items() if f[4]], "feed string, update_hours int")
+    dim = frame(spark, [(n, f[3]) for n, f in feeds.items() if f[4]], "feed string, update_hours int")
     d = dim.join(state.select("feed", "last_updated_us"), "feed", "left")
     return d.filter((F.lit(now_us) - F.coalesce("last_updated_us", F.lit(0))) >= F.col("update_hours").cast("long") * F.lit(3_600_000_000)).select("feed", "update_hours")
 
