@@ -14,6 +14,7 @@ RATE = 20.0  # rate of the exponential variates: keeps levels above zero for any
 LEVELS = 65534
 ROWS, BANDS = 5, 30  # registers in a band, bands
 M = ROWS * BANDS
+PARITY = 1024  # bits of the parity sketch
 TILE = 256  # documents of a bucket that are compared with so many others at a time
 _RNG = np.random.default_rng(0xB0B)
 MULTIPLY = (_RNG.integers(0, 1 << 31, M, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -38,6 +39,18 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return levels(low)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of hashes falls on i. Two sets differ in at least as many elements as bits."""
+    return np.packbits((np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """False where the parity sketches or the sizes prove 100 * intersection < percent * union. Never false for a link."""
+    apart = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+    apart = np.maximum(apart, np.abs(na - nb))
+    return apart * (100 + percent) <= (100 - percent) * (na + nb)
+
+
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
@@ -76,43 +89,51 @@ def least_estimate(threshold: float) -> float:
     return threshold - 4.5 * float(np.sqrt(threshold * (1 - threshold) / M))
 
 
-def registers_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, M)
+def registers_of(column: pa.Array, kind=np.uint16, width: int = M) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def parities_of(column: pa.Array) -> np.ndarray:
+    return registers_of(column, np.uint64, PARITY // 64)
 
 
 def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, k1, k2, registers) of each row: set size, 128 bits that name the set, and its sketch."""
+    """(id, n, k1, k2, registers, odd) of each row: set size, 128 bits that name the set, its registers and parity sketch."""
 
     def run(batch):
-        n, k1, k2, reg = [], [], [], []
+        n, k1, k2, reg, odd = [], [], [], [], []
         for s in spans.shingle_sets(batch.column(1), k):
             n.append(len(s))
             k1.append(int(s.sum().astype(np.uint64).view(np.int64)) if len(s) else 0)
             k2.append(int(spans.mix(s * spans.ODD[50]).sum().astype(np.uint64).view(np.int64)) if len(s) else 0)
             reg.append(sketch(s).tobytes() if len(s) else b"")
+            odd.append(parity(s).tobytes())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                                           pa.array(reg, pa.binary())], ["id", "n", "k1", "k2", "registers"])
+                                           pa.array(reg, pa.binary()), pa.array(odd, pa.binary())], ["id", "n", "k1", "k2", "registers", "odd"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return arrow(rows, run, "id long, n long, k1 long, k2 long, registers binary")
+    return arrow(rows, run, "id long, n long, k1 long, k2 long, registers binary, odd binary")
 
 
-def estimated(pairs: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose likelihood estimate may still reach the threshold, with the estimate."""
-    least = least_estimate(threshold)
+def estimated(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may still reach the threshold, with the likelihood estimate."""
+    least = least_estimate(percent / 100)
 
     def run(batch):
         if not batch.num_rows:
             return None
-        ra, rb = registers_of(batch.column(2)), registers_of(batch.column(4))
-        na, nb = (batch.column(i).to_numpy().astype(float) for i in (3, 5))
-        est = likelihood_jaccard((ra > rb).sum(1), (ra < rb).sum(1), na, nb)
+        na, nb = batch.column(3).to_numpy(), batch.column(6).to_numpy()
+        at = pa.array(np.flatnonzero(may_reach(parities_of(batch.column(4)), parities_of(batch.column(7)), na, nb, percent)))
+        batch = batch.take(at)
+        ra, rb = registers_of(batch.column(2)), registers_of(batch.column(5))
+        est = likelihood_jaccard((ra > rb).sum(1), (ra < rb).sum(1), na[at].astype(float), nb[at].astype(float))
         at = np.flatnonzero(est >= least)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(est[at])], ["a", "b", "estimate"])
 
-    left = regs.select(F.col("id").alias("a"), F.col("registers").alias("ra"), F.col("n").alias("na"))
-    right = regs.select(F.col("id").alias("b"), F.col("registers").alias("rb"), F.col("n").alias("nb"))
-    full = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ra", "na", "rb", "nb")
+    def side(name):
+        return regs.select(F.col("id").alias(name), F.col("registers").alias("r" + name), F.col("n").alias("n" + name), F.col("odd").alias("o" + name))
+
+    full = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "na", "oa", "rb", "nb", "ob")
     return arrow(full, run, "a long, b long, estimate double")
 
 
@@ -145,7 +166,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: st
     return arrow(full.select("a", "b", "sa", "sb"), run, "a long, b long").distinct()
 
 
-def cross_pairs(hot: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
+def cross_pairs(hot: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
     """Pairs of documents that share a bucket but no component, and whose estimate may reach the threshold.
 
     hot: (key, band, id, component). A bucket is cut into blocks of about TILE documents, and each pair of blocks is
@@ -157,27 +178,29 @@ def cross_pairs(hot: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
     tiles = (hot.join(open_keys, "key").withColumn("block", block)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "id", "component")
-             .join(regs.select("id", "registers", "n"), "id"))
-    tiles = tiles.select("key", "i", "j", "block", "band", "id", "component", "registers", "n").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    least = least_estimate(threshold)
+             .join(regs.select("id", "registers", "n", "odd"), "id"))
+    tiles = tiles.select("key", "i", "j", "block", "band", "id", "component", "registers", "n", "odd").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    least = least_estimate(percent / 100)
 
     def compare(rows: pa.Table):
         """All pairs of one tile."""
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        regs_, block_ = registers_of(rows.column("registers").combine_chunks()), rows.column("block").to_numpy()
+        regs_, odd, block_ = registers_of(rows.column("registers").combine_chunks()), parities_of(rows.column("odd").combine_chunks()), rows.column("block").to_numpy()
         ids, comp, n = (rows.column(c).to_numpy() for c in ("id", "component", "n"))
         band = rows.column("band")[0].as_py()
-        for x in range(len(ids)):
-            ys = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & ((block_ != block_[x]) if i != j else True))
-            if not len(ys):
-                continue
-            same = (regs_[ys].reshape(-1, BANDS, ROWS) == regs_[x].reshape(BANDS, ROWS)).all(2)
-            ys = ys[same.argmax(1) == band]
-            if not len(ys):
-                continue
-            est = likelihood_jaccard((regs_[ys] < regs_[x]).sum(1), (regs_[ys] > regs_[x]).sum(1), np.full(len(ys), float(n[x])), n[ys].astype(float))
-            for y in ys[est >= least]:
-                yield int(ids[x]), int(ids[y])
+        for at in range(0, len(ids), 64):
+            some = slice(at, at + 64)
+            fits = (comp != comp[some, None]) & (ids > ids[some, None]) & may_reach(odd, odd[some, None], n, n[some, None], percent)
+            if i != j:
+                fits &= block_ != block_[some, None]
+            x, y = np.nonzero(fits)
+            x += at
+            same = (regs_[x].reshape(-1, BANDS, ROWS) == regs_[y].reshape(-1, BANDS, ROWS)).all(2)
+            first = same.argmax(1) == band
+            x, y = x[first], y[first]
+            est = likelihood_jaccard((regs_[x] > regs_[y]).sum(1), (regs_[x] < regs_[y]).sum(1), n[x].astype(float), n[y].astype(float))
+            good = est >= least
+            yield from zip(ids[x[good]].tolist(), ids[y[good]].tolist(), strict=True)
 
     def run(batches):
         rest = None
@@ -213,12 +236,11 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sets. Rows without words have n = 0 and stay alone; rows without id have component null; rows that repeat an id
     are one document with the links of all its texts.
     """
-    t = percent / 100
     sk = keep(sketches(docs, k, id_col, text_col), "sketches")
     full = sk.where("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
+    classes = keep(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes", 10000)
     members = keep(full.select("id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("id", "rep"), "members", 10000)
-    regs = keep(full.join(classes, ["k1", "k2", "n"]).where("id = rep").groupBy("id", "n").agg(F.first("registers").alias("registers")), "registers")
+    regs = keep(full.join(classes, ["k1", "k2", "n"]).where("id = rep").dropDuplicates(["id", "n"]).select("id", "n", "registers", "odd"), "registers")
 
     def bands(batch):
         if not batch.num_rows:
@@ -231,13 +253,13 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pivots = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").select("key", "pivot")
     hot = keep(banded.join(pivots, "key"), "buckets", 10000)
     star = hot.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    best = estimated(star, regs, t).groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
+    best = estimated(star, regs, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     first = keep(verified(best, docs, k, percent, id_col, text_col, "star"), "links", 10000)
     again = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a")
     repeated = members.join(again, "id").select("a", F.col("rep").alias("b"))
     label = components(first.union(repeated))
     labelled = hot.join(label, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    second = verified(cross_pairs(labelled, regs, t), docs, k, percent, id_col, text_col, "cross")
+    second = verified(cross_pairs(labelled, regs, percent), docs, k, percent, id_col, text_col, "cross")
     relabelled = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))
     found = members.join(relabelled.select(F.col("id").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     return sk.select("id", "n").join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
