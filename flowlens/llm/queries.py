@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import setsketch
+from flowlens.llm import decontaminate, edit_join, setsketch
 from flowlens.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,44 @@ def op6(spark, sf_dir):
     """Near-duplicate components of all documents: 3-word shingles, similarity of 0.85."""
     out = setsketch.near_components(table(spark, sf_dir, "documents"), k=3, percent=85)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+OP5_SQL = """
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM t),
+u AS (SELECT * FROM l WHERE strlen(line) >= 20),
+c AS (SELECT line, strlen(line) AS n, min({'d': doc_id, 'l': line_no}) AS at FROM u GROUP BY 1),
+k AS (SELECT a.line, b.at AS other FROM c a JOIN c b ON b.n IN (a.n - 2, a.n - 1, a.n, a.n + 1, a.n + 2) AND a.line <> b.line
+      AND levenshtein(a.line, b.line) <= 2),
+g AS (SELECT line, count(*) AS n_links, min(other) AS earliest FROM k GROUP BY 1)
+SELECT u.doc_id, CAST(u.line_no AS INTEGER) AS line_no, c.at.d AS class_doc_id, CAST(c.at.l AS INTEGER) AS class_line_no,
+       coalesce(g.n_links, 0) AS n_links, (u.doc_id = c.at.d AND u.line_no = c.at.l AND (g.earliest IS NULL OR g.earliest > c.at)) AS kept
+FROM u JOIN c USING (line) LEFT JOIN g USING (line)
+"""
+
+
+@query("op5_line_edit_join", OP5_SQL)
+def op5(spark, sf_dir):
+    """Every line of all documents: the first place of its text, links to other texts within two edits, and whether it stays."""
+    return edit_join.line_verdicts(table(spark, sf_dir, "documents")).drop("h1", "h2")
+
+
+OP10_SQL = f"""
+WITH it AS (SELECT item_id, regexp_extract_all(lower(text), {WORD}) AS ws FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), {WORD}) AS ws FROM documents),
+ig AS (SELECT item_id, len(ws) AS w, unnest(range(len(ws) - 4)) AS o, unnest([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) AS g FROM it),
+dg AS (SELECT doc_id, len(ws) AS n, unnest(range(len(ws) - 4)) AS p, unnest([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) AS g FROM d WHERE len(ws) >= 5),
+win AS (SELECT DISTINCT doc_id, item_id, w, n, greatest(0, least(p - o, n - w)) AS s FROM dg JOIN ig USING (g)),
+wg AS (SELECT win.doc_id, item_id, s, dg.g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.p BETWEEN s AND s + w - 5 GROUP BY ALL),
+ic AS (SELECT item_id, g, count(*) AS c FROM ig GROUP BY ALL),
+sh AS (SELECT wg.doc_id, wg.item_id, s, CAST(sum(wg.c) AS BIGINT) AS nw, CAST(sum(least(wg.c, coalesce(ic.c, 0))) AS BIGINT) AS k FROM wg LEFT JOIN ic ON ic.item_id = wg.item_id AND ic.g = wg.g GROUP BY ALL),
+ni AS (SELECT item_id, CAST(sum(c) AS BIGINT) AS ni FROM ic GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS windows, max({{'k': k, 'nw': nw}}).k AS best_shared, max({{'k': k, 'nw': nw}}).nw AS window_shingles, any_value(ni) AS item_shingles
+FROM sh JOIN ni USING (item_id) WHERE 100 * k >= 80 * (nw + ni - k) GROUP BY doc_id, item_id
+"""
+
+
+@query("op10_simhash_decontamination", OP10_SQL)
+def op10(spark, sf_dir):
+    """Documents and benchmark items with a similar window, over all documents and items."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
