@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontaminate, edit_join, setsketch
+from flowlens.llm import decontaminate, edit_join, setsketch, sp_tokenizer, token_files, toxicity
 from flowlens.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,34 @@ FROM sh JOIN ni USING (item_id) WHERE 100 * k >= 80 * (nw + ni - k) GROUP BY doc
 def op10(spark, sf_dir):
     """Documents and benchmark items with a similar window, over all documents and items."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SP_MODEL = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
+END_ID = 2
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_sentencepiece")
+def op7(spark, sf_dir):
+    """Ids of every document by the rebuilt SentencePiece tokenizer, with parity against the original library."""
+    return sp_tokenizer.digests(table(spark, sf_dir, "documents"), tokenizer(SP_MODEL))
+
+
+@query("op8_nnpu_toxicity")
+def op8(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.scored(docs.select("doc_id", "text"), toxicity.train(docs, labels))
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_token_files")
+def op9(spark, sf_dir):
+    """Start, length and checksum of every document in the token files."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE), END_ID)

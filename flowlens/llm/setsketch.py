@@ -15,7 +15,7 @@ LEVELS = 65534
 ROWS, BANDS = 5, 30  # registers in a band, bands
 M = ROWS * BANDS
 PARITY = 1024  # bits of the parity sketch
-TILE = 256  # documents of a bucket that are compared with so many others at a time
+TILE = 1024  # documents of a bucket that are compared with so many others at a time: under 1 MB a side
 _RNG = np.random.default_rng(0xB0B)
 MULTIPLY = (_RNG.integers(0, 1 << 31, M, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, M, dtype=np.uint32)

@@ -2,21 +2,25 @@
 
 The model file is read field by field from its protobuf wire format; the normaliser, the metaspace marker, the model
 (unigram scores, or the merges that BPE scores imply) and byte fallback are rebuilt as a `tokenizers.Tokenizer`.
-`Parity` compares that tokenizer with the original library. Spark operators on top are at the end.
+`Codec` encodes and decodes batches and compares both with the original library. Spark operators on top are at the end.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext  # noqa: F401  (the functions below run inside Spark tasks)
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.llm.chunks import ChunkCache
+from flowlens.llm.tables import arrow
+
 MARK = "▁"
 # Piece types and model types of the SentencePiece protobuf: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -124,8 +128,8 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in found]
 
 
-def build(data: bytes):
-    """A `tokenizers.Tokenizer` that encodes and decodes as the model file says."""
+def build(data: bytes, bare: bool = False):
+    """A `tokenizers.Tokenizer` that encodes and decodes as the model file says; bare: the model alone, for normalised pieces."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     m = SpModel.parse(data)
@@ -138,6 +142,9 @@ def build(data: bytes):
     else:
         raise ValueError(f"model type {m.model_type} is neither unigram nor BPE")
     tok = Tokenizer(model)
+    if bare:
+        tok.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+        return tok
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -151,3 +158,90 @@ def build(data: bytes):
     tail = [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
     tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
     return tok
+
+
+class Codec:
+    """Encodes and decodes batches of texts with the tokenizers library, and says for each text whether
+
+    the ids are those of the sentencepiece library and the decoded ids are the normalised text. If no piece runs from
+    other characters into a marker, texts are cut before runs of markers, and every different part is encoded, decoded
+    and compared once while the cache holds it; a text is in parity if all its parts are. Otherwise whole texts are.
+    """
+
+    def __init__(self, data: bytes):
+        import sentencepiece
+
+        self.model = SpModel.parse(data)
+        self.tok = build(data)
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+        m = self.model
+        self.by_part = m.splittable and m.escape and m.dummy_prefix and not m.squeeze and not m.charsmap
+        self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.bare = build(data, bare=True) if self.by_part else None
+        self.cache = ChunkCache(self.parts_encoded)
+
+    def parts_encoded(self, parts: list[str]):
+        ids = [e.ids for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
+        want = self.sp.encode([p.replace(MARK, " ")[1:] for p in parts], num_threads=1)
+        back = self.bare.decode_batch(ids, skip_special_tokens=False)
+        return ids, [i == w and b == p for i, w, b, p in zip(ids, want, back, parts, strict=True)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of texts, parity of texts)."""
+        if self.by_part:
+            cut = [self.part.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+            return self.cache.encode(cut)
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        want = self.sp.encode(texts, num_threads=1)
+        back = self.decode(ids)
+        good = [i == w and b == self.sp.decode(w) for i, w, b in zip(ids, want, back, strict=True)]
+        return np.fromiter((x for i in ids for x in i), np.int64), np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64), np.array(good, bool)
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tok.decode_batch(ids, skip_special_tokens=False)
+
+
+@lru_cache(maxsize=2)
+def codec(path: str) -> Codec:
+    with open(path, "rb") as f:
+        return Codec(f.read())
+
+
+def encode(docs: DataFrame, model: str, text_col: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with ids (array<int>), n_tokens, ids_crc32 of the ids as little-endian 32-bit integers, and parity.
+
+    model: path of a model file, present on every executor. A null text counts as empty and has no ids. Columns of docs
+    with these names are replaced; the text is kept.
+    """
+
+    def run(batch):
+        texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+        flat, off, good = codec(model).encode(texts)
+        low = flat.astype("<u4")
+        crc = [zlib.crc32(low[a:b]) for a, b in zip(off, off[1:], strict=False)]
+        lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32)))
+        new = [lists, pa.array(np.diff(off)), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, ids, "n_tokens", "ids_crc32", "parity"])
+
+    rows = docs.drop(ids, "n_tokens", "ids_crc32", "parity")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{ids} array<int>, n_tokens long, ids_crc32 long, parity boolean"])
+    return arrow(rows, run, schema)
+
+
+def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """docs with the decoded text of the ids column; null for null ids."""
+
+    def run(batch):
+        lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
+        texts = codec(model).decode([x or [] for x in lists])
+        texts = [None if x is None else t for x, t in zip(lists, texts, strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+
+    rows = docs.drop(out)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{out} string"])
+    return arrow(rows, run, schema)
+
+
+def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, parity) of each row."""
+    return encode(docs.select(id_col, text_col), model, text_col).select(F.col(id_col).alias("doc_id"), "n_tokens", "ids_crc32", "parity")
