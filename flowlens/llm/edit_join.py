@@ -297,10 +297,12 @@ def line_verdicts(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", t
         F.coalesce("n_links", F.lit(0)).alias("n_links"), ((place == F.col("at")) & (F.col("earliest").isNull() | (F.col("earliest") > F.col("at")))).alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = True) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = True,
+                        length_col: str | None = None) -> DataFrame:
     """docs with repeated lines cut from the texts, other columns unchanged.
 
     A document of which nothing but white space is left goes if drop_empty holds; one that lost no line always stays.
+    length_col: a column that is set to the code points of texts that were cut.
     """
     gone = line_verdicts(docs, edits, id_col, text_col).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     gone_col, key = "__gone_lines", "__gone_id"
@@ -309,4 +311,6 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_
     out = docs.join(gone, docs[id_col] == gone[key], "left").withColumn(text_col, F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(rest))
     if drop_empty:
         out = out.where(F.col(gone_col).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    return out.drop(gone_col, key)
+    if length_col:
+        out = out.withColumn(length_col, F.when(F.col(gone_col).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast("long")))
+    return out.select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontaminate, edit_join, setsketch, sp_tokenizer, token_files, toxicity
+from flowlens.llm import decontaminate, edit_join, repetition, setsketch, sp_tokenizer, token_files, toxicity, url_words
 from flowlens.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,56 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     """Start, length and checksum of every document in the token files."""
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE), END_ID)
+
+
+def _op2_sql() -> str:
+    lengths = list(repetition.MOST)
+    grams = "\n".join(f""", g{k} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {k - 1}], ' ')) > 1 AS r FROM p WHERE i <= len(ws) - {k - 1}),
+c{k} AS (SELECT DISTINCT doc_id, i + o AS i FROM g{k}, range({k}) t(o) WHERE r),
+s{k} AS (SELECT p.doc_id, count(*) AS n, CAST(sum(length(ws[p.i])) AS BIGINT) AS chars FROM p JOIN c{k} USING (doc_id, i) GROUP BY 1)""" for k in lengths)
+    joins = "\n".join(f"LEFT JOIN s{k} USING (doc_id)" for k in lengths)
+    cols = ", ".join(f"coalesce(s{k}.chars, 0) AS chars_{k}" for k in lengths)
+    high = " OR ".join([*(f"100 * chars_{k} > {round(100 * m)} * word_chars" for k, m in repetition.MOST.items()), f"100 * chars_lines > {round(100 * repetition.MOST_LINES)} * word_chars"])
+    failed = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, {WORD}), []) AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+lc AS (SELECT doc_id, line, count(*) AS n, len(array_to_string(regexp_extract_all(line, {WORD}), '')) AS chars FROM l WHERE regexp_matches(line, {WORD}) GROUP BY 1, 2),
+ls AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS dup, CAST(sum(CASE WHEN n > 1 THEN n * chars ELSE 0 END) AS BIGINT) AS chars FROM lc GROUP BY 1)
+{grams},
+a AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+ CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(ls.dup, 0) AS n_dup_lines, coalesce(s5.n, 0) AS n_repeat_words,
+ {cols}, coalesce(ls.chars, 0) AS chars_lines FROM d LEFT JOIN ls USING (doc_id) {joins})
+SELECT *, {failed} AS base_failed, NOT {failed} AND NOT ({high}) AS kept FROM a
+"""
+
+
+@query("op2_repetition_coverage", _op2_sql())
+def op2(spark, sf_dir):
+    """Repetition coverage of every document."""
+    return repetition.coverage(table(spark, sf_dir, "documents"))
+
+
+def _op4_sql() -> str:
+    def count(terms, distinct):
+        bound = "CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS BIGINT)" if distinct else "len(regexp_extract_all(regexp_replace(u, '[^a-z0-9]', '  ', 'g'), '(^| ){t}( |$)'))"
+        return " + ".join(bound.replace("{t}", t) for t in terms)
+
+    rules = sorted(url_words.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{name}'" for f, name, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + f" WHEN strict_hits > 0 OR soft_terms >= {url_words.SOFT_HITS} THEN 'block' ELSE 'allow' END"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH a AS (SELECT page_id, coalesce({lower.format('url')}, '') AS u, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages),
+b AS (SELECT page_id, {lower.format("regexp_extract(rest, '^([^/?#]*)', 1, 's')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path,
+ CAST({count(url_words.STRICT, False)} AS BIGINT) AS strict_hits, CAST({count(url_words.SOFT, True)} AS BIGINT) AS soft_terms FROM a)
+SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, strict_hits, soft_terms FROM b
+"""
+
+
+@query("op4_url_vocabulary", _op4_sql())
+def op4(spark, sf_dir):
+    """Verdict on every page's URL."""
+    return url_words.judged(table(spark, sf_dir, "pages"))

@@ -1,15 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning of a linear model in numpy.
 
-Features are hashed: every word, and its first 4 and first 6 bytes (for words of more), lower case. A text's value of a
-feature is 1 if it holds it, and the vector is scaled to length 1. The risk is that of Kiryo et al. (2017): with class
-prior p, p * R+(positive) + max(0, R-(unlabelled) - p * R-(positive)); where the second part is negative, the step
-goes up it instead.
+Features are hashed: every word, and its first 4 and first 6 bytes (for words of more), lower case; a feature's value is
+the root of its share of the text's features, so every vector has length 1. The risk is that of Kiryo et al. (2017):
+with class prior p, p * R+(positive) + max(0, R-(unlabelled) - p * R-(positive)); where the second part is negative, the
+step goes up it instead. Of each kind of row a fifth is kept from training; the score of 0.5 is put where the same
+risk, with errors counted, is least on it. Features are weighted by their rarity in training.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import spans
@@ -18,12 +20,15 @@ from flowlens.llm.tables import arrow
 BITS = 18
 PREFIXES = (4, 6)
 POSITIVES, UNLABELLED = 2000, 6000  # training rows at most of each kind: the bound of the sample
-STEPS, RATE, DECAY = 150, 0.05, 1e-6
+STEPS, RATE, DECAY = 100, 0.1, 1e-4
+LEAST = 5  # toxic training texts that must hold a feature for it to count; fewer where there are under 200
 
 
-def features(column) -> tuple[np.ndarray, np.ndarray]:
-    """(feature ids of all rows, offsets of rows): distinct within a row."""
-    flat, counts = [], []
+Sample = tuple[np.ndarray, np.ndarray, np.ndarray]  # features and their values of all rows, offsets of rows
+
+
+def features(column) -> Sample:
+    flat, values, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
     for _, data, offsets in spans.pieces(column):
         w = spans.words(data, offsets, lower=True)
         size = w.end - w.start
@@ -33,54 +38,71 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
             hashes.append(spans.range_hashes(w.data, w.start[some], w.start[some] + k) + spans.ODD[k])
             rows.append(w.row[some])
         at = (np.concatenate(rows) << BITS) | (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
-        at = np.unique(at)
+        at, times = np.unique(at, return_counts=True)
+        row = at >> BITS
+        total = np.bincount(row, times, minlength=len(offsets) - 1)
         flat.append((at & ((1 << BITS) - 1)).astype(np.int32))
-        counts.append(np.bincount(at >> BITS, minlength=len(offsets) - 1))
-    if not counts:
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
-    return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-
+        values.append(np.sqrt(times / total[row]).astype(np.float32))
+        counts.append(np.bincount(row, minlength=len(offsets) - 1))
+    return np.concatenate(flat), np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
-def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
 
-
-def margins(weights: np.ndarray, bias: float, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    n = np.maximum(np.diff(offsets), 1)
-    return row_sums(weights[flat], offsets) / np.sqrt(n) + bias
+def margins(weights: np.ndarray, bias: float, sample: Sample) -> np.ndarray:
+    flat, values, offsets = sample
+    total = np.concatenate([[0.0], np.cumsum(weights[flat] * values, dtype=np.float64)])
+    return total[offsets[1:]] - total[offsets[:-1]] + bias
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def fit(positive: Sample, unlabelled: Sample, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the whole sample; logistic loss."""
-    weights, bias = np.zeros(1 << BITS), float(np.log(prior / (1 - prior)))
+    weights, bias = np.zeros(1 << BITS), 0.0
+    scale = rarity(positive, unlabelled)
+    positive, unlabelled = ((f, v * scale[f], o) for f, v, o in (positive, unlabelled))
     first, second = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
 
     def gradient(sample, slope):
-        flat, offsets = sample
-        n = np.diff(offsets)
-        each = slope / len(n)
-        g = np.bincount(flat, np.repeat(each / np.sqrt(np.maximum(n, 1)), n), minlength=len(weights))
-        return np.append(g, each.sum())
+        flat, values, offsets = sample
+        each = slope / len(slope)
+        return np.append(np.bincount(flat, np.repeat(each, np.diff(offsets)) * values, minlength=len(weights)), each.sum())
 
     for t in range(1, steps + 1):
-        fp, fu = margins(weights, bias, *positive), margins(weights, bias, *unlabelled)
+        fp, fu = margins(weights, bias, positive), margins(weights, bias, unlabelled)
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         down = gradient(unlabelled, sigmoid(fu)) - prior * gradient(positive, sigmoid(fp))
-        if negative >= 0:
-            g = prior * gradient(positive, sigmoid(fp) - 1) + down
-        else:
-            g = -down
+        g = prior * gradient(positive, sigmoid(fp) - 1) + down if negative >= 0 else -down
         g[:-1] += DECAY * weights
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         weights -= step[:-1]
         bias -= step[-1]
-    return weights.astype(np.float32), float(bias)
+    return (weights * scale).astype(np.float32), float(bias)
+
+
+def rarity(positive: Sample, unlabelled: Sample) -> np.ndarray:
+    """Weight of each feature: the log of how rare it is in unlabelled texts, 0 if too few toxic ones hold it."""
+    toxic, any_ = (np.bincount(s[0], minlength=1 << BITS) for s in (positive, unlabelled))
+    least = min(LEAST, 1 + len(positive[2]) // 50)
+    return np.where(toxic >= least, np.log(len(unlabelled[2]) / (any_ + 1)), 0.0).clip(0)
+
+
+def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """Margin at which the risk in errors is least; the middle one of the best."""
+    at = np.unique(np.concatenate([positive, unlabelled]))
+    found = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    alarms = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    risk = prior * (1 - found) + np.maximum(0, alarms - prior * found)
+    return float(np.median(at[risk <= risk.min() + 1e-9]))
+
+
+def part(sample: Sample, rows: np.ndarray) -> Sample:
+    flat, values, offsets = sample
+    n = np.diff(offsets)
+    keep = np.repeat(rows, n)
+    return flat[keep], values[keep], np.concatenate([[0], np.cumsum(n[rows])])
 
 
 def held_out(id_col: str):
@@ -106,20 +128,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     picked = F.broadcast(some[0].union(some[1]))  # positives + unlabelled rows at most
 
     def run(batch):
-        flat, off = features(batch.column(1))
-        lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists], ["kind", "f"])
+        flat, values, off = features(batch.column(2))
+        off = pa.array(off.astype(np.int32))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(off, pa.array(flat)), pa.ListArray.from_arrays(off, pa.array(values))], ["kind", "id", "f", "v"])
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("kind", "text")
-    got = arrow(own, run, "kind int, f array<int>").toArrow()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("kind", "id", "text")
+    got = arrow(own, run, "kind int, id long, f array<int>, v array<float>").toArrow().combine_chunks().sort_by([("kind", "ascending"), ("id", "ascending")])
     sides = []
     for kind in (1, 0):
-        f = got.filter(pa.compute.equal(got.column("kind"), kind)).column("f").combine_chunks()
-        f = f.chunk(0) if isinstance(f, pa.ChunkedArray) else f
-        sides.append((f.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(f).to_numpy())]).astype(np.int64)))
-    if not all(len(off) > 1 for _, off in sides):
+        own = got.filter(pc.equal(got.column("kind"), kind))
+        size = pc.list_value_length(own.column("f")).to_numpy()
+        sides.append((pc.list_flatten(own.column("f")).to_numpy(), pc.list_flatten(own.column("v")).to_numpy(), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)))
+    rows = [len(side[2]) - 1 for side in sides]
+    if not all(rows):
         return np.zeros(1 << BITS, np.float32), -20.0, prior
-    weights, bias = fit(*sides, prior)
+    back = [np.arange(n) % 5 == 4 if min(rows) >= 20 else np.zeros(n, bool) for n in rows]
+    weights, bias = fit(part(sides[0], ~back[0]), part(sides[1], ~back[1]), prior)
+    if min(rows) >= 20:
+        bias -= threshold(*[margins(weights, bias, part(side, b)) for side, b in zip(sides, back, strict=True)], prior)
     return weights, bias, prior
 
 
@@ -128,8 +154,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float, float], text_col: st
     weights, bias, _ = model
 
     def run(batch):
-        flat, off = features(batch.column(batch.schema.get_field_index(text_col)))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(margins(weights, bias, flat, off)))], [*batch.schema.names, score_col])
+        sample = features(batch.column(batch.schema.get_field_index(text_col)))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(margins(weights, bias, sample)))], [*batch.schema.names, score_col])
 
     rows = docs.drop(score_col)
     return arrow(rows, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{score_col} double"]))
