@@ -7,7 +7,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-MOST = 300_000  # parts a cache holds before it starts anew: some 60 MB
+MOST = 200_000  # parts a cache holds before it starts anew: some 40 MB
 
 
 class ChunkCache:

@@ -22,6 +22,7 @@ from flowlens.llm.chunks import ChunkCache
 from flowlens.llm.tables import arrow
 
 MARK = "▁"
+SLICE = 250  # texts that are cut into parts at once
 # Piece types and model types of the SentencePiece protobuf: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -225,7 +226,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids: str = "ids"
 
     rows = docs.drop(ids, "n_tokens", "ids_crc32", "parity")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{ids} array<int>, n_tokens long, ids_crc32 long, parity boolean"])
-    return arrow(rows, run, schema)
+    return arrow(rows, run, schema, SLICE)
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -239,7 +240,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
 
     rows = docs.drop(out)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{out} string"])
-    return arrow(rows, run, schema)
+    return arrow(rows, run, schema, SLICE)
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

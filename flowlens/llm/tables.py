@@ -31,14 +31,15 @@ def keep(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
         return cut(df, name)
 
 
-def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: str) -> DataFrame:
-    """mapInArrow of a function on single batches."""
+def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = None) -> DataFrame:
+    """mapInArrow of a function on single batches, or on slices of so many rows where it needs much memory a row."""
 
     def run(batches):
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield from out if isinstance(out, list) else [out]
+            for at in range(0, max(batch.num_rows, 1), rows or max(batch.num_rows, 1)):
+                out = fn(batch.slice(at, rows) if rows else batch)
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
