@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontaminate, edit_join, repetition, setsketch, sp_tokenizer, token_files, toxicity, url_words
+from flowlens.llm import decontaminate, edit_join, page_diff, quotes, repetition, setsketch, sp_tokenizer, token_files, toxicity, url_words
 from flowlens.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,16 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, strict_hits, s
 def op4(spark, sf_dir):
     """Verdict on every page's URL."""
     return url_words.judged(table(spark, sf_dir, "pages"))
+
+
+@query("op1_quotation_links")
+def op1(spark, sf_dir):
+    """Every message of all conversations with its parent, its place in reply order and its text without quotations."""
+    return quotes.linked(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "parent_turn", "n_quoted", "n_linked", "depth_quoted", "branch", "order_key",
+                                                                       F.length("content").cast("long").alias("n_chars"), F.crc32(F.col("content").cast("binary")).alias("content_crc32"))
+
+
+@query("op3_page_differencing")
+def op3(spark, sf_dir):
+    """Main text of every page."""
+    return page_diff.extracted(table(spark, sf_dir, "pages"))
