@@ -185,7 +185,7 @@ def meetings(rows: DataFrame, keys: list[str], edits: int) -> DataFrame:
         step = 1
         while len(at := at[at + step < run_end[at]]):
             x, y = at, at + step
-            ok = (name[x] != name[y]) & ((side[x] | side[y]) == 3) & (np.bitwise_count(odd[x] ^ odd[y]) <= most)
+            ok = (name[x] != name[y]) & ((side[x] | side[y]) == 3) & (np.bitwise_count((odd[x] ^ odd[y]).view(np.uint64)) <= most)
             a.append(np.minimum(name[x], name[y])[ok])
             b.append(np.maximum(name[x], name[y])[ok])
             step += 1
