@@ -184,6 +184,7 @@ class Codec:
     def parts_encoded(self, parts: list[str]):
         ids = [e.ids for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
         want = self.sp.encode([p.replace(MARK, " ")[1:] for p in parts], num_threads=1)
+        want = [[self.sp.piece_to_id(MARK)] if p == MARK else w for p, w in zip(parts, want, strict=True)]  # alone it would be an empty text
         back = self.bare.decode_batch(ids, skip_special_tokens=False)
         return ids, [i == w and b == p for i, w, b, p in zip(ids, want, back, parts, strict=True)]
 

@@ -20,7 +20,7 @@ from flowlens.llm.tables import arrow
 BITS = 18
 PREFIXES = (4, 6)
 POSITIVES, UNLABELLED = 2000, 6000  # training rows at most of each kind: the bound of the sample
-STEPS, RATE, DECAY = 100, 0.1, 1e-4
+STEPS, RATE, DECAY = 200, 0.1, 1e-3
 LEAST = 5  # toxic training texts that must hold a feature for it to count; fewer where there are under 200
 
 
