@@ -13,8 +13,9 @@ MOST = 200_000  # parts a cache holds before it starts anew: some 40 MB
 class ChunkCache:
     """encode(parts) gives the ids of each part, and whether it passed its own check."""
 
-    def __init__(self, encode: Callable[[list], tuple[list[list[int]], list[bool]]]):
+    def __init__(self, encode: Callable[[list], tuple[list[list[int]], list[bool]]], most: int = MOST):
         self.encode_parts = encode
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
@@ -32,7 +33,7 @@ class ChunkCache:
 
     def encode(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of texts, whether all parts of a text passed) for texts given as lists of parts."""
-        if len(self.place) > MOST:
+        if len(self.place) > self.most:
             self.clear()
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         parts = list(chain.from_iterable(texts))
