@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from flowlens import values as V
 from flowlens.functions import ip as IP, tls as L
 from flowlens.functions.scores import lookup, severity_name, severity_rank
-from flowlens.operators.joins import family_tactic, frame, oui_vendor, tactic_ids, vendor_class
+from flowlens.operators.joins import family_tactic, frame, oui_prefix, oui_vendor, tactic_ids, vendor_class
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 PEER = ["fpm", "unique_dst", "bytes_per_flow", "send_ratio"]
@@ -103,7 +103,7 @@ def device_signals(df: DataFrame) -> DataFrame:
     vote = lambda c, w, s: F.struct(c.alias("class"), w.cast("double").alias("weight"), s.alias("signal"))
     votes = F.array(
         F.when(F.col("server") & cls.isNotNull(), vote(cls, wgt, F.concat(F.lit("port:"), F.col("port")))),
-        F.when(vendor_class(vendor).isNotNull(), vote(vendor_class(vendor), F.lit(V.OUI_WEIGHT), F.concat(F.lit("oui:"), vendor))),
+        F.when(vendor_class(vendor).isNotNull(), vote(vendor_class(vendor), F.lit(V.OUI_WEIGHT), F.concat(F.lit("oui:"), oui_prefix("mac")))),
         F.when(dcls.isNotNull(), vote(dcls, F.lit(V.DHCP_WEIGHT), F.concat(F.lit("dhcp:"), F.col("dhcp")))),
         F.when(F.col("ja3") != "", vote(F.lit("laptop"), F.lit(V.JA3_SEEN_WEIGHT), F.lit("ja3:seen"))))
     return d.select("ip", "t_us", F.when(F.col("server") & cls.isNotNull(), F.col("port")).alias("port"),

@@ -151,7 +151,10 @@ def _hit(kind: str, value: Column, p: str, direction: str = "dst") -> Column:
 
 
 def _ioc(table: DataFrame, key: str, to: str, p: str) -> DataFrame:
-    return table.select(F.col(key).alias(to), *[F.col(c).alias(f"{p}_{c}") for c in ("category", "severity", "feed")])
+    """Feed side of a join: one row a key, the most severe entry, of several the first by feed and category."""
+    entry = ("category", "severity", "feed")
+    best = F.min_by(F.struct(*entry), F.struct(-severity_rank("severity"), "feed", "category"))
+    return table.groupBy(F.col(key).alias(to)).agg(best.alias("_e")).select(to, *[F.col(f"_e.{c}").alias(f"{p}_{c}") for c in entry])
 
 
 def join_ioc_ip(df: DataFrame, bad_ips: DataFrame, *, whitelist=tuple(V.TI_WHITELISTED_IPS)) -> DataFrame:
@@ -222,7 +225,8 @@ def ioc_flow_hits(df: DataFrame, *, bad_ips: DataFrame, bad_ja3: DataFrame, bad_
 
 def join_ja3_builtin(df: DataFrame, bad_ja3: DataFrame, *, ja3: str = "ja3", prefix: str = "ja3") -> DataFrame:
     """Append <prefix>_name, <prefix>_severity: browsers exempt, IOC table first, built-in list second."""
-    t = bad_ja3.select(F.col("ja3").alias(ja3), F.col("name").alias("_bn"), F.col("severity").alias("_bs"))
+    best = F.min_by(F.struct("name", "severity"), F.struct(-severity_rank("severity"), "name"))
+    t = bad_ja3.groupBy(F.col("ja3").alias(ja3)).agg(best.alias("_e")).select(ja3, F.col("_e.name").alias("_bn"), F.col("_e.severity").alias("_bs"))
     d = df.join(t, ja3, "left")
     builtin = lookup(ja3, V.JA3_SUSPECT)
     exempt = (F.coalesce(F.col(ja3), F.lit("")) == "") | F.col(ja3).isin(list(V.JA3_BROWSERS))
@@ -344,18 +348,19 @@ def join_family_tactic(df: DataFrame, *, attack: str = "attack_type") -> DataFra
     return df.withColumn("mitre_tactic", F.coalesce(family_tactic(attack), F.lit("Unclassified")))
 
 
-_VENDOR_BY_PREFIX = {p: v for v, ps in V.OUI_PREFIXES.items() for p in ps}
-_CLASS_BY_VENDOR = {v: c for c, vs in V.CLASS_VENDORS.items() for v in vs}
+def oui_prefix(mac) -> Column:
+    """First six hex digits of a hardware address, null if it is shorter."""
+    c = F.col(mac) if isinstance(mac, str) else mac
+    clean = F.upper(F.regexp_replace(c, "[:.-]", ""))
+    return F.when(F.length(clean) >= 6, F.substring(clean, 1, 6))
 
 
 def oui_vendor(mac) -> Column:
-    c = F.col(mac) if isinstance(mac, str) else mac
-    clean = F.upper(F.regexp_replace(c, "[:.-]", ""))
-    return F.when(F.length(clean) >= 6, lookup(F.substring(clean, 1, 6), _VENDOR_BY_PREFIX))
+    return lookup(oui_prefix(mac), V.OUI_VENDOR)
 
 
 def vendor_class(vendor) -> Column:
-    return lookup(vendor, _CLASS_BY_VENDOR)
+    return lookup(vendor, V.VENDOR_CLASS)
 
 
 def join_oui(df: DataFrame, *, mac: str = "mac") -> DataFrame:
