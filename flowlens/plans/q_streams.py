@@ -115,15 +115,23 @@ def _(spark, sf):
     return Fs.collected(spark, Fs.run_available(j), j.schema)
 
 
-@query("src_zeek_stream", vw("SELECT uid, orig_h AS src_ip, proto FROM conn"))
+# A sensor's whole connection header, and the same fields the other way round.
+CONN_HEADER = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration", "orig_bytes", "resp_bytes",
+               "conn_state", "local_orig", "local_resp", "missed_bytes", "history", "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes", "tunnel_parents"]
+
+
+@query("src_zeek_stream", vw("SELECT uid, orig_h AS src_ip, proto, CAST(resp_ip_bytes AS BIGINT) AS resp_ip_bytes FROM conn"))
 def _(spark, sf):
-    path = scratch_path(spark, "zeek-stream")
-    d = conn(spark, sf).select(*[F.col(f"`{c}`") for c in zeek.CONN])
-    d.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")) for c in zeek.CONN]).alias("value")).write.text(path)
+    d = conn(spark, sf)
+    d = d.withColumns({c: F.lit("-") for c in CONN_HEADER if c not in d.columns})
+    base = scratch_path(spark, "zeek-stream")
+    for k, names in enumerate((CONN_HEADER, CONN_HEADER[::-1])):
+        zeek.write_zeek(d.filter(F.col("flow_id") % 2 == k).select(*[F.col(f"`{c}`") for c in names]), f"{base}/logs/{k}", "conn")
     # Spark names its text files part-*; sensors name them conn.*
-    s = zeek.src_zeek_stream(spark, path, "part", columns=zeek.CONN)
-    s = s.select("uid", F.col("`id.orig_h`").alias("src_ip"), "proto")
-    return Fs.collected(spark, Fs.run_available(s), s.schema)
+    s = zeek.src_zeek_stream(spark, f"{base}/logs/*", "conn", pattern="part*")
+    Fs.run_available(s, write=zeek.zeek_landing(f"{base}/rows", f"{base}/rejected"))
+    out = Fs.collected(spark, f"{base}/rows", zeek.landed_schema("conn"))
+    return out.select("uid", F.col("`id.orig_h`").alias("src_ip"), "proto", F.col("resp_ip_bytes").cast("long").alias("resp_ip_bytes"))
 
 
 query("stream_alert_watch", vw("SELECT DISTINCT src_ip FROM alerts"))(

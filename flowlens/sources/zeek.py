@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+# Fields that flows, TLS records and names are made of; a log may have more, in any order.
 CONN = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "duration", "orig_bytes", "resp_bytes",
         "conn_state", "history", "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes"]
 SSL = ["ts", "uid", "ja3", "ja3s", "server_name", "version", "cipher", "subject", "issuer", "validation_status"]
@@ -16,6 +17,23 @@ def _unset(c):
     return F.when(~c.isin("-", "(empty)"), c)
 
 
+def _heads(lines: DataFrame) -> DataFrame:
+    """(file, names) of each file of lines (value, file)."""
+    heads = lines.filter(F.col("value").startswith("#fields")).groupBy("file").agg(F.max("value").alias("head"))
+    return heads.select("file", F.expr("slice(split(head, '\t'), 2, size(split(head, '\t')) - 1)").alias("names"))
+
+
+def _rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """Data lines with their fields, the names in their file's header (null without one), and whether both agree."""
+    rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("parts", F.split("value", "\t"))
+    return rows.join(heads, "file", "left").withColumn("fits", F.coalesce(F.size("parts") == F.size("names"), F.lit(False)))
+
+
+def _named(rows: DataFrame, columns) -> DataFrame:
+    at = lambda c: F.array_position("names", c)
+    return rows.filter("fits").select(*[_unset(F.when(at(c) > 0, F.get("parts", (at(c) - 1).cast("int")))).alias(c) for c in columns])
+
+
 def src_zeek_tsv(spark, path: str, *, columns=None, max_rows: int | None = None) -> DataFrame:
     """Read Zeek TSV (plain or gzip) as text columns.
 
@@ -24,27 +42,46 @@ def src_zeek_tsv(spark, path: str, *, columns=None, max_rows: int | None = None)
     they are the union over the distinct headers.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    heads = lines.filter(F.col("value").startswith("#fields")).groupBy("file").agg(F.max("value").alias("head"))
-    heads = heads.select("file", F.expr("slice(split(head, '\t'), 2, size(split(head, '\t')) - 1)").alias("names"))
+    heads = _heads(lines)
     if columns is None:  # distinct headers are few; only names reach the driver
         columns = []
         for (names,) in heads.select("names").distinct().collect():
             columns += [n for n in names if n not in columns]
-    rows = lines.filter(~F.col("value").startswith("#")).withColumn("parts", F.split("value", "\t"))
-    d = rows.join(heads, "file").filter(F.size("parts") == F.size("names"))
-    d = d.select(F.map_from_arrays("names", "parts").alias("m"))
-    out = d.select(*[_unset(F.try_element_at("m", F.lit(c))).alias(c) for c in columns])
+    out = _named(_rows(lines, heads), columns)
     return out.limit(max_rows) if max_rows else out
 
 
-def src_zeek_stream(spark, directory: str, log: str, *, columns=None, files_per_trigger: int = 16) -> DataFrame:
-    """Stream of one rotated log (conn, ssl or dns) with a fixed column order; adds ts as a timestamp."""
-    cols = columns or LOGS[log]
+def src_zeek_stream(spark, directory: str, log: str, *, files_per_trigger: int = 16, pattern: str | None = None) -> DataFrame:
+    """Stream of the lines (value, file) of one rotated log (conn, ssl or dns), to be landed by `zeek_landing`.
+
+    A file arrives whole in one micro-batch, so its header is in the batch of its rows.
+    """
     schema = T.StructType([T.StructField("value", T.StringType())])
-    lines = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{log}*").text(directory))
-    parts = lines.filter(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("p")).filter(F.size("p") == len(cols))
-    d = parts.select(*[_unset(F.col("p")[i]).alias(c) for i, c in enumerate(cols)])
-    return d.withColumn("event_time", F.timestamp_micros((F.col("ts").try_cast("double") * 1_000_000).cast("long")))
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern or f"{log}*").text(directory)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def zeek_landing(out: str, rejected: str, *, log: str = "conn", columns=None):
+    """foreachBatch function: rows by the header of their file, as Parquet below `out`, with ts also as event_time.
+
+    Rows whose field count differs from their header, or whose file has none, go to `rejected` (file, value); nothing is
+    lost. A retried batch replaces itself. Fields that a header lacks are null. `out` can be streamed from in turn.
+    """
+    columns = columns or LOGS[log]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = _rows(batch, _heads(batch))
+        named = _named(rows, columns)
+        named = named.withColumn("event_time", F.timestamp_micros((F.col("ts").try_cast("double") * 1_000_000).cast("long")))
+        named.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        rows.filter("NOT fits").select("file", "value").write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+
+    return run
+
+
+def landed_schema(log: str = "conn", columns=None) -> T.StructType:
+    """Columns that `zeek_landing` writes."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in columns or LOGS[log]] + [T.StructField("event_time", T.TimestampType())])
 
 
 def write_zeek(df: DataFrame, path: str, log: str) -> None:

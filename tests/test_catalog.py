@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["flagship_offenders", "host_rolling_60s", "ueba_running_z", "join_dns_asof", "ioc_flow_hits", "policy_eval", "peer_deviation", "fuse_signals",
-         "cascade_batch", "dedup_alert_60s", "agg_device_evidence", "tune_threshold", "stream_host_agg", "stream_late_data", "src_zeek_tsv"]
+         "cascade_batch", "dedup_alert_60s", "agg_device_evidence", "tune_threshold", "stream_host_agg", "stream_late_data", "src_zeek_tsv", "src_zeek_stream"]
 
 
 def text(v):

@@ -7,6 +7,7 @@ from flowlens import values as V
 from flowlens.functions import ip as IP, scores as S, tls as L
 from flowlens.operators import aggregates as A, detect as D, features as X, joins as J, output as O, setops as So
 from flowlens.sources import feeds, flowfiles, zeek
+from flowlens.streaming import flow
 
 
 def one(spark, col):
@@ -172,6 +173,26 @@ def test_zeek_headers_per_file(spark, tmp_path):
     assert got == {("C1", "1.0", "tcp"), ("C2", "2.0", None), ("C3", "3.0", None), (None, "4.0", None)}
 
 
+def test_zeek_stream_by_header(spark, tmp_path):
+    logs, out = tmp_path / "logs", tmp_path / "out"
+    logs.mkdir()
+    head = ("ts uid id.orig_h id.orig_p id.resp_h id.resp_p proto service duration orig_bytes resp_bytes conn_state local_orig "
+            "local_resp missed_bytes history orig_pkts orig_ip_bytes resp_pkts resp_ip_bytes tunnel_parents").split()
+    row = dict(zip(head, "1.5 C1 10.0.0.1 5000 10.0.0.2 443 tcp ssl 0.5 10 20 SF T T 0 ShAD 3 130 4 180 -".split()))
+    write = lambda name, names, rows: (logs / name).write_text("#separator \\x09\n#fields\t" + "\t".join(names) + "\n" + "".join("\t".join(r[n] for n in names) + "\n" for r in rows))
+    write("conn.1.log", head, [row, row | {"uid": "C2", "history": "-"}])
+    write("conn.2.log", head[::-1], [row | {"uid": "C3"}])
+    with open(logs / "conn.2.log", "a") as f:
+        f.write("short\trow\n\n#close\tx\n")
+    (logs / "conn.3.log").write_text("no\theader\n")
+    (logs / "ssl.1.log").write_text("#fields\tts\tuid\n1.0\tC9\n")
+    flow.run_available(zeek.src_zeek_stream(spark, str(logs), "conn", files_per_trigger=1), write=zeek.zeek_landing(f"{out}/rows", f"{out}/rejected"))
+    rows = flow.collected(spark, f"{out}/rows", zeek.landed_schema("conn"))
+    assert {(r["uid"], r["id.orig_h"], r["history"], r["resp_ip_bytes"], r["event_time"] is not None) for r in rows.collect()} == {
+        ("C1", "10.0.0.1", "ShAD", "180", True), ("C2", "10.0.0.1", None, "180", True), ("C3", "10.0.0.1", "ShAD", "180", True)}
+    assert {r["value"] for r in spark.read.parquet(f"{out}/rejected").collect()} == {"short\trow", "no\theader"}
+
+
 def test_row_numbers_without_global_sort(spark):
     d = flowfiles.number_rows(spark.range(0, 50, 1, 5).withColumnRenamed("id", "x"), "i")
     assert sorted((r["x"], r["i"]) for r in d.collect()) == [(i, i + 1) for i in range(50)]
