@@ -89,7 +89,10 @@ def test_map_columns():
              "Pkt Len Min": "pkt_size_min", "Packet Length Max": "pkt_size_max", "Pkt Size Avg": "pkt_size_mean", "flow_pkts_payload.std": "pkt_size_std", "Flow IAT Mean": "iat_mean",
              "flow_iat.max": "iat_max", "Fwd IAT Tot": "fwd_iat_total", "SYN Flag Cnt": "syn_flag", "flow_RST_flag_count": "rst_flag", "tcp.flags.ack": "ack_flag",
              "Fwd PSH Flags": "psh_flag", "Header_Length": "header_len", "Init Fwd Win Byts": "init_fwd_win", "server_name": "sni", "ja3_hash": "ja3", "BytesPerPkt": "bytes_per_packet"}
-    assert X.map_columns(list(names) + ["unrelated", "Label"]) == names
+    names |= {"tcp.dstport": "dst_port", "bytes_per_pkt": "pkt_size_mean", "Bytes Per Pkt": "bytes_per_packet", "dpkts": "bwd_packets", "FlowDuration": "duration", "Syn": "syn_flag",
+              "PSH_FLAG": "psh_flag", "Bwd Packets/s": "bwd_packets_per_sec", "ServerName": "sni", "HTTPS": "is_https"}
+    assert X.map_columns(list(names) + ["unrelated", "Label", "Flow ACK", "TCP Connection Protocol", "TCP Flags SYN"]) == names
+    assert X.map_columns(["Label", "sa"], {"Label": "sni", "sa": "dst_ip"}) == {"Label": "sni", "sa": "dst_ip"}
 
 
 def test_duplicate_sources_coalesce(spark):
