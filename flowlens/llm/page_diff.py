@@ -124,7 +124,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def common(a: list[str], b: list[str]) -> list[int]:
+def common(a: list, b: list) -> list[int]:
     """Indexes of a that a longest common subsequence with b takes (Hunt and Szymanski: matches, then a longest chain)."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -132,7 +132,7 @@ def common(a: list[str], b: list[str]) -> list[int]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    places: dict[str, list[int]] = {}
+    places: dict = {}
     for j in range(len(b) - tail - 1, head - 1, -1):
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []
@@ -153,9 +153,10 @@ def common(a: list[str], b: list[str]) -> list[int]:
     return [*range(head), *reversed(chain), *range(len(a) - tail, len(a))]
 
 
-def main_text(own: list[tuple[str, bool, bool]], other: list[str]) -> str:
+def main_text(own: list[tuple[str, bool, bool]], other: list, keys: list | None = None) -> str:
+    """Text of a page's lines without those shared with the other page; keys stand for the own lines where other holds keys."""
     lines = [b[0] for b in own]
-    shared = set(common(lines, other))
+    shared = set(common(lines if keys is None else keys, other))
     if len(shared) == len(lines) and not any(b[1] for b in own):
         shared = set()
     gone = {i for i in shared if not own[i][1] or not own[i][2] and len(lines[i].split()) <= CONTROL_WORDS and not re.search(r"[.!?…:;,)\]\"'»”]$", lines[i])}
@@ -192,12 +193,15 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     schema = "uid long, page_id long, url string, host string, path string, lines array<string>, inside array<boolean>, heading array<boolean>"
     parsed = keep(arrow(rows, parse, schema, 250), "page-lines")
     pairs = partners(parsed.where("host <> ''").select("uid", "host", "path"))
-    other = parsed.select(F.col("uid").alias("partner"), F.col("lines").alias("other")).dropDuplicates(["partner"])
-    both = parsed.join(pairs, "uid", "left").join(other, "partner", "left").select("page_id", "url", "lines", "inside", "heading", "other")
+    # of the neighbour only 64-bit hashes of its lines travel, and join the pairs first: the texts are shuffled once
+    keys = F.transform("lines", lambda x: F.xxhash64(x))
+    other = parsed.select(F.col("uid").alias("partner"), keys.alias("other")).dropDuplicates(["partner"])
+    pairs = pairs.join(other, "partner").select("uid", "other")
+    both = parsed.join(pairs, "uid", "left").select("page_id", "url", "lines", "inside", "heading", "other", keys.alias("keys"))
 
     def diff(batch):
-        lines, inside, heading, other = (batch.column(i).to_pylist() for i in range(2, 6))
-        texts = [main_text(list(zip(a, b, c, strict=True)), d or []) for a, b, c, d in zip(lines, inside, heading, other, strict=True)]
+        lines, inside, heading, other, own = (batch.column(i).to_pylist() for i in range(2, 7))
+        texts = [main_text(list(zip(a, b, c, strict=True)), d or [], k) for a, b, c, d, k in zip(lines, inside, heading, other, own, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                           ["page_id", "url", "text", "n_chars"])
 
