@@ -16,14 +16,13 @@ from flowlens import values as V
 from flowlens.functions.scores import lookup, severity_rank
 from flowlens.operators.segments import SECOND, bucket_of
 
-# Keys are hashed into groups so that one Python call handles many small keys. A group never
-# spans two buckets, so a hot key adds at most one bucket of its rows to its group.
-BUCKET_GROUPS, WALK_GROUPS = 32, 1024
+# Keys are hashed into as many groups as there are shuffle partitions, so that one Python call handles many small keys
+# and the groups grow with the cluster. A group never spans two buckets: a hot key adds at most one bucket of its rows.
 FRESH = -(1 << 62)  # state of a key that has emitted nothing yet
 
 
-def _hash(keys, n):
-    return F.pmod(F.xxhash64(*keys), F.lit(n)).alias("_h")
+def _hash(df: DataFrame, keys):
+    return F.pmod(F.xxhash64(*keys), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("_h")
 
 
 def _starts(pdf: pd.DataFrame, keys) -> np.ndarray:
@@ -75,7 +74,7 @@ def risk_accumulator(df: DataFrame, *, key="src_ip", score="anomaly_score", role
             x = min(c, a * x + b)
         return pd.DataFrame({key: pdf[key].to_numpy(), "_b": pdf["_b"].to_numpy(), "_x0": out})
 
-    entry = (summary.select(key, "_b", "f.*", _hash([key], WALK_GROUPS))
+    entry = (summary.select(key, "_b", "f.*", _hash(df, [key]))
              .groupBy("_h").applyInPandas(walk, entry_schema))
     fields = [f for f in df.schema.fields]
     schema = T.StructType(fields + [T.StructField("risk", T.DoubleType())])
@@ -89,7 +88,7 @@ def risk_accumulator(df: DataFrame, *, key="src_ip", score="anomaly_score", role
             out[i] = x
         return pdf[names].assign(risk=out)
 
-    return (d.join(entry, [key, "_b"]).withColumn("_h", _hash([key], BUCKET_GROUPS))
+    return (d.join(entry, [key, "_b"]).withColumn("_h", _hash(df, [key]))
             .groupBy("_h", "_b").applyInPandas(replay, schema))
 
 
@@ -114,7 +113,7 @@ def reputation(df: DataFrame, *, key="src_ip", verdict="verdict", t="t_us", rid=
 
 
 # ── emit unless the last emitted row blocks it ───────────────────────────────
-def _next_index(ts, val, wait, rule):
+def _next_index(ts, val, force, wait, rule):
     """For each row taken as emitted, the next row that is emitted after it (or n)."""
     n = len(ts)
     by_time = np.searchsorted(ts, ts + wait, side="left")
@@ -129,41 +128,44 @@ def _next_index(ts, val, wait, rule):
     else:  # next different value
         for i in range(n - 2, -1, -1):
             by_val[i] = i + 1 if val[i + 1] != val[i] else by_val[i + 1]
-    return np.minimum(by_time, by_val)
+    forced = np.append(np.flatnonzero(force), n)
+    return np.minimum(np.minimum(by_time, by_val), forced[np.searchsorted(forced, np.arange(n), side="right")])
 
 
-def _first_after(ts, val, state, wait, rule):
+def _first_after(ts, val, force, state, wait, rule):
     """First emitted row of a bucket, given the state (time, value) it starts from."""
     st, sv = state
-    hit = ts >= st + wait
+    hit = force | (ts >= st + wait)
     hit |= (val > sv) if rule == "rise" else (val != sv)
     return int(np.argmax(hit)) if hit.any() else len(ts)
 
 
 def emit_gate(df: DataFrame, *, keys, value: str, wait_us: int, rule: str, t="t_us", rid="flow_id",
-              bucket_us: int = 600 * SECOND, name: str = "emitted") -> DataFrame:
+              bucket_us: int = 600 * SECOND, name: str = "emitted", always: str | None = None) -> DataFrame:
     """Append a boolean: is the row emitted.
 
     A row is emitted when `wait_us` has passed since the key's last emitted row, or when its
-    value is higher than ("rise") or differs from ("change") that row's value. After
+    value is higher than ("rise") or differs from ("change") that row's value. Rows where the
+    column `always` is true are emitted whatever came before, and count as the last one. After
     `wait_us` any row is emitted, so a bucket can only be entered in a state left by the
     bucket right before it, or in the fresh state. Each bucket reports its possible exits;
     those are few, because chains merge. Per key only these states are walked.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     bucket = max(bucket_us, 2 * wait_us)
-    d = df.withColumns({"_b": bucket_of(t, bucket), "_h": _hash(keys, BUCKET_GROUPS)})
+    force = F.coalesce(F.col(always), F.lit(False)) if always else F.lit(False)
+    d = df.withColumns({"_b": bucket_of(t, bucket), "_h": _hash(df, keys), "_f": force})
     ktypes = [df.schema[k] for k in keys]
-    narrow = d.select(*keys, "_h", "_b", F.col(t).alias("_t"), F.col(rid).alias("_id"), F.col(value).cast("long").alias("_v"))
+    narrow = d.select(*keys, "_h", "_b", F.col(t).alias("_t"), F.col(rid).alias("_id"), F.col(value).cast("long").alias("_v"), "_f")
     long = lambda *ns: [T.StructField(n, T.LongType()) for n in ns]
     order = [*keys, "_t", "_id"]
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        ts, val = pdf["_t"].to_numpy(), pdf["_v"].to_numpy()
+        ts, val, force = pdf["_t"].to_numpy(), pdf["_v"].to_numpy(), pdf["_f"].to_numpy()
         keep = []
         for lo, hi in _segments(pdf, keys):
-            nxt, n = _next_index(ts[lo:hi], val[lo:hi], wait_us, rule), hi - lo
+            nxt, n = _next_index(ts[lo:hi], val[lo:hi], force[lo:hi], wait_us, rule), hi - lo
             last = np.arange(n)
             for i in range(n - 1, -1, -1):
                 if nxt[i] < n:
@@ -180,7 +182,7 @@ def emit_gate(df: DataFrame, *, keys, value: str, wait_us: int, rule: str, t="t_
         if rows.empty:
             return pd.DataFrame(columns=moves_schema.names)
         rows = rows.sort_values(order, kind="stable")
-        ts, val, b = rows["_t"].to_numpy(), rows["_v"].to_numpy(), int(rows["_b"].iloc[0])
+        ts, val, force, b = rows["_t"].to_numpy(), rows["_v"].to_numpy(), rows["_f"].to_numpy(), int(rows["_b"].iloc[0])
         kcols = [rows[k].to_numpy() for k in keys]
         known: dict = {}
         for *k, st, sv in zip(*[states[k] for k in keys], states["s_t"], states["s_v"]):
@@ -188,10 +190,10 @@ def emit_gate(df: DataFrame, *, keys, value: str, wait_us: int, rule: str, t="t_
         out = []
         for lo, hi in _segments(rows, keys):
             k = tuple(c[lo] for c in kcols)
-            t1, v1 = ts[lo:hi], val[lo:hi]
-            nxt = _next_index(t1, v1, wait_us, rule)
+            t1, v1, f1 = ts[lo:hi], val[lo:hi], force[lo:hi]
+            nxt = _next_index(t1, v1, f1, wait_us, rule)
             for st in [(FRESH, -1)] + known.get(k, []):
-                i, end = _first_after(t1, v1, st, wait_us, rule), st
+                i, end = _first_after(t1, v1, f1, st, wait_us, rule), st
                 while i < hi - lo:
                     end, i = (t1[i], v1[i]), nxt[i]
                 out.append((*k, b, *st, *end))
@@ -217,18 +219,18 @@ def emit_gate(df: DataFrame, *, keys, value: str, wait_us: int, rule: str, t="t_
                 cur = table[start]
         return pd.DataFrame(out, columns=entry_schema.names)
 
-    entry = steps.withColumn("_h", _hash(keys, WALK_GROUPS)).groupBy("_h").applyInPandas(walk, entry_schema)
+    entry = steps.withColumn("_h", _hash(df, keys)).groupBy("_h").applyInPandas(walk, entry_schema)
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.BooleanType())])
     cols = df.columns
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*keys, t, rid], kind="stable").reset_index(drop=True)
-        ts, val = pdf[t].to_numpy(), pdf["_val"].to_numpy()
+        ts, val, force = pdf[t].to_numpy(), pdf["_val"].to_numpy(), pdf["_f"].to_numpy()
         s_t, s_v, keep = pdf["s_t"].to_numpy(), pdf["s_v"].to_numpy(), np.zeros(len(pdf), dtype=bool)
         for lo, hi in _segments(pdf, keys):
-            t1, v1 = ts[lo:hi], val[lo:hi]
-            nxt = _next_index(t1, v1, wait_us, rule)
-            i = _first_after(t1, v1, (int(s_t[lo]), int(s_v[lo])), wait_us, rule)
+            t1, v1, f1 = ts[lo:hi], val[lo:hi], force[lo:hi]
+            nxt = _next_index(t1, v1, f1, wait_us, rule)
+            i = _first_after(t1, v1, f1, (int(s_t[lo]), int(s_v[lo])), wait_us, rule)
             while i < hi - lo:
                 keep[lo + i], i = True, nxt[i]
         return pdf[cols].assign(**{name: keep})
@@ -237,10 +239,13 @@ def emit_gate(df: DataFrame, *, keys, value: str, wait_us: int, rule: str, t="t_
             .groupBy("_h", "_b").applyInPandas(replay, schema))
 
 
-def dedup_alert_60s(df: DataFrame, *, window_us: int = 60 * SECOND, bucket_us: int = 600 * SECOND) -> DataFrame:
-    """Keep an alert unless its (src_ip, attack_type) emitted one in the last 60 s of at least its severity."""
+def dedup_alert_60s(df: DataFrame, *, window_us: int = 60 * SECOND, bucket_us: int = 600 * SECOND, correlated: str | None = None) -> DataFrame:
+    """Keep an alert unless its (src_ip, attack_type) emitted one in the last 60 s of at least its severity.
+
+    Alerts that the boolean column `correlated` marks are always kept.
+    """
     d = df.withColumn("_rank", severity_rank("severity"))
-    out = emit_gate(d, keys=["src_ip", "attack_type"], value="_rank", wait_us=window_us, rule="rise", bucket_us=bucket_us)
+    out = emit_gate(d, keys=["src_ip", "attack_type"], value="_rank", wait_us=window_us, rule="rise", bucket_us=bucket_us, always=correlated)
     return out.filter("emitted").drop("emitted", "_rank")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens import values as V
 from flowlens.functions import scores as S
+from flowlens.functions.ip import ip_scope
 from flowlens.operators import detect as D, features as X, filters as Fl, joins as J, output as O, windows as Wn
 from flowlens.session import cut
 
@@ -41,8 +42,7 @@ def cascade(df: DataFrame, dims: dict, *, probability, family: str = "family", u
         "flow_id", "t_us", "ts", "src_ip", "dst_ip", "dst_port", "department", "total_bytes", "fwd_bytes", *V.UEBA_METRICS,
         "is_attack", "ml_score", "ml_type", "ml_severity", "ml_source", "rule_score", "eta_score", "eta_pure", "eta_anomaly_count",
         "ti_boost", "ti_severity", "violation", "policy_severity", "policy_category", "policy_reasons"), "judged")
-    d = d.transform(Wn.ueba_running_z).transform(D.ueba_long_result, active=ueba_active, holidays=holidays)
-    d = Wn.entity_metrics_60s(d)
+    d = D.ueba_long_result(behaviour(d), active=ueba_active, holidays=holidays)
     peers = dims.get("peer_baseline")
     if peers is not None:
         d = D.peer_deviation(d, peers)
@@ -56,6 +56,19 @@ def cascade(df: DataFrame, dims: dict, *, probability, family: str = "family", u
     return O.shape_alerts(alerts)
 
 
+def behaviour(d: DataFrame) -> DataFrame:
+    """Append the running z and the 60 s metrics of internal sources.
+
+    External sources have no baseline and no peers, and leave no trace in those of departments: their columns are null.
+    Sources that are no address have a running z, but no peers.
+    """
+    d = d.withColumn("_scope", ip_scope("src_ip"))
+    away = F.coalesce(F.col("_scope") == "external", F.lit(False))
+    home = d.filter(~away).transform(Wn.ueba_running_z).transform(Wn.entity_metrics_60s)
+    home = home.withColumns({m: F.when(F.col("_scope") == "internal", F.col(m)) for m in ("fpm", "unique_dst", "bytes_per_flow", "send_ratio")})
+    return home.unionByName(d.filter(away), allowMissingColumns=True).drop("_scope")
+
+
 def scored_features(df: DataFrame, *, probs=("p1", "p2", "p3")) -> DataFrame:
     """Log scoring run: 45 features, host windows, stage-1 probability, routing."""
     keep = ["flow_id", "t_us", "src_ip", "dst_ip", *probs]

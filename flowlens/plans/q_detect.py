@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from flowlens import values as V
@@ -358,8 +360,13 @@ _sub = {**GATE, **POL, **PDX, **{k: v for k, v in ZX.items()},
         "rwl": "SELECT '93.184.5.6' AS ip"}
 
 
+# one external address sends every 23rd flow of the cascade's input
+_AWAY = "CASE WHEN flow_id % 23 = 0 THEN '93.184.0.1' ELSE src_ip END"
+_HOME = "(SELECT * FROM c2 WHERE NOT starts_with(src_ip, '93.184.'))"
+
+
 def cascade_alerts(spark, sf):
-    f = tls_flows(spark, sf).withColumn("ts", F.timestamp_micros(F.lit(START_US) + F.col("t_us")))
+    f = tls_flows(spark, sf).withColumns({"ts": F.timestamp_micros(F.lit(START_US) + F.col("t_us")), "src_ip": F.expr(_AWAY)})
     ja3 = dim(spark, sf, BAD_JA3)
     dims = {"devices": known_devices(spark, sf), "bad_ips": dim(spark, sf, BAD_IPS), "bad_ja3": ja3.filter("ja3 <> ''"), "bad_ja3_names": ja3,
             "bad_domains": dim(spark, sf, BAD_DOM), "allowed": allowed(spark), "runtime_whitelist": J.frame(spark, [("93.184.5.6",)], "ip string"),
@@ -369,7 +376,8 @@ def cascade_alerts(spark, sf):
 
 
 # Oracle: the same layers in SQL. The run has no fingerprint-pair columns and no whitelist rows.
-CASX = {**HITS, **ETA, **IDENT, **PEERX,
+CASX = {"xflows": f"SELECT * REPLACE ({_AWAY} AS src_ip) FROM flows", "xtls": f"SELECT * REPLACE ({_AWAY} AS src_ip) FROM tls",
+        **{k: re.sub(r"\b(FROM|JOIN) (flows|tls)\b( [a-z]+)?", lambda m: f"{m[1]} x{m[2]}{m[3] or ' ' + m[2]}", v) for k, v in {**HITS, **ETA, **IDENT}.items()}, **PEERX,
         "rwl": "SELECT '93.184.5.6' AS ip",
         "c0": "SELECT e.*, h.m, h.best_severity, CASE WHEN best_type = 'ip' THEN dc WHEN best_type = 'ja3' THEN jc ELSE 'malware_distribution' END AS best_cat, h.dc FROM eta e JOIN (SELECT flow_id, m, best_severity, best_type, dc, jc FROM hits) h USING (flow_id) WHERE e.src_ip NOT IN (SELECT ip FROM rwl) AND e.dst_ip NOT IN (SELECT ip FROM rwl)",
         "now": "SELECT flow_id, t_us, src_ip, dst_ip, dst_port, best_severity AS severity, 'INTEL_GATE' AS tag, best_cat AS attack_type FROM c0 WHERE m >= 3",
@@ -379,13 +387,13 @@ CASX = {**HITS, **ETA, **IDENT, **PEERX,
  CASE WHEN p >= 0.04 THEN family WHEN p + least(ti_boost + eta_pure, 0.5) > 0.5 THEN 'TLS_Suspicious' ELSE 'BENIGN' END AS ml_type FROM c1""",
         "pol0": "SELECT c2.*, fwd_bytes AS fb, CASE WHEN dc IS NOT NULL THEN dc END AS dcat FROM c2",
         "pol1": POL["pol1"].replace("t_us * 3600", "t_us"), **{k: POL[k] for k in ("pol2", "pol3", "pol4", "pol5", "pol", "polr")},
-        "um": ZX["um"].replace("FROM flows", "FROM c2").replace(f"{__import__('flowlens.plans.q_windows', fromlist=['DEPT_SQL']).DEPT_SQL} AS department", "department"),
+        "um": ZX["um"].replace("FROM flows", f"FROM {_HOME} c2").replace(f"{__import__('flowlens.plans.q_windows', fromlist=['DEPT_SQL']).DEPT_SQL} AS department", "department"),
         **{k: ZX[k] for k in ("z1", "z2", "z3", "z4", "zz")},
-        "em2": EM_SQL.replace("FROM flows", "FROM c2"),
+        "em2": EM_SQL.replace("FROM flows", f"FROM {_HOME} c2"),
         "pzz": "SELECT em2.flow_id, p.mean_fpm IS NOT NULL AND fpm IS NOT NULL AS known, em2.send_ratio, " + ", ".join(f"{_z(m)} AS z_{m}" for m in A.PEER) + " FROM em2 LEFT JOIN (SELECT * FROM peerm WHERE is_ready) p USING (department)",
         "pdv": PDX["pdev"].replace("FROM pz", "FROM pzz"),
-        "sg": f"""SELECT p.flow_id, p.violation, p.policy_severity, p.policy_category, coalesce(abs(zz.max_z) >= 3, false) AS ueba_alert, {ladder_sql('abs(zz.max_z)', 'zscore')} AS ueba_severity, p.is_attack, p.ml_score, p.ml_severity, 0.0 AS rule_score, p.ti_boost, p.ti_severity, p.eta_pure, p.n_anom AS eta_anomaly_count, pdv.peer_score
- FROM polr p JOIN zz USING (flow_id) JOIN pdv USING (flow_id)""",
+        "sg": f"""SELECT p.flow_id, p.violation, p.policy_severity, p.policy_category, coalesce(abs(zz.max_z) >= 3, false) AS ueba_alert, {ladder_sql('abs(zz.max_z)', 'zscore')} AS ueba_severity, p.is_attack, p.ml_score, p.ml_severity, 0.0 AS rule_score, p.ti_boost, p.ti_severity, p.eta_pure, p.n_anom AS eta_anomaly_count, coalesce(pdv.peer_score, 0) AS peer_score
+ FROM polr p LEFT JOIN zz USING (flow_id) LEFT JOIN pdv USING (flow_id)""",
         "fu": fuse_sql("sg"),
         "al": "SELECT fu.flow_id, c2.t_us, c2.src_ip, c2.dst_ip, c2.dst_port, fu.severity, fu.tag, c2.ml_type AS attack_type FROM fu JOIN c2 USING (flow_id) UNION ALL SELECT * FROM now",
         "al2": "SELECT * FROM al a WHERE NOT EXISTS (SELECT 1 FROM supp s WHERE s.src_ip = a.src_ip AND s.attack_type = a.attack_type AND s.expires_us > a.t_us)",

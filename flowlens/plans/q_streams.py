@@ -12,7 +12,7 @@ from flowlens.plans.q_features import CONN, _RK, conn
 from flowlens.plans.q_joins import DIMS, SUPP, dim
 from flowlens.plans.q_windows import HOST_SQL, ZX, _gate, recursive
 from flowlens.plans.registry import query
-from flowlens.session import scratch_path
+from flowlens.session import cut, scratch_path
 from flowlens.sources import zeek
 from flowlens.streaming import flow as Fs, keyed as K
 
@@ -71,9 +71,10 @@ def _(spark, sf):
 _AC = ["id", "flow_id", "t_us", "ts", "src_ip", "attack_type", "severity"]
 
 
-@query("stream_dedup", recursive("SELECT id FROM e WHERE hit", _gate(["src_ip", "attack_type"], _RK, "(b.t_us - e.lt >= 60000000 OR b.v > e.lv)"), "e"))
+@query("stream_dedup", recursive("SELECT id FROM e WHERE hit", _gate(["src_ip", "attack_type"], _RK, "(b.t_us - e.lt >= 60000000 OR b.v > e.lv)", "id % 7 = 0"), "e"))
 def _(spark, sf):
-    s = K.stream_dedup(streamed(alerts(spark, sf).select(*_AC).withColumn("rank", S.severity_rank("severity"))))
+    d = alerts(spark, sf).select(*_AC).withColumns({"rank": S.severity_rank("severity"), "correlated": F.col("id") % 7 == 0})
+    s = K.stream_dedup(streamed(d), correlated="correlated")
     return Fs.collected(spark, Fs.run_available(s), s.schema).select("id")
 
 
@@ -172,9 +173,9 @@ _MF = ["x1", "x2", "duration", "fwd_bytes", "bwd_bytes", "dst_port", "flag_entro
 @query("fit_models")
 def _(spark, sf):
     t = _train(spark, sf)
-    m = M.fit_stage1(t, features=_MF, gbt=5, trees=10, lr=10, depth=4)
-    s = M.score_members(m, t)
-    g = M.tune_fusion(s, step=0.25)
+    m = M.fit_stage1(t, features=_MF)
+    s = cut(M.score_members(m, t).select("label", "p_1", "p_2", "p_3"), "members")  # scored once for all passes below
+    g = M.tune_fusion(s)
     p = S.score_stage1(["p_1", "p_2", "p_3"], g["weights"], g["temperature"])
     return s.withColumn("predicted", F.when(p >= 0.5, 1).otherwise(0)).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 

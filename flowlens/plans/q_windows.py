@@ -297,18 +297,20 @@ def _(spark, sf):
     return R.reputation(flows(spark, sf), bucket_us=120_000_000)
 
 
-def _gate(keys, value, cond):
+def _gate(keys, value, cond, force="false"):
+    cond = f"({cond} OR b.f)"
     on = " AND ".join(f"b.{k} = e.{k}" for k in keys)
     k = ", ".join(keys)
     bk = ", ".join(f"b.{x}" for x in keys)
-    return {"aa": f"SELECT id, flow_id, t_us, src_ip, attack_type, {value} AS v, row_number() OVER (PARTITION BY {k} ORDER BY t_us, flow_id) AS rn FROM alerts",
+    return {"aa": f"SELECT id, flow_id, t_us, src_ip, attack_type, {value} AS v, {force} AS f, row_number() OVER (PARTITION BY {k} ORDER BY t_us, flow_id) AS rn FROM alerts",
             "e": f"""SELECT {k}, rn, id, true AS hit, t_us AS lt, v AS lv FROM aa WHERE rn = 1 UNION ALL
  SELECT {bk}, b.rn, b.id, {cond}, CASE WHEN {cond} THEN b.t_us ELSE e.lt END, CASE WHEN {cond} THEN b.v ELSE e.lv END FROM e JOIN aa b ON {on} AND b.rn = e.rn + 1"""}
 
 
-@query("dedup_alert_60s", recursive("SELECT id FROM e WHERE hit", _gate(["src_ip", "attack_type"], _RK, "(b.t_us - e.lt >= 60000000 OR b.v > e.lv)"), "e"))
+@query("dedup_alert_60s", recursive("SELECT id FROM e WHERE hit", _gate(["src_ip", "attack_type"], _RK, "(b.t_us - e.lt >= 60000000 OR b.v > e.lv)", "id % 7 = 0"), "e"))
 def _(spark, sf):
-    return R.dedup_alert_60s(alerts(spark, sf).drop("rule_names", "ts"), bucket_us=120_000_000).select("id")
+    d = alerts(spark, sf).drop("rule_names", "ts").withColumn("correlated", F.col("id") % 7 == 0)
+    return R.dedup_alert_60s(d, bucket_us=120_000_000, correlated="correlated").select("id")
 
 
 @query("dedup_cooldown_300s", recursive("SELECT id FROM e WHERE hit", _gate(["src_ip"], "attack_type", "(b.t_us - e.lt >= 300000000 OR b.v <> e.lv)"), "e"))

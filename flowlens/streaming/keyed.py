@@ -125,21 +125,22 @@ def stream_ueba(stream: DataFrame, *, min_samples: int = V.UEBA_MIN_SAMPLES, res
 
 
 # ── alert gate ───────────────────────────────────────────────────────────────
-def gate_fold(value: str, wait_us: int, rule: str):
-    """Keep a row unless the key's last kept row blocks it."""
+def gate_fold(value: str, wait_us: int, rule: str, always: str | None = None):
+    """Keep a row unless the key's last kept row blocks it; rows that `always` marks are kept whatever came before."""
     def fold(key, rows, state):
         keep = np.zeros(len(rows), dtype=bool)
         last = tuple(state) if state else None
+        force = rows[always].fillna(False).to_numpy(bool) if always else np.zeros(len(rows), dtype=bool)
         for i, (t, v) in enumerate(zip(rows["t_us"], rows[value])):
-            if last is None or t - last[0] >= wait_us or (v > last[1] if rule == "rise" else v != last[1]):
+            if last is None or force[i] or t - last[0] >= wait_us or (v > last[1] if rule == "rise" else v != last[1]):
                 keep[i], last = True, (int(t), int(v))
         return rows[keep], last
     return fold
 
 
-def stream_dedup(stream: DataFrame, *, wait_us: int = 60_000_000, late_after="2 minutes") -> DataFrame:
-    """Alert stream without repeats; needs `rank`. State expires after the wait."""
-    return keyed_fold(stream, keys=["src_ip", "attack_type"], order=["t_us", "flow_id"], fold=gate_fold("rank", wait_us, "rise"),
+def stream_dedup(stream: DataFrame, *, wait_us: int = 60_000_000, late_after="2 minutes", correlated: str | None = None) -> DataFrame:
+    """Alert stream without repeats; needs `rank`. Alerts that `correlated` marks are always kept. State expires after the wait."""
+    return keyed_fold(stream, keys=["src_ip", "attack_type"], order=["t_us", "flow_id"], fold=gate_fold("rank", wait_us, "rise", correlated),
                       late_after=late_after, keep_seconds=wait_us / 1e6, output=_out(stream, []))
 
 

@@ -104,11 +104,11 @@ def test_running_and_last_rows(spark):
             assert last[r[0]] == sum(q[8] for q in mine[max(0, i - 4):i + 1])
 
 
-def direct_gate(rows, wait, rule):
+def direct_gate(rows, wait, rule, forced=frozenset()):
     state, keep = {}, set()
     for i, t, k, v in sorted(rows, key=lambda r: (r[1], r[0])):
         s = state.get(k)
-        if s is None or t - s[0] >= wait or (v > s[1] if rule == "rise" else v != s[1]):
+        if s is None or i in forced or t - s[0] >= wait or (v > s[1] if rule == "rise" else v != s[1]):
             state[k] = (t, v)
             keep.add(i)
     return keep
@@ -125,6 +125,17 @@ def test_emit_gate_equals_direct(spark, rule, step):
     assert out.count() == len(rows)
 
 
+@pytest.mark.parametrize("rule", ["rise", "change"])
+@pytest.mark.parametrize("step", [S, 20 * S])
+def test_emit_gate_keeps_marked_rows(spark, rule, step):
+    rnd = random.Random(12)
+    rows = [(i, rnd.randrange(900) * step, "hot" if rnd.random() < 0.9 else f"k{rnd.randrange(3)}", rnd.randrange(4)) for i in range(600)]
+    d = spark.createDataFrame(rows, "flow_id long, t_us long, k string, v long").withColumn("mark", F.when(F.col("flow_id") % 5 > 0, F.col("flow_id") % 9 == 0))
+    out = R.emit_gate(d, keys="k", value="v", wait_us=60 * S, rule=rule, bucket_us=120 * S, always="mark")
+    forced = {i for i in range(600) if i % 5 and i % 9 == 0}
+    assert {r["flow_id"] for r in out.filter("emitted").collect()} == direct_gate(rows, 60 * S, rule, forced)
+
+
 def test_dedup_edges(spark):
     rows = [(1, 0, "a", "x", "LOW"), (2, 60 * S - 1, "a", "x", "LOW"), (3, 60 * S, "a", "x", "LOW"), (4, 61 * S, "a", "x", "HIGH"), (5, 62 * S, "a", "x", "LOW"), (6, 62 * S, "a", "y", "LOW")]
     d = spark.createDataFrame(rows, "flow_id long, t_us long, src_ip string, attack_type string, severity string")
