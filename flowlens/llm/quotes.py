@@ -53,11 +53,7 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     parents = votes.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct(-F.col("level"), "votes", "source")).alias("quoted_parent"))
     contents = (lines.where((F.col("level") == 0) & ~(F.col("announces") & (F.coalesce("next_level", F.lit(0)) > 0)))
                 .groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: x.body), "\n").alias("content")))
-    before = Window.partitionBy("conv_id").orderBy("turn")
-    chain = rows.select("conv_id", "turn", F.lag("turn").over(before).alias("previous")).join(parents, ["conv_id", "turn"], "left")
-    starts = F.col("previous").isNull() | (F.coalesce("quoted_parent", "previous") != F.col("previous"))
-    chain = chain.withColumn("parent_turn", F.coalesce("quoted_parent", "previous")).withColumn("branch", F.max(F.when(starts, F.col("turn"))).over(before))
-    chain = keep(chain.select("conv_id", "turn", "parent_turn", "branch"), "message-parents", 10000)
+    chain = keep(chained(rows.select("conv_id", "turn"), parents), "message-parents", 10000)
     keyed = chain.join(branch_keys(chain), ["conv_id", "branch"]).withColumn("order_key", F.concat("key", F.array(F.lit(0).cast("long"), F.col("turn").cast("long"))))
     trim: Column = F.btrim(F.coalesce("content", F.lit("")), F.lit(" \t\n\r"))
     return (keyed.join(counts, ["conv_id", "turn"], "left").join(contents, ["conv_id", "turn"], "left")
@@ -65,6 +61,28 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
                     F.coalesce("depth_quoted", F.lit(0)).alias("depth_quoted"), "branch", "order_key", trim.alias("content")))
 
 
+def chained(turns: DataFrame, parents: DataFrame) -> DataFrame:
+    """(conv_id, turn, parent_turn, branch) of distinct (conv_id, turn), with (conv_id, turn, quoted_parent) of some.
+
+    Messages are dealt into ranges of (conv_id, turn) and looked at range by range, so a large conversation is many
+    tasks; the message before a range and the branch it is in come from one row a conversation and range.
+    """
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(turns.repartitionByRange(n, "conv_id", "turn").withColumn("range", F.spark_partition_id()), "message-order", 10000)
+    own = Window.partitionBy("conv_id", "range").orderBy("turn")
+    ranges = Window.partitionBy("conv_id").orderBy("range")
+    ends = dealt.groupBy("conv_id", "range").agg(F.max("turn").alias("last"))
+    ends = ends.select("conv_id", "range", F.lag("last").over(ranges).alias("range_before"))
+    chain = dealt.select("conv_id", "range", "turn", F.lag("turn").over(own).alias("before")).join(ends, ["conv_id", "range"])
+    chain = chain.join(parents, ["conv_id", "turn"], "left").withColumn("previous", F.coalesce("before", "range_before"))
+    starts = F.col("previous").isNull() | (F.coalesce("quoted_parent", "previous") != F.col("previous"))
+    chain = chain.select("conv_id", "range", "turn", F.coalesce("quoted_parent", "previous").alias("parent_turn"), F.when(starts, F.col("turn")).alias("start"))
+    chain = keep(chain, "message-starts", 10000)
+    tops = chain.groupBy("conv_id", "range").agg(F.max("start").alias("top"))
+    tops = tops.select("conv_id", "range", F.max("top").over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("branch_before"))
+    return chain.join(tops, ["conv_id", "range"]).select("conv_id", "turn", "parent_turn", F.coalesce(F.max("start").over(own), "branch_before").alias("branch"))
+
+
 def branch_keys(chain: DataFrame) -> DataFrame:
     """(conv_id, branch, key) of each branch: for every branch on the way, how far before the end it leaves and its first turn.
 

@@ -250,6 +250,24 @@ def test_common_subsequence():
         assert len(page_diff.common(a, b)) == best[-1][-1]
 
 
+def test_large_conversation_is_cut_into_ranges(spark):
+    rnd = random.Random(5)
+    rows = [("big" if rnd.random() < 0.8 else f"c{i % 5}", i) for i in range(500)]
+    quoted = {(c, t): rnd.choice([u for d, u in rows if d == c and u < t] or [None]) for c, t in rows if t % 13 == 0}
+    quoted = {k: p for k, p in quoted.items() if p is not None}
+    turns = spark.createDataFrame(rows, "conv_id string, turn long")
+    parents = spark.createDataFrame([(*k, p) for k, p in quoted.items()], "conv_id string, turn long, quoted_parent long")
+    want, last = set(), {}
+    for c, t in sorted(rows):
+        before, branch = last.get(c, (None, None))
+        parent = quoted.get((c, t), before)
+        branch = t if before is None or parent != before else branch
+        last[c] = (t, branch)
+        want.add((c, t, parent, branch))
+    got = quotes.chained(turns, parents).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
 def test_quotation_links(spark):
     rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "On Monday, U wrote:\n> How are you?\nFine."), (1, 2, "user", "x"), (1, 3, "user", ">> how are  YOU?\n> fine.\nGood"),
             (1, 4, "assistant", "> Hello there\nhi"), (1, 5, "user", "ok"), (2, 0, "user", None), (None, 0, "user", "a"), (3, None, "user", "a"), (1, 5, "user", "ok")]
