@@ -18,6 +18,7 @@ from flowlens.llm.tables import arrow, keep, with_ids
 EDITS = 2
 MIN_BYTES = 20  # shorter lines are too common in clean prose to be told apart by two edits; they are left alone
 RUN = 512  # lines under one signature that are paired at once
+WORD = r"[^\x20\x09-\x0D]"
 SEEN = 1 << 20  # hashes of lines a task remembers, so as not to emit a common line again and again
 
 
@@ -107,6 +108,14 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.octet_length("line") >= MIN_BYTES).select("doc_id", "line_no", "line", *names("line"))
 
 
+def first_short_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fresh): numbers of the lines under MIN_BYTES with a word that stand nowhere before, of documents that have any."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), line_columns(text_col))
+    rows = rows.where((F.octet_length("line") < MIN_BYTES) & F.col("line").rlike(WORD)).select("doc_id", "line_no", *names("line"))
+    places = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    return places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("at.line_no").alias("fresh"))
+
+
 def names(col: str):
     return F.xxhash64(col).bitwiseAND(F.lit(-4)).alias("h1"), F.xxhash64(F.lit(1), F.col(col)).alias("h2")
 
@@ -301,16 +310,24 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_
                         length_col: str | None = None) -> DataFrame:
     """docs with repeated lines cut from the texts, other columns unchanged.
 
-    A document of which nothing but white space is left goes if drop_empty holds; one that lost no line always stays.
+    A document that lost lines goes if drop_empty holds and nothing new is left of it: only white space and lines under
+    MIN_BYTES that stand at an earlier place already. One that lost no line always stays, with its short lines.
     length_col: a column that is set to the code points of texts that were cut.
     """
     gone = line_verdicts(docs, edits, id_col, text_col).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    gone_col, key = "__gone_lines", "__gone_id"
-    gone = gone.select(F.col("doc_id").alias(key), F.col("gone").alias(gone_col))
-    rest = F.array_join(F.filter(F.split(text_col, "\\n"), lambda x, i: ~F.array_contains(gone_col, i)), "\\n")
-    out = docs.join(gone, docs[id_col] == gone[key], "left").withColumn(text_col, F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(rest))
+    gone_col, fresh_col, key = "__gone_lines", "__fresh_lines", "__gone_id"
+    if drop_empty:
+        gone = gone.join(first_short_lines(docs, id_col, text_col), "doc_id", "left")
+    else:
+        gone = gone.withColumn("fresh", F.lit(None).cast("array<int>"))
+    gone = gone.select(F.col("doc_id").alias(key), F.col("gone").alias(gone_col), F.col("fresh").alias(fresh_col))
+    lines = F.split(text_col, "\\n")
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone_col, i)), "\n")
+    new = F.filter(lines, lambda x, i: ~F.array_contains(gone_col, i) & x.rlike(WORD) & ((F.octet_length(x) >= MIN_BYTES) | F.coalesce(F.array_contains(fresh_col, i), F.lit(False))))
+    out = docs.join(gone, docs[id_col] == gone[key], "left")
     if drop_empty:
-        out = out.where(F.col(gone_col).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+        out = out.where(F.col(gone_col).isNull() | (F.size(new) > 0))
+    out = out.withColumn(text_col, F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(rest))
     if length_col:
         out = out.withColumn(length_col, F.when(F.col(gone_col).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast("long")))
     return out.select(*docs.columns)

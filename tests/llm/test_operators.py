@@ -123,6 +123,16 @@ def test_line_verdicts_equal_brute_force(spark, none):
     assert edit_join.drop_repeated_lines(docs).columns == docs.columns and edit_join.drop_repeated_lines(none).count() == 0
 
 
+def test_copy_with_short_lines_goes(spark):
+    long = "a line that is long enough to be told apart"
+    rows = [(1, f"{long}\nHaanth.\nkéé", None, None), (2, f"Haanth.\n{long}\n\nkéé", None, None), (3, f"{long}\nOnly here.\nHaanth.", None, None), (4, "Haanth.", None, None),
+            (5, f"New.\n{long}", None, None), (5, f"Haanth.\n{long}", None, None), (6, long, None, None)]
+    got = sorted((r.doc_id, r.text) for r in edit_join.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, rows[0][1]), (3, "Only here.\nHaanth."), (4, "Haanth."), (5, "Haanth."), (5, "New.")]
+    kept = edit_join.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA), drop_empty=False).collect()
+    assert len(kept) == len(rows) and {r.text for r in kept if r.doc_id == 2} == {"Haanth.\n\nkéé"}
+
+
 def test_large_runs_of_one_signature_lose_no_link(spark):
     head = "a common passage at the beginning of very many lines "
     rows = [(i, head + f"{i:04d}" + " and its end, the same in each", None, None) for i in range(700)]
