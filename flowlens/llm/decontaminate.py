@@ -2,10 +2,10 @@
 
 Words are lower-case runs without white space, shingles are SHINGLE words (an item with fewer words is one shingle). A
 window has as many words as an item; a document shorter than the item is one window. A window can only be similar to
-an item if it holds one of its shingles, so fingerprints are made of the windows that a shared shingle aligns, whoever
-the item is. Fingerprints are cut into RADIUS + 1 blocks: two of them within RADIUS bits agree on a block, so an
-equality join on blocks finds all of these. Candidates are confirmed by exact similarity: shingles weigh as often as
-they occur, and 100 * sum of smaller weights >= percent * sum of larger ones must hold.
+an item if enough of its places hold shingles of items of that length, wherever these stand in them; fingerprints are
+made of every window that does. Fingerprints are cut into RADIUS + 1 blocks: two of them within RADIUS bits agree on a
+block, so an equality join on blocks finds all of these. Candidates are confirmed by exact similarity: shingles weigh as
+often as they occur, and 100 * sum of smaller weights >= percent * sum of larger ones must hold.
 """
 
 from __future__ import annotations
@@ -49,6 +49,30 @@ def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counted.select(*keys, fp.alias("fp"))
 
 
+def occurrences(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """(keys, g) with its g for each occurrence of a shingle."""
+    return counts.select(*keys, "g", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))).alias("nth")).select(*keys, "g")
+
+
+def starts(percent: int) -> Column:
+    """Starts of all windows that can be similar, from rows (n, w, k, places): sorted places of shingles of items of w words.
+
+    A window of nw shingles needs percent * (nw + item shingles) / (100 + percent) of them, so it spans that many places
+    one after the other; each run of so many gives the starts that the run before has not given.
+    """
+    last, size = F.greatest(F.lit(0), F.col("n") - F.col("w")), F.col("w") - F.col("k") + 1
+    both = size + F.least(size, F.col("n") - F.col("k") + 1)
+    need = F.greatest(F.lit(1), F.ceil(F.lit(percent) * both / F.lit(100 + percent) - F.lit(1e-9)).cast("int"))
+
+    def of(i: Column) -> Column:
+        given = F.when(i > 0, F.least(F.get("places", i - 1), last) + 1).otherwise(F.lit(0))
+        low = F.greatest(given, F.get("places", i + need - 1) - size + 1)
+        high = F.least(F.get("places", i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size("places") >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size("places") - need), of))).otherwise(F.array().cast("array<int>"))
+
+
 def blocks(fp: str) -> Column:
     """Block number and value of each block of a fingerprint, as one long each."""
     parts = [F.shiftright(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) + F.lit(b << 32) for b, (lo, hi) in enumerate(zip(EDGES, EDGES[1:], strict=False))]
@@ -73,33 +97,36 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, id_c
         by_k = F.when(F.col("k") == k, grams(F.col("ws"), k)).otherwise(by_k)
     it = it.withColumn("gs", by_k)
     item_grams = keep(it.select("item_id", F.xxhash64("ws").alias("ik"), "w", "k", F.posexplode("gs").alias("off", "g")), "item-grams", 10000)
-    anchors = small(item_grams.select("g", "w", "k", "off").distinct())
+    anchors = small(item_grams.select("g", "w", "k").distinct())
 
     base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("rk"), words(F.col(text_col)).alias("ws"))
     hits = None
     for k in sizes:
         found = base.select("doc_id", "rk", F.size("ws").alias("n"), F.posexplode(grams(F.col("ws"), k)).alias("pos", "g")).join(anchors.where(F.col("k") == k), "g")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n") - F.col("w")))
-        found = found.select("doc_id", "rk", "w", "k", start.alias("start"))
+        found = found.select("doc_id", "rk", "n", "w", "k", "pos")
         hits = found if hits is None else hits.union(found)
-    windows = keep(hits.distinct(), "windows", 10000)
+    places = hits.groupBy("doc_id", "rk", "n", "w", "k").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    windows = keep(places.select("doc_id", "rk", "w", "k", F.explode(starts(percent)).alias("start")), "windows", 10000)
 
     texts = with_ids(base, windows.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "rk"])
     sliced = F.lit(None).cast("array<bigint>")
     for k in sizes:
-        sliced = F.when(F.col("k") == k, F.slice(grams(F.col("ws"), k), F.col("start") + 1, F.greatest(F.col("w") - F.lit(k) + 1, F.lit(1)))).otherwise(sliced)
+        sliced = F.when(F.col("k") == k, grams(F.col("part"), k)).otherwise(sliced)
     window = ["doc_id", "rk", "w", "k", "start"]
-    own = keep(windows.join(texts, ["doc_id", "rk"]).select(*window, F.explode(sliced).alias("g")), "window-grams", 10000)
-
-    probes = fingerprint(own, window).select(*window, "fp", F.explode(blocks("fp")).alias("block"))
-    index = fingerprint(item_grams, ["item_id", "ik", "w", "k"]).select("item_id", "ik", "w", F.col("fp").alias("item_fp"), F.explode(blocks("fp")).alias("block"))
+    parts = windows.join(texts, ["doc_id", "rk"]).select(*window, F.slice("ws", F.col("start") + 1, F.col("w")).alias("part"))
+    own = parts.select(*window, F.explode(sliced).alias("g"))
+    counted = keep(own.groupBy(*window, "g").agg(F.count("*").alias("c")), "window-grams", 10000)
+    item_counts = keep(item_grams.groupBy("item_id", "ik", "w", "k", "g").agg(F.count("*").alias("ic")), "item-counts", 10000)
+
+    probes = fingerprint(occurrences(counted, window, "c"), window).select(*window, "fp", F.explode(blocks("fp")).alias("block"))
+    item = ["item_id", "ik", "w", "k"]
+    index = fingerprint(occurrences(item_counts, item, "ic"), item).select("item_id", "ik", "w", F.col("fp").alias("item_fp"), F.explode(blocks("fp")).alias("block"))
     near = probes.join(small(keep(index, "item-blocks")), ["w", "block"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     candidates = keep(near.select(*window, "item_id", "ik").distinct(), "window-candidates", 10000)
 
-    counted = own.groupBy(*window, "g").agg(F.count("*").alias("c"))
-    item_counts = item_grams.groupBy("item_id", "ik", "g").agg(F.count("*").alias("ic"))
-    totals = own.groupBy(*window).agg(F.count("*").alias("nw"))
-    item_totals = item_grams.groupBy("item_id", "ik").agg(F.count("*").alias("ni"))
+    totals = counted.groupBy(*window).agg(F.sum("c").alias("nw"))
+    item_totals = item_counts.groupBy("item_id", "ik").agg(F.sum("ic").alias("ni"))
+    item_counts = item_counts.select("item_id", "ik", "g", "ic")
     shared = (candidates.join(counted, window).join(small(item_counts), ["item_id", "ik", "g"]).groupBy(*window, "item_id", "ik").agg(F.sum(F.least("c", "ic")).alias("shared"))
               .join(totals, window).join(small(item_totals), ["item_id", "ik"]))
     good = shared.where(100 * F.col("shared") >= percent * (F.col("nw") + F.col("ni") - F.col("shared")))

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,34 @@ def test_contaminated_documents(spark, none):
     assert decontaminate.contaminated(none, it).count() == 0 and decontaminate.contaminated(docs, it.where("false")).count() == 0
 
 
+def similar_starts(doc, item):
+    def weights(ws):
+        return Counter(tuple(ws[i:i + 5]) for i in range(len(ws) - 4))
+
+    doc, item = doc.split(), item.split()
+    want = []
+    for s in range(max(len(doc) - len(item), 0) + 1):
+        a, b = weights(doc[s:s + len(item)]), weights(item)
+        if 100 * sum((a & b).values()) >= 80 * sum((a | b).values()):
+            want.append(s)
+    return want
+
+
+def test_reordered_passages_are_found_at_every_start(spark):
+    rng = random.Random(12)
+    rows, items = [], []
+    for i in range(8):
+        ws = [f"w{i}x{j}" for j in range(50)]
+        cut = 25 if i < 4 else rng.randrange(8, 42)
+        noise = [f"n{i}x{j}" for j in range(60)]
+        items.append((i, " ".join(ws)))
+        rows.append((i, " ".join([*noise[:7 * i], *ws[cut:], *ws[:cut], *noise[7 * i:]]), "", ""))
+    rows += [(20, items[0][1] + " end", "", ""), (21, " ".join(items[0][1].split()[:47]), "", ""), (22, items[1][1] + " " + items[1][1], "", "")]
+    got = {(r.doc_id, r.item_id): r.windows for r in decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i): len(similar_starts(t, x)) for d, t, *_ in rows for i, x in items}
+    assert all(want[i, i] for i in range(8)) and got == {k: n for k, n in want.items() if n}
+
+
 def test_sentencepiece_parity_and_round_trip(docs, none, texts):
     import sentencepiece
 
