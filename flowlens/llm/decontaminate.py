@@ -3,9 +3,10 @@
 Words are lower-case runs without white space, shingles are SHINGLE words (an item with fewer words is one shingle). A
 window has as many words as an item; a document shorter than the item is one window. A window can only be similar to
 an item if enough of its places hold shingles of items of that length, wherever these stand in them; fingerprints are
-made of every window that does. Fingerprints are cut into RADIUS + 1 blocks: two of them within RADIUS bits agree on a
-block, so an equality join on blocks finds all of these. Candidates are confirmed by exact similarity: shingles weigh as
-often as they occur, and 100 * sum of smaller weights >= percent * sum of larger ones must hold.
+made of every window that does. They are made of pairs (shingle, how manyth of its kind), so that a repeated shingle weighs
+no more than a single one in each bit. Fingerprints are cut into RADIUS + 1 blocks: two of them within RADIUS bits agree
+on a block, so an equality join on blocks finds all of these. Candidates are confirmed by exact similarity: shingles
+weigh as often as they occur, and 100 * sum of smaller weights >= percent * sum of larger ones must hold.
 """
 
 from __future__ import annotations
@@ -50,8 +51,8 @@ def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def occurrences(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """(keys, g) with its g for each occurrence of a shingle."""
-    return counts.select(*keys, "g", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))).alias("nth")).select(*keys, "g")
+    """(keys, g) with one g for each occurrence of a shingle: common ones of two sides are as many as their common weight."""
+    return counts.select(*keys, "g", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))).alias("nth")).select(*keys, F.xxhash64("g", "nth").alias("g"))
 
 
 def starts(percent: int) -> Column:

@@ -186,6 +186,14 @@ def test_reordered_passages_are_found_at_every_start(spark):
     assert all(want[i, i] for i in range(8)) and got == {k: n for k, n in want.items() if n}
 
 
+def test_items_with_repeated_shingles_are_found(spark):
+    items = [(i, " ".join([*(f"w{i}x{j}" for j in range(45)), *["0"] * 9])) for i in range(40)]
+    rows = [(i, " ".join([*(f"w{i}x{j}" for j in range(45)), *["0"] * 4, *(f"n{i}x{j}" for j in range(5))]), "", "") for i in range(40)]
+    assert all(similar_starts(t, items[i][1]) == [0] for i, t, *_ in rows)
+    got = decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.best_shared) for r in got) == [(i, i, 45) for i in range(40)]
+
+
 def test_sentencepiece_parity_and_round_trip(docs, none, texts):
     import sentencepiece
 
