@@ -102,10 +102,11 @@ def line_columns(text_col: str = "text"):
     return F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of every line of MIN_BYTES or more, of rows with an id."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, line, h1, h2) of every line of MIN_BYTES or more, with short of shorter ones with a word too, of rows with an id."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), line_columns(text_col))
-    return rows.where(F.octet_length("line") >= MIN_BYTES).select("doc_id", "line_no", "line", *names("line"))
+    wanted = F.octet_length("line") >= MIN_BYTES
+    return rows.where(wanted | F.col("line").rlike(WORD) if short else wanted).select("doc_id", "line_no", "line", *names("line"))
 
 
 def first_short_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -287,15 +288,17 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return keep(good.union(good.select("g1", "g2", "h1", "h2")).distinct(), "line-links", 10000)
 
 
-def line_verdicts(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_verdicts(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(doc_id, line_no, h1, h2, class_doc_id, class_line_no, n_links, kept) of every line of MIN_BYTES or more.
 
+    short: shorter lines with a word have rows too: classes of equal lines, never linked.
+
     Equal lines are one class, named by its first place (smallest doc_id, then line number). Two classes are linked if
     their lines differ by `edits` edits at most. A line stays if it stands at its class's first place and no linked
     class begins earlier. Rows without id or text have no lines; rows that repeat an id keep or lose a line together.
     """
     lines = lines_of(docs, id_col, text_col)
-    narrow = keep(lines.select("doc_id", "line_no", "h1", "h2"), "lines", 10000)
+    narrow = keep(lines_of(docs, id_col, text_col, short).select("doc_id", "line_no", "h1", "h2"), "lines", 10000)
     classes = keep(narrow.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at")), "line-classes", 10000)
     linked = links(lines, edits).join(classes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("at").alias("other")), ["g1", "g2"])
     linked = linked.groupBy("h1", "h2").agg(F.count("*").alias("n_links"), F.min("other").alias("earliest"))

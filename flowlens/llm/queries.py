@@ -65,8 +65,8 @@ FROM u JOIN c USING (line) LEFT JOIN g USING (line)
 
 @query("op5_line_edit_join", OP5_SQL)
 def op5(spark, sf_dir):
-    """Every line of all documents: the first place of its text, links to other texts within two edits, and whether it stays."""
-    return edit_join.line_verdicts(table(spark, sf_dir, "documents")).drop("h1", "h2")
+    """Every line with a word of all documents: the first place of its text, links to other texts within two edits, and whether it stays."""
+    return edit_join.line_verdicts(table(spark, sf_dir, "documents"), short=True).drop("h1", "h2")
 
 
 OP10_SQL = f"""

@@ -134,6 +134,14 @@ def test_copy_with_short_lines_goes(spark):
     assert len(kept) == len(rows) and {r.text for r in kept if r.doc_id == 2} == {"Haanth.\n\nkéé"}
 
 
+def test_short_lines_have_exact_classes(spark, tmp_path):
+    long = "a line that is long enough to be told apart"
+    rows = [(1, f"Haanth.\n{long}\nHaanth.\n \n", None, None), (2, f"{long}!\n\nHaanti.\nHaanth.", None, None), (3, None, None, None), (None, "Haanth.", None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES["op5_line_edit_join"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 1, 0, 0, True), (1, 1, 1, 1, 1, True), (1, 2, 1, 0, 0, False), (2, 0, 2, 0, 1, False), (2, 2, 2, 2, 0, True), (2, 3, 1, 0, 0, False)]
+
+
 def test_large_runs_of_one_signature_lose_no_link(spark):
     head = "a common passage at the beginning of very many lines "
     rows = [(i, head + f"{i:04d}" + " and its end, the same in each", None, None) for i in range(700)]
