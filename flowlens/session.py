@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows to Python in batches of bounded bytes, however long their texts are
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 _LOCAL: dict[str, str] = {}
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
