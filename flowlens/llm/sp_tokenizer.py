@@ -7,6 +7,7 @@ The model file is read field by field from its protobuf wire format; the normali
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -16,13 +17,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.chunks import ChunkCache
-from flowlens.llm.tables import arrow
+from flowlens.llm.chunks import ChunkCache, fresh
+from flowlens.llm.tables import arrow, by_bytes
 
 MARK = "▁"
-SLICE = 250  # texts that are cut into parts at once
+SLICE = 4 << 20  # bytes of text that are cut into parts at once, more only for one longer text
+ROWS = 250  # rows that are decoded at once
 # Piece types and model types of the SentencePiece protobuf: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -169,9 +172,13 @@ class Codec:
     and compared once while the cache holds it; a text is in parity if all its parts are. Otherwise whole texts are.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, threads: int = 1):
+        """threads: of both libraries, for each batch; the tokenizers library decides by TOKENIZERS_PARALLELISM, set here for the process."""
         import sentencepiece
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        self.threads = threads
         self.model = SpModel.parse(data)
         self.tok = build(data)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -181,53 +188,76 @@ class Codec:
         self.bare = build(data, bare=True) if self.by_part else None
         self.cache = ChunkCache(self.parts_encoded)
 
-    def parts_encoded(self, parts: list[str]):
+    def parts_encoded(self, rests: list[str]):
+        """Parts are named by what follows their first marker."""
+        parts = [MARK + r for r in rests]
         ids = [e.ids for e in self.bare.encode_batch_fast(parts, add_special_tokens=False)]
-        want = self.sp.encode([p.replace(MARK, " ")[1:] for p in parts], num_threads=1)
-        want = [[self.sp.piece_to_id(MARK)] if p == MARK else w for p, w in zip(parts, want, strict=True)]  # alone it would be an empty text
+        want = self.sp.encode([r.replace(MARK, " ") for r in rests], num_threads=self.threads)
+        want = [w if r else [self.sp.piece_to_id(MARK)] for r, w in zip(rests, want, strict=True)]  # alone it would be an empty text
         back = self.bare.decode_batch(ids, skip_special_tokens=False)
         return ids, [i == w and b == p for i, w, b, p in zip(ids, want, back, parts, strict=True)]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of texts, parity of texts)."""
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of texts, parity of texts) of a column of whole texts; a null text is empty."""
         if self.by_part:
-            cut = [self.part.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-            return self.cache.encode(cut)
+            return self.encode_by_part(fresh(column))
+        texts = ["" if t is None else t for t in column.to_pylist()]
         ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        want = self.sp.encode(texts, num_threads=1)
+        want = self.sp.encode(texts, num_threads=self.threads)
         back = self.decode(ids)
         good = [i == w and b == self.sp.decode(w) for i, w, b in zip(ids, want, back, strict=True)]
         return np.fromiter((x for i in ids for x in i), np.int64), np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64), np.array(good, bool)
 
+    def encode_by_part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts with single spaces between words and no marker are cut by Arrow, the others one by one."""
+        odd = pc.or_(pc.match_substring_regex(texts, f"^$|^ |  | $|{MARK}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        whole, single = np.flatnonzero(~odd), np.flatnonzero(odd)
+        split = pc.split_pattern(texts.take(pa.array(whole)), " ")
+        cut = [self.part.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts.take(pa.array(single)).to_pylist()]
+        edges = split.offsets.to_numpy().astype(np.int64)
+        found = [self.cache.encode(split.flatten(), edges - edges[0]),
+                 self.cache.encode(pa.array([p[1:] for c in cut for p in c], pa.large_string()), np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64))]
+        size, begin, good = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        before = 0
+        for rows, (ids, off, fine) in zip((whole, single), found, strict=True):
+            size[rows], begin[rows], good[rows] = np.diff(off), before + off[:-1], fine
+            before += len(ids)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = np.concatenate([ids for ids, _, _ in found])[np.arange(total) + np.repeat(begin - (ends - size), size)]
+        return flat, np.concatenate([[0], ends]).astype(np.int64), good
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def codec(path: str, threads: int = 1) -> Codec:
     with open(path, "rb") as f:
-        return Codec(f.read())
+        return Codec(f.read(), threads)
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: str, text_col: str = "text", ids: str = "ids", threads: int | None = None) -> DataFrame:
     """docs with ids (array<int>), n_tokens, ids_crc32 of the ids as little-endian 32-bit integers, and parity.
 
     model: path of a model file, present on every executor. A null text counts as empty and has no ids. Columns of docs
-    with these names are replaced; the text is kept.
+    with these names are replaced; the text is kept. threads: of the libraries in each task, spark.task.cpus by default.
     """
-
-    def run(batch):
-        texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-        flat, off, good = codec(model).encode(texts)
-        low = flat.astype("<u4")
-        crc = [zlib.crc32(low[a:b]) for a, b in zip(off, off[1:], strict=False)]
-        lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32)))
-        new = [lists, pa.array(np.diff(off)), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())]
-        return pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, ids, "n_tokens", "ids_crc32", "parity"])
+    threads = threads or int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+
+    def run(batches):
+        for batch in batches:
+            for part in by_bytes(batch, text_col, SLICE):
+                flat, off, good = codec(model, threads).encode(part.column(part.schema.get_field_index(text_col)))
+                low = flat.astype("<u4")
+                crc = [zlib.crc32(low[a:b]) for a, b in zip(off, off[1:], strict=False)]
+                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                new = [lists, pa.array(np.diff(off)), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, ids, "n_tokens", "ids_crc32", "parity"])
 
     rows = docs.drop(ids, "n_tokens", "ids_crc32", "parity")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{ids} array<int>, n_tokens long, ids_crc32 long, parity boolean"])
-    return arrow(rows, run, schema, SLICE)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -241,7 +271,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
 
     rows = docs.drop(out)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{out} string"])
-    return arrow(rows, run, schema, SLICE)
+    return arrow(rows, run, schema, ROWS)
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.session import cut
@@ -44,6 +46,16 @@ def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     return df.mapInArrow(run, schema)
 
 
+def by_bytes(batch: pa.RecordBatch, text_col: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many bytes of text, more only for one longer text; an empty batch as it is."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text_col))).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < batch.num_rows or at == 0:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows whose key is among ids (one column `on`, distinct): broadcast up to BROADCAST_IDS of them, else shuffled."""
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:

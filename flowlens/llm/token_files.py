@@ -14,59 +14,100 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from flowlens.llm.chunks import ChunkCache
+from flowlens.llm import spans
+from flowlens.llm.chunks import ChunkCache, fresh
 from flowlens.llm.tables import keep, small_batches
 from flowlens.session import scratch_path
 
-GROUP = 64  # runs that are encoded as one text
-MARKS = '.,;:!?()"'
-PARTS = 500_000  # runs a worker remembers: some 100 MB
+GROUP = 256  # words that are encoded as one text
+MARKS = '.,;:!?()"*$%&#'
+# A run of letters with marks before and after it; letters are those that have one lower-case form of one code point.
+PLAIN = r"^(?P<lead>[.,;:!?()\"*$%&#]*)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<trail>[.,;:!?()\"*$%&#]*)$"
+PROBES = ["a", "the", "zqxj", "straße", "ÿé", "ontiatth", "aaaaaaaa", "naïve"]
+PARTS = 300_000  # parts a worker remembers: some 60 MB
 NULL_ID = np.iinfo(np.int64).min
 INDEX = "partition long, name string, docs long, ids long, width int"
 
 
-@lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> tuple[ChunkCache, int]:
-    """For tokenizers that drop white space and encode every run between it for itself: a cache of such runs.
+class RunEncoder:
+    """For tokenizers that drop white space and encode every run between it for itself: encodes columns of whole texts.
 
-    If words end in a marker of their own, runs of letters, with MARKS before or after them as words of their own, are
-    encoded GROUP at a time, as one text, and told apart by the marker; a group with another number of words than
-    expected is encoded run by run, as are all other runs.
+    Equal runs of a batch are encoded once. If the tokenizer lowers case, ends every word in a marker of its own and
+    takes marks beside letters as words, which PROBES show, a PLAIN run is its marks, its word and its marks; words are
+    remembered, and new ones encoded GROUP at a time by the model alone and told apart by the marker.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    suffix = getattr(tok.model, "end_of_word_suffix", None)
-    size = tok.get_vocab_size(with_added_tokens=True)
-    last = np.zeros(size, bool)
-    if suffix:
-        last[[i for piece, i in tok.get_vocab(with_added_tokens=False).items() if piece.endswith(suffix)]] = True
 
-    def encode(parts: list[bytes]):
-        texts = [p.decode() for p in parts]
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok = Tokenizer.from_file(path)
+        self.size = self.tok.get_vocab_size(with_added_tokens=True)
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.size, bool)
+        self.words = Tokenizer(self.tok.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if suffix:
+            self.last[[i for piece, i in self.tok.get_vocab(with_added_tokens=False).items() if piece.endswith(suffix)]] = True
+        self.by_word = bool(suffix) and all(self.agrees(p, m) for p in PROBES for m in MARKS)
+        self.cache = ChunkCache(self.parts_encoded, PARTS)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def agrees(self, word: str, mark: str) -> bool:
+        alone, upper, lead, marked, both = self.whole([word, word.upper() if "ß" not in word and "ÿ" not in word else word, mark * 2, mark, mark * 2 + word + mark])
+        bare = self.words.encode(word, add_special_tokens=False).ids
+        return alone == upper == bare and both == lead + alone + marked and self.last[alone].sum() == self.last[alone[-1]] == 1
+
+    def parts_encoded(self, texts: list[str]):
         ids: list = [None] * len(texts)
-        bare = [t.strip(MARKS) for t in texts]
-        letters = [i for i, t in enumerate(bare) if t.isalpha()] if suffix else []
-        words = np.array([1 + (t[0] in MARKS) + (t[-1] in MARKS) for t in texts], np.int64)
-        groups = [letters[at:at + GROUP] for at in range(0, len(letters), GROUP)]
-        for group, e in zip(groups, tok.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and t.islower() and max(t) <= "ÿ" and "ª" not in t and "º" not in t and "µ" not in t] if self.by_word else []
+        groups = [plain[at:at + GROUP] for at in range(0, len(plain), GROUP)]
+        for group, e in zip(groups, self.words.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
             got = e.ids
-            ends = np.flatnonzero(last[got]) + 1
-            upto = np.cumsum(words[group])
-            if len(ends) == upto[-1] and ends[-1] == len(got):
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) == len(group) and ends[-1] == len(got):
                 begin = 0
-                for i, end in zip(group, ends[upto - 1].tolist(), strict=True):
+                for i, end in zip(group, ends.tolist(), strict=True):
                     ids[i], begin = got[begin:end], end
         rest = [i for i, x in enumerate(ids) if x is None]
-        for i, e in zip(rest, tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
+        for i, x in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            ids[i] = x
         return ids, [True] * len(ids)
 
-    return ChunkCache(encode, PARTS), size
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of texts) of a column of whole texts; a null text is empty."""
+        split = pc.ascii_split_whitespace(fresh(column, spans.LOWER if self.by_word else None))
+        edges = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        runs, which = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if self.by_word:
+            cut = pc.extract_regex(runs, PLAIN)
+            plain = cut.is_valid()
+            parts = [pc.if_else(plain, pc.struct_field(cut, i), pa.scalar(other, pa.string())) for i, other in ((0, ""), (1, None), (2, ""))]
+            parts[1] = pc.utf8_lower(parts[1]).fill_null("") if plain.true_count == len(runs) else pc.coalesce(pc.utf8_lower(parts[1]), runs)
+            ids, off, _ = self.cache.encode(pa.concat_arrays(parts), np.arange(3 * len(runs) + 1))
+            size = np.diff(off).reshape(3, len(runs))
+            # the three parts of a run stand one after another: gather them part by part
+            order = np.argsort(np.concatenate([np.repeat(np.arange(len(runs)) * 3 + k, size[k]) for k in range(3)]), kind="stable")
+            ids, off = ids[order], np.concatenate([[0], np.cumsum(size.sum(axis=0))])
+        else:
+            ids, off, _ = self.cache.encode(runs, np.arange(len(runs) + 1))
+        size = np.diff(off)[which]
+        ends = np.cumsum(size)
+        count = int(ends[-1]) if len(ends) else 0
+        flat = ids[np.arange(count) + np.repeat(off[which] - (ends - size), size)]
+        return flat, np.concatenate([[0], ends])[edges - edges[0]]
+
+
+@lru_cache(maxsize=2)
+def run_encoder(path: str) -> RunEncoder:
+    return RunEncoder(path)
 
 
 def as_uri(path: str) -> str:
@@ -90,19 +131,18 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
         where, top = open_fs(folder)
         where.create_dir(top, recursive=True)
-        cache, vocabulary = chunk_encoder(tokenizer)
-        width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
+        encoder = run_encoder(tokenizer)
+        width = 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4
         n_docs = n_ids = 0
         with where.open_output_stream(f"{top}/{name}.ids") as ids_, where.open_output_stream(f"{top}/{name}.offsets") as off_, where.open_output_stream(f"{top}/{name}.docs") as doc_:
             off_.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
-                texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-                flat, off, _ = cache.encode(texts)
+                flat, off = encoder.encode(batch.column(1))
                 flat = np.insert(flat, off[1:], end_id)
                 ids_.write(flat.astype(f"<u{width}").tobytes())
                 off_.write((n_ids + off[1:] + np.arange(1, len(off))).astype("<u8").tobytes())
                 doc_.write(batch.column(0).fill_null(NULL_ID).to_numpy().astype("<i8").tobytes())
-                n_docs, n_ids = n_docs + len(texts), n_ids + len(flat)
+                n_docs, n_ids = n_docs + batch.num_rows, n_ids + len(flat)
         yield pa.RecordBatch.from_pydict({"partition": [part], "name": [name], "docs": [n_docs], "ids": [n_ids], "width": [width]},
                                          schema=pa.schema([("partition", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("width", pa.int32())]))
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import spans
-from flowlens.llm.tables import arrow
+from flowlens.llm.tables import arrow, small_batches
 
 BITS = 18
 PREFIXES = (4, 6)
@@ -133,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(off, pa.array(flat)), pa.ListArray.from_arrays(off, pa.array(values))], ["kind", "id", "f", "v"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").select("kind", "id", "text")
-    got = arrow(own, run, "kind int, id long, f array<int>, v array<float>").toArrow().combine_chunks().sort_by([("kind", "ascending"), ("id", "ascending")])
+    with small_batches(docs.sparkSession):
+        got = arrow(own, run, "kind int, id long, f array<int>, v array<float>").toArrow().combine_chunks().sort_by([("kind", "ascending"), ("id", "ascending")])
     sides = []
     for kind in (1, 0):
         own = got.filter(pc.equal(got.column("kind"), kind))
