@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontaminate, edit_join, page_diff, quotes, repetition, setsketch, sp_tokenizer, token_files, toxicity, url_words
+from flowlens.llm import decontaminate, edit_join, merkle, packing, page_diff, phrases, quotes, repetition, setsketch, sp_tokenizer, token_files, toxicity, url_words
 from flowlens.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,12 +49,13 @@ def op6(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-OP5_SQL = """
+OP5_SQL = f"""
 WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM t),
-u AS (SELECT * FROM l WHERE strlen(line) >= 20),
-c AS (SELECT line, strlen(line) AS n, min({'d': doc_id, 'l': line_no}) AS at FROM u GROUP BY 1),
-k AS (SELECT a.line, b.at AS other FROM c a JOIN c b ON b.n IN (a.n - 2, a.n - 1, a.n, a.n + 1, a.n + 2) AND a.line <> b.line
+u AS (SELECT * FROM l WHERE regexp_matches(line, {WORD})),
+c AS (SELECT line, strlen(line) AS n, min({{'d': doc_id, 'l': line_no}}) AS at FROM u GROUP BY 1),
+e AS (SELECT * FROM c WHERE n >= {edit_join.MIN_BYTES}),
+k AS (SELECT a.line, b.at AS other FROM e a JOIN e b ON b.n IN (a.n - 2, a.n - 1, a.n, a.n + 1, a.n + 2) AND a.line <> b.line
       AND levenshtein(a.line, b.line) <= 2),
 g AS (SELECT line, count(*) AS n_links, min(other) AS earliest FROM k GROUP BY 1)
 SELECT u.doc_id, CAST(u.line_no AS INTEGER) AS line_no, c.at.d AS class_doc_id, CAST(c.at.l AS INTEGER) AS class_line_no,
@@ -74,7 +75,7 @@ WITH it AS (SELECT item_id, regexp_extract_all(lower(text), {WORD}) AS ws FROM b
 d AS (SELECT doc_id, regexp_extract_all(lower(text), {WORD}) AS ws FROM documents),
 ig AS (SELECT item_id, len(ws) AS w, unnest(range(len(ws) - 4)) AS o, unnest([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) AS g FROM it),
 dg AS (SELECT doc_id, len(ws) AS n, unnest(range(len(ws) - 4)) AS p, unnest([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) AS g FROM d WHERE len(ws) >= 5),
-win AS (SELECT DISTINCT doc_id, item_id, w, n, greatest(0, least(p - o, n - w)) AS s FROM dg JOIN ig USING (g)),
+win AS (SELECT DISTINCT doc_id, item_id, w, n, unnest(range(greatest(0, p - w + 5), greatest(0, least(p, n - w)) + 1)) AS s FROM dg JOIN ig USING (g)),
 wg AS (SELECT win.doc_id, item_id, s, dg.g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.p BETWEEN s AND s + w - 5 GROUP BY ALL),
 ic AS (SELECT item_id, g, count(*) AS c FROM ig GROUP BY ALL),
 sh AS (SELECT wg.doc_id, wg.item_id, s, CAST(sum(wg.c) AS BIGINT) AS nw, CAST(sum(least(wg.c, coalesce(ic.c, 0))) AS BIGINT) AS k FROM wg LEFT JOIN ic ON ic.item_id = wg.item_id AND ic.g = wg.g GROUP BY ALL),
@@ -185,3 +186,79 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     """Main text of every page."""
     return page_diff.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op11_bestfit_packing")
+def op11(spark, sf_dir):
+    """Sequence and offset of every piece of all documents."""
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE), 2048, 0, with_ids=False)
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LEVELS = 6  # of the SQL: 16 ** 6 rows of a source at most
+
+
+def _op12_sql() -> str:
+    def fields(text):
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+    bits = "list_transform(range(8 * length(CAST(doc_id AS VARCHAR))), lambda i: (ascii(substr(CAST(doc_id AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INTEGER)) & 1)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({bits}, lambda b: CAST(b AS BIGINT))), lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT)"
+    steps = [f"""l AS (SELECT doc_id, source, {fields('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {fields(LOWER.format('text'))} ELSE {fields('text')} END AS x FROM documents)""",
+             "a0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, '' AS proof FROM l)",
+             "t0 AS (SELECT source AS g, r, count(*) OVER (PARTITION BY source) AS n, leaf AS h FROM a0)"]
+
+    def climb(t, a, key, levels):
+        for k in range(levels):
+            run = "PARTITION BY g, r // 16 ORDER BY r ROWS BETWEEN"
+            steps.append(f"{t}{k}s AS (SELECT g, r, n, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM {t}{k})")
+            steps.append(f"{t}{k + 1} AS (SELECT g, r // 16 AS r, (max(n) + 15) // 16 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY r)) ELSE max(h) END AS h FROM {t}{k} GROUP BY g, r // 16)")
+            steps.append(f"{a}{k + 1} AS (SELECT {a}{k}.* REPLACE ({a}{k}.r // 16 AS r, proof || lft || rgt AS proof, CASE WHEN s.n > 1 THEN sha256(lft || x || rgt) ELSE x END AS x) FROM {a}{k} JOIN {t}{k}s s ON s.g IS NOT DISTINCT FROM {key} AND s.r = {a}{k}.r)")
+
+    climb("t", "a", "source", LEVELS)
+    steps.append(f"u0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS r, count(*) OVER () AS n, h, g AS name FROM t{LEVELS})")
+    steps.append(f"b0 AS (SELECT doc_id, leaf, x, proof, u0.r, u0.h AS subroot FROM a{LEVELS} JOIN u0 ON u0.name IS NOT DISTINCT FROM source)")
+    climb("u", "b", "0", 3)
+    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, leaf, subroot, u3.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = u3.h AS verified FROM b3, u3"
+
+
+@query("op12_merkle_manifest", _op12_sql())
+def op12(spark, sf_dir):
+    """Leaf, roots and checked proof of every document, with the text of every fifth put into lower case."""
+    docs = table(spark, sf_dir, "documents")
+
+    def leaf(text):
+        return merkle.digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(tampered, leaf(lower)).alias("tampered"))
+    out = merkle.manifest(rows, "source", ["doc_id"], "leaf", carry=["doc_id", "tampered"])
+    siblings = F.array_join(F.transform("proof", lambda p: F.concat(p.left, p.right)), "")
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _op13_sql() -> str:
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, unnest([array_to_string(w[i:i + {k - 1}], ' ') FOR i IN range(1, len(w) - {k - 2})]) AS phrase FROM ws" for k in range(1, phrases.LONGEST + 1))
+    return f"""
+WITH ps AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM ps),
+c AS (SELECT lang, k, phrase, count(*) AS n FROM ({grams}) GROUP BY ALL),
+words AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY 1),
+cand AS (SELECT lang, k, phrase, n, string_split(phrase, ' ') AS w FROM c WHERE k > 1 AND n >= {phrases.LEAST}),
+subs AS (SELECT lang, n, unnest(flatten([[array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS phrase FROM cand),
+own AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM subs WHERE subs.lang = cand.lang AND subs.phrase = cand.phrase AND 100 * subs.n >= {phrases.SUBSUMED} * cand.n)),
+cuts AS (SELECT lang, phrase, n AS a, w, k, unnest(range(1, k)) AS cut FROM own),
+s AS (SELECT cuts.lang, cuts.phrase, a, cut, l.n AS l, r.n AS r, CAST({phrases.SCALE}::HUGEINT * a // (l.n + r.n) AS BIGINT) AS score
+      FROM cuts JOIN c l ON l.lang = cuts.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN c r ON r.lang = cuts.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+m AS (SELECT lang, phrase, a, arg_min(l, score * 10 + cut) AS l, arg_min(r, score * 10 + cut) AS r, min(score) AS score FROM s GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN words USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
+@query("op13_phrase_collocations", _op13_sql())
+def op13(spark, sf_dir):
+    """The best-scoring phrases of each language of all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))

@@ -87,7 +87,7 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, counts, base_failed, kept) of each row. A null or empty text has zeros and fails.
+    """(doc_id, counts, base_failed, kept, covered characters) of each row. A null or empty text has zeros and fails.
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows of 5. kept: not so, and no
     coverage above its share in MOST or MOST_LINES.
@@ -103,4 +103,5 @@ def coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     high = F.lit(False)
     for name, most in [*((f"chars_{k}", m) for k, m in MOST.items()), ("chars_lines", MOST_LINES)]:
         high = high | (100 * F.col(name) > round(100 * most) * F.col("word_chars"))
-    return got.withColumn("base_failed", failed).withColumn("kept", ~failed & ~high)
+    more = [n for n in NAMES if n.startswith("chars_")]
+    return got.select("doc_id", *[n for n in NAMES if n not in more], failed.alias("base_failed"), (~failed & ~high).alias("kept"), *more)
