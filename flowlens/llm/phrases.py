@@ -3,11 +3,11 @@
 Length by length, texts give stripes (lang, prefix, bucket, next words, counts): the prefix is the first words of a
 phrase, of no words for single ones. A stripe is what one batch of texts has of a prefix; stripes of one prefix are merged
 word by word after one shuffle by (lang, prefix, bucket). A prefix with more than one in HOT of all words is split into
-buckets of its next words, as is that of no words, so no stripe's merge is one task. Beside its next words a stripe
-counts all places of its prefix, whatever follows, under null; so a merged stripe has it all: the phrases' counts, the
-prefix's total, and, with the largest entry, what subsumes the prefix from the right. The same entries, dealt by the
-phrase without its first word, say what subsumes it from the left; a phrase inside one two words longer is also inside
-one in between that is as frequent.
+buckets of its next words, as is that of no words, so no stripe's merge is one task. Merged stripes have it all: an entry
+is a phrase's count, and the total of the prefix that this phrase is one length on; a stripe's largest entry is what
+subsumes its prefix from the right. The same entries, dealt by the phrase without its first word, say what subsumes it
+from the left; a phrase inside one two words longer is also inside one in between that is as frequent. The stripe of no
+words counts all words under null.
 
 A phrase is frequent only if its first and last words without the other end are. Phrases found so far are passed to the
 next length as a bit map of their hashes, BITS bits a phrase up to MOST_BITS in all: a false hit costs a counter and
@@ -128,32 +128,28 @@ def phrase_hashes(t: Text, k: int) -> np.ndarray:
 def stripes(t: Text, k: int, known: Known | None) -> Iterator[pa.RecordBatch]:
     """Stripes of phrases of k words; known: the frequent ones of k - 1 words."""
     width = len(t.words) + 1
+    if not width - 1:
+        return
     if k == 1:
-        prefix, nxt, places = t.lang[t.which], t.which, None
+        places, prefix, nxt = np.arange(len(t.which)), t.lang[t.which], t.which
     else:
         good = t.left >= k - 1
         good[good] = known.holds(phrase_hashes(t, k - 1)[good])
-        places = np.flatnonzero(good)
-        on = np.append(good, False)[places + 1] & (t.left[places] >= k)
-        nxt = np.where(on, np.append(t.which, 0)[np.minimum(places + k - 1, len(t.which))], width - 1)
-        prefix = t.which[places]
+        places = np.flatnonzero(good & np.append(good[1:], False) & (t.left >= k))
+        prefix, nxt = t.which[places], t.which[np.minimum(places + k - 1, len(t.which) - 1)]
         for i in range(1, k - 1):
             _, prefix = np.unique(prefix * width + t.which[places + i], return_inverse=True)
     keys, first, n = np.unique(prefix * width + nxt, return_index=True, return_counts=True)
     if not len(keys):
         return
     prefix, nxt = keys // width, keys % width
-    begins = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
-    known_next = nxt != width - 1
-    n = np.concatenate([n[known_next], np.add.reduceat(n, begins)])
-    prefix, first, nxt = (np.concatenate([x[known_next], y]) for x, y in ((prefix, prefix[begins]), (first, first[begins]), (nxt, np.full(len(begins), width - 1))))
-    order = np.argsort(prefix, kind="stable")
-    prefix, first, nxt, n = prefix[order], first[order], nxt[order], n[order]
+    at = places[first]
     words = pa.concat_arrays([t.words, pa.nulls(1, t.words.type)])
     if k == 1:
-        lang, names = prefix, pa.array([""], t.words.type).take(pa.array(np.zeros(len(prefix), np.int64)))
+        totals = np.bincount(prefix, n).astype(np.int64)
+        prefix, nxt, n = np.append(prefix, np.arange(len(totals))), np.append(nxt, np.full(len(totals), width - 1)), np.append(n, totals)
+        lang, names = prefix, pa.array([""], words.type).take(pa.array(np.zeros(len(prefix), np.int64)))
     else:
-        at = places[first]
         lang = t.lang[t.which[at]]
         names = words.take(pa.array(t.which[at]))
         for i in range(1, k - 1):
@@ -183,7 +179,7 @@ def stripes(t: Text, k: int, known: Known | None) -> Iterator[pa.RecordBatch]:
 def merged(texts: DataFrame, k: int, known: Known | None, least: int) -> DataFrame:
     """(lang, prefix, next, n) of all texts (lang, text): merged stripes.
 
-    Their entries of `least` places or more, and the total of each prefix with a null next word (of no words: of each bucket).
+    Their entries of `least` places or more, and under null that of no words.
     """
 
     def run(batches):
@@ -247,21 +243,20 @@ def counted(texts: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Cou
     known, phrases, parts, inside = None, [], [], []
     for k in range(1, longest + 1):
         rows = keep(merged(texts, k, known, least), f"stripes-{k}")
-        entries, sums = rows.where("next IS NOT NULL"), rows.where("next IS NULL").groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
         if k == 1:
-            words = keep(sums.select("lang", "n"), "words")
-            found = entries.select("lang", F.col("next").alias("phrase"), F.lit(k).alias("k"), "n")
-        else:
-            found = entries.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.lit(k).alias("k"), "n")
+            words = keep(rows.where("next IS NULL").groupBy("lang").agg(F.sum("n").alias("n")), "words")
+        rows = rows.where(F.col("next").isNotNull() & (F.col("n") >= least))
+        found = rows.select("lang", F.concat_ws(" ", F.nullif("prefix", F.lit("")), "next").alias("phrase"), F.lit(k).alias("k"), "n")
+        if k > 1:
             phrases.append(found)
-            parts.append(sums.where(F.col("n") >= least).select("lang", F.col("prefix").alias("part"), F.col("n").alias("f")))
-            inside.append(entries.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("n").alias("n")))
+            inside.append(rows.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("n").alias("n")))
             inside.append(found.select("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase"), "n"))
         if k < longest:
             # at most HOT phrases, since a place begins one phrase of a length
             total = words.agg(F.sum("n")).first()[0] or 0
             hot = frozenset((r.lang, r.phrase) for r in found.where(F.col("n") * HOT > total).collect())
             known = Known(bit_map(found, k), hot)
+            parts.append(found.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")))
     return Counts(union(phrases), union(parts), union(inside), words)
 
 
