@@ -9,12 +9,14 @@ from flowlens.functions import scores as S
 from flowlens.operators import features as X, jobs as Jb, joins as J, models as M, windows as Wn
 from flowlens.plans.flowview import START_US, alerts, flows, scored, tls_flows, with_views
 from flowlens.plans.q_features import CONN, _RK, conn
-from flowlens.plans.q_joins import DIMS, SUPP, dim
-from flowlens.plans.q_windows import HOST_SQL, ZX, _gate, recursive
+from flowlens.plans.q_joins import DIMS, DNS, DNS_SQL, SUPP, dim
+from flowlens.plans.q_windows import HOST_SQL, ZX, _gate, recursive, with_dept
 from flowlens.plans.registry import query
 from flowlens.session import cut, scratch_path
 from flowlens.sources import zeek
-from flowlens.streaming import flow as Fs, keyed as K
+from flowlens.sources.sinks import load_baseline_state, snk_baseline_state
+from flowlens.sources.tail import src_log_tail
+from flowlens.streaming import flow as Fs, stateful as St
 
 STEP = 180_000_000  # event time per file: four files
 
@@ -27,12 +29,20 @@ def timed(df):
     return df.withColumn("ts", F.timestamp_micros(F.lit(START_US) + F.col("t_us")))
 
 
-def arrival(df, step=STEP, n=4, slot=None):
-    """Write rows as files that arrive in order; returns the folder."""
+def heartbeat(df, at_us=START_US, **values):
+    """One row of df's columns long after all others: a bounded replay ends with it, so that no row waits for the watermark."""
+    values = {"t_us": at_us, **values}
+    return timed(df.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema if f.name != "ts"])).select(df.columns)
+
+
+def arrival(df, step=STEP, n=4, slot=None, beat=None):
+    """Write rows as files that arrive in order, a heartbeat as the last one; returns the folder."""
     path = scratch_path(df.sparkSession, "arrivals")
     d = df.withColumn("_slot", F.least(slot if slot is not None else F.floor(F.col("t_us") / step), F.lit(n - 1)))
     for i in range(n):
         d.filter(F.col("_slot") == i).drop("_slot").coalesce(1).write.parquet(f"{path}/slot={i}")
+    if beat is not None:
+        heartbeat(df, **beat).write.parquet(f"{path}/slot={n}")
     return path
 
 
@@ -40,32 +50,52 @@ def streamed(df, **kw):
     return Fs.parquet_stream(df.sparkSession, arrival(df, **kw), df.schema)
 
 
+# Files out of order: a row comes up to 15 s after newer ones, every hundredth two files late.
+LAG = "(flow_id * 7919000) % 15000000"
+SLOT = f"(t_us + {LAG}) DIV {STEP} + CASE WHEN flow_id % 100 = 7 THEN 2 ELSE 0 END"
+SHUFFLED = {"sarr": f"SELECT *, least({SLOT.replace('DIV', '//')}, 3) AS slot FROM flows", "stop": "SELECT slot, max(t_us) AS top FROM sarr GROUP BY 1",
+            "sjudged": "SELECT *, coalesce(t_us <= (SELECT max(top) FROM stop WHERE stop.slot < sarr.slot) // 1000 * 1000 - 120000000, false) AS late FROM sarr",
+            "ontime": "SELECT * FROM sjudged WHERE NOT late"}
 _FC = ["flow_id", "t_us", "ts", "src_ip", "dst_ip", "dst_port", "syn_flag", "ack_flag", "total_bytes"]
 
 
 def stream_host(spark, sf):
-    s = K.stream_host_agg(streamed(timed(flows(spark, sf)).select(*_FC)))
-    return Fs.collected(spark, Fs.run_available(s), s.schema)
+    d = timed(flows(spark, sf)).select(*_FC)
+    with St.state_conf(spark):
+        s = St.stream_host_agg(streamed(d, slot=F.expr(SLOT), beat={"src_ip": "", "flow_id": -1}))
+        return Fs.collected(spark, Fs.run_available(s), s.schema)
 
 
-query("stream_host_agg", vw(HOST_SQL))(lambda spark, sf: stream_host(spark, sf).select("flow_id", *V.HOST_AGGREGATES))
+@query("stream_host_agg", vw(f"SELECT flow_id, 0 AS late, {', '.join(V.HOST_AGGREGATES)} FROM ({HOST_SQL.replace('flows ', 'ontime ')}) UNION ALL SELECT flow_id, 1, {', '.join('NULL' for _ in V.HOST_AGGREGATES)} FROM sjudged WHERE late", extra=SHUFFLED))
+def _(spark, sf):
+    return stream_host(spark, sf).select("flow_id", F.col("late").cast("int").alias("late"), *V.HOST_AGGREGATES)
 
 
-@query("parity_report", vw("SELECT c AS \"column\", 0.0::DOUBLE AS max_abs_diff, 0 AS unmatched, (SELECT count(*) FROM flows) AS n, 1 AS ok FROM (VALUES " + ", ".join(f"('{c}')" for c in V.HOST_AGGREGATES) + ") t(c)"))
+@query("parity_report", vw("SELECT c AS \"column\", 0.0::DOUBLE AS max_abs_diff, 0 AS unmatched, (SELECT count(*) FROM ontime) AS n, 1 AS ok FROM (VALUES " + ", ".join(f"('{c}')" for c in V.HOST_AGGREGATES) + ") t(c)", extra=SHUFFLED))
 def _(spark, sf):
-    r = Jb.parity_report(flows(spark, sf).transform(Wn.host_rolling_60s), stream_host(spark, sf), key="flow_id", columns=V.HOST_AGGREGATES)
+    got = cut(stream_host(spark, sf), "streamed")
+    own = flows(spark, sf).join(got.filter("late").select("flow_id"), "flow_id", "left_anti")
+    r = Jb.parity_report(own.transform(Wn.host_rolling_60s), got.filter("NOT late"), key="flow_id", columns=V.HOST_AGGREGATES)
     return r.select("column", F.round("max_abs_diff", 6).alias("max_abs_diff"), "unmatched", "n", F.col("ok").cast("int"))
 
 
-_zd = {m: f"CASE WHEN sv_{m} > 0 THEN ({m} - sa_{m}) / sqrt(sv_{m} / (sn - 1)) ELSE 0 END" for m in V.UEBA_METRICS}
-_zb = "greatest(" + ", ".join(f"abs(z_{m})" for m in V.UEBA_METRICS) + ")"
-
-
-@query("stream_ueba", vw(f"SELECT flow_id, CASE WHEN sn >= 30 THEN round(CASE {' '.join(f'WHEN abs(z_{m}) = {_zb} THEN z_{m}' for m in V.UEBA_METRICS)} END, 6) + 0.0 END AS max_z FROM (SELECT *, {', '.join(f'{e} AS z_{m}' for m, e in _zd.items())} FROM z1)", extra={k: ZX[k] for k in ("um", "z1")}))
+@query("stream_ueba", vw("SELECT flow_id, score_n, round(max_z, 6) + 0.0 AS max_z, max_metric FROM zz", extra=ZX))
 def _(spark, sf):
-    s = K.stream_ueba(streamed(flows(spark, sf).transform(X.ueba_metrics).select("flow_id", "t_us", "src_ip", *V.UEBA_METRICS)))
-    d = Fs.collected(spark, Fs.run_available(s), s.schema)
-    return d.select("flow_id", F.when(~F.isnan("max_z"), F.col("max_z")).alias("max_z"))
+    d = timed(flows(spark, sf).transform(with_dept).transform(X.ueba_metrics).select("flow_id", "t_us", "src_ip", "department", *V.UEBA_METRICS))
+    beat = {"src_ip": "", "department": "", "flow_id": -1, **dict.fromkeys(V.UEBA_METRICS, 0.0)}
+    with St.state_conf(spark):
+        s = St.stream_group_state(streamed(d, slot=F.expr(f"(t_us + {LAG}) DIV {STEP}"), beat=beat))
+        grouped = timed(cut(Fs.collected(spark, Fs.run_available(s), s.schema), "group-state")).drop("late")
+        # the first half drained, its moments saved as a snapshot, the second half started from the snapshot
+        halves, saved, found = [F.col("t_us") < 2 * STEP, F.col("t_us") >= 2 * STEP], None, []
+        for own in halves:
+            s = St.stream_ueba(streamed(grouped.filter(own), beat=beat), initial=saved)
+            checkpoint, path = scratch_path(spark, "device-state"), scratch_path(spark, "baseline")
+            found.append(Fs.collected(spark, Fs.run_available(s, checkpoint=checkpoint), s.schema))
+            state = St.moments(spark, checkpoint, "src_ip").select(F.lit("device").alias("entity_type"), F.col("src_ip").alias("entity"), "metric", "n", "mean", "m2")
+            snk_baseline_state(state, path)
+            saved = load_baseline_state(spark, path).select(F.col("entity").alias("src_ip"), "metric", "n", "mean", "m2")
+    return found[0].unionByName(found[1]).select("flow_id", "score_n", "max_z", "max_metric")
 
 
 _AC = ["id", "flow_id", "t_us", "ts", "src_ip", "attack_type", "severity"]
@@ -74,8 +104,9 @@ _AC = ["id", "flow_id", "t_us", "ts", "src_ip", "attack_type", "severity"]
 @query("stream_dedup", recursive("SELECT id FROM e WHERE hit", _gate(["src_ip", "attack_type"], _RK, "(b.t_us - e.lt >= 60000000 OR b.v > e.lv)", "id % 7 = 0"), "e"))
 def _(spark, sf):
     d = alerts(spark, sf).select(*_AC).withColumns({"rank": S.severity_rank("severity"), "correlated": F.col("id") % 7 == 0})
-    s = K.stream_dedup(streamed(d), correlated="correlated")
-    return Fs.collected(spark, Fs.run_available(s), s.schema).select("id")
+    with St.state_conf(spark):
+        s = St.stream_dedup(streamed(d, slot=F.expr(f"(t_us + {LAG}) DIV {STEP}"), beat={"src_ip": "", "attack_type": "", "flow_id": -1}), correlated="correlated")
+        return Fs.collected(spark, Fs.run_available(s), s.schema).select("id")
 
 
 @query("keyed_recurrence", recursive("SELECT attack_type, count(*) AS n FROM e JOIN alerts USING (id, attack_type) WHERE hit GROUP BY 1", _gate(["src_ip", "attack_type"], _RK, "(b.t_us - e.lt >= 60000000 OR b.v > e.lv)"), "e"))
@@ -107,13 +138,21 @@ def _(spark, sf):
     return Fs.observed_time(d, target_seconds=864000).withColumn("active", F.col("active").cast("int"))
 
 
-@query("stream_enrich", vw("SELECT flow_id, ja3s, tls_version FROM tls WHERE dst_port = 443"))
+@query("stream_enrich", vw("SELECT f.flow_id, t.ja3s, t.tls_version, d.dns_query, d.dns_resolved FROM flows f LEFT JOIN (SELECT * FROM tls WHERE dst_port = 443 AND flow_id % 5 > 0) t ON t.flow_id = f.flow_id JOIN dq d ON d.flow_id = f.flow_id", extra={"dq": DNS_SQL}))
 def _(spark, sf):
     t = timed(tls_flows(spark, sf)).withColumn("uid", F.concat(F.lit("C"), "flow_id"))
-    c = streamed(t.select("uid", "flow_id", "ts", "t_us"))
-    s = streamed(t.filter("dst_port = 443").select("uid", "ts", "t_us", "ja3s", "tls_version")).drop("t_us")
-    j = Fs.stream_enrich(c, s, how="inner").select("flow_id", "ja3s", "tls_version")
-    return Fs.collected(spark, Fs.run_available(j), j.schema)
+    c = t.select("uid", "flow_id", "t_us", "ts", "dst_ip", "sni")
+    slot = F.expr(f"(t_us + {LAG}) DIV {STEP}")
+    logs = arrival(c, slot=slot, beat={"uid": "", "flow_id": -1, "dst_ip": "-"})
+    conn_ = Fs.parquet_stream(spark, logs, c.schema)
+    ssl = streamed(t.filter("dst_port = 443 AND flow_id % 5 > 0").select("uid", "ts", "t_us", "ja3s", "tls_version", "flow_id"), slot=slot, beat={"uid": "-"}).drop("t_us", "flow_id")
+    dns = streamed(timed(dim(spark, sf, DNS)).select("t_us", "ts", "query", "answers"), beat={"query": "-", "answers": ""})
+    with St.state_conf(spark):
+        named = St.stream_names(conn_, dns)
+        names = Fs.collected(spark, Fs.run_available(named), named.schema).select("flow_id", F.col("name").alias("dns_resolved"))
+    tls = Fs.stream_enrich(conn_, ssl).select("flow_id", "sni", "ja3s", "tls_version")
+    out = Fs.collected(spark, Fs.run_available(tls), tls.schema).join(names, "flow_id")
+    return out.select("flow_id", "ja3s", "tls_version", F.coalesce("dns_resolved", F.when(F.col("sni") != "", F.col("sni"))).alias("dns_query"), "dns_resolved")
 
 
 # A sensor's whole connection header, and the same fields the other way round.
@@ -121,18 +160,29 @@ CONN_HEADER = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p",
                "conn_state", "local_orig", "local_resp", "missed_bytes", "history", "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes", "tunnel_parents"]
 
 
-@query("src_zeek_stream", vw("SELECT uid, orig_h AS src_ip, proto, CAST(resp_ip_bytes AS BIGINT) AS resp_ip_bytes FROM conn"))
+_LOGS = {"conn": "SELECT 'conn' AS log, uid, orig_h AS a, proto AS b, CAST(resp_ip_bytes AS BIGINT) AS n FROM conn",
+         "ssl": "SELECT 'ssl', concat('C', flow_id), ja3s, nullif(tls_version, ''), CAST(cipher_suite AS BIGINT) FROM tls WHERE dst_port = 443",
+         "dns": "SELECT 'dns', concat('D', t_us), query, answers, NULL FROM dns"}
+
+
+@query("src_zeek_stream", vw(" UNION ALL ".join(_LOGS.values())))
 def _(spark, sf):
+    """All three logs, followed over two runs of one checkpoint; files and orders of fields appear between them."""
     d = conn(spark, sf)
     d = d.withColumns({c: F.lit("-") for c in CONN_HEADER if c not in d.columns})
-    base = scratch_path(spark, "zeek-stream")
-    for k, names in enumerate((CONN_HEADER, CONN_HEADER[::-1])):
-        zeek.write_zeek(d.filter(F.col("flow_id") % 2 == k).select(*[F.col(f"`{c}`") for c in names]), f"{base}/logs/{k}", "conn")
-    # Spark names its text files part-*; sensors name them conn.*
-    s = zeek.src_zeek_stream(spark, f"{base}/logs/*", "conn", pattern="part*")
-    Fs.run_available(s, write=zeek.zeek_landing(f"{base}/rows", f"{base}/rejected"))
-    out = Fs.collected(spark, f"{base}/rows", zeek.landed_schema("conn"))
-    return out.select("uid", F.col("`id.orig_h`").alias("src_ip"), "proto", F.col("resp_ip_bytes").cast("long").alias("resp_ip_bytes"))
+    ssl = tls_flows(spark, sf).filter("dst_port = 443").select(F.concat(F.lit("C"), "flow_id").alias("uid"), "ja3s", F.when(F.col("tls_version") != "", F.col("tls_version")).alias("version"),
+                                                              F.col("cipher_suite").alias("cipher"), F.lit("-").alias("ts"), "flow_id")
+    dns = dim(spark, sf, DNS).select(F.concat(F.lit("D"), "t_us").alias("uid"), "query", "answers", F.lit("-").alias("ts"), F.col("t_us").alias("flow_id"))
+    base, out = scratch_path(spark, "zeek-tail"), {}
+    for log, rows, names in (("conn", d, CONN_HEADER), ("ssl", ssl, ["ts", "uid", "ja3s", "version", "cipher"]), ("dns", dns, ["ts", "uid", "query", "answers"])):
+        stream = src_log_tail(spark, f"{base}/logs/{log}", pattern="part*")  # Spark names its text files so; sensors name them conn.*
+        for half, order in enumerate((names, names[::-1])):
+            zeek.write_zeek(rows.filter(F.col("flow_id") % 2 == half).select(*[F.col(f"`{c}`") for c in order]), f"{base}/logs/{log}", log, mode="append")
+            Fs.run_available(stream, write=zeek.zeek_landing(f"{base}/rows/{log}", f"{base}/rejected/{log}", log=log), checkpoint=f"{base}/checkpoint-{log}")
+        out[log] = Fs.collected(spark, f"{base}/rows/{log}", zeek.landed_schema(log))
+    return (out["conn"].select(F.lit("conn").alias("log"), "uid", F.col("`id.orig_h`").alias("a"), F.col("proto").alias("b"), F.col("resp_ip_bytes").cast("long").alias("n"))
+            .unionByName(out["ssl"].select(F.lit("ssl").alias("log"), "uid", F.coalesce("ja3s", F.lit("")).alias("a"), F.col("version").alias("b"), F.col("cipher").cast("long").alias("n")))
+            .unionByName(out["dns"].select(F.lit("dns").alias("log"), "uid", F.col("query").alias("a"), F.col("answers").alias("b"), F.lit(None).cast("long").alias("n"))))
 
 
 query("stream_alert_watch", vw("SELECT DISTINCT src_ip FROM alerts"))(

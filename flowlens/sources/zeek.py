@@ -23,6 +23,11 @@ def _heads(lines: DataFrame) -> DataFrame:
     return heads.select("file", F.expr("slice(split(head, '\t'), 2, size(split(head, '\t')) - 1)").alias("names"))
 
 
+def _split(lines: DataFrame) -> DataFrame:
+    """Rows of (value, names, file) with their fields, and whether these agree with the names."""
+    return lines.withColumn("parts", F.split("value", "\t")).withColumn("fits", F.coalesce(F.size("parts") == F.size("names"), F.lit(False)))
+
+
 def _rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """Data lines with their fields, the names in their file's header (null without one), and whether both agree."""
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("parts", F.split("value", "\t"))
@@ -64,13 +69,14 @@ def src_zeek_stream(spark, directory: str, log: str, *, files_per_trigger: int =
 def zeek_landing(out: str, rejected: str, *, log: str = "conn", columns=None):
     """foreachBatch function: rows by the header of their file, as Parquet below `out`, with ts also as event_time.
 
+    Batches are those of `src_zeek_stream`, or of `src_log_tail`, whose rows bring their header's names with them.
     Rows whose field count differs from their header, or whose file has none, go to `rejected` (file, value); nothing is
     lost. A retried batch replaces itself. Fields that a header lacks are null. `out` can be streamed from in turn.
     """
     columns = columns or LOGS[log]
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = _rows(batch, _heads(batch))
+        rows = _split(batch) if "names" in batch.columns else _rows(batch, _heads(batch))
         named = _named(rows, columns)
         named = named.withColumn("event_time", F.timestamp_micros((F.col("ts").try_cast("double") * 1_000_000).cast("long")))
         named.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -84,7 +90,7 @@ def landed_schema(log: str = "conn", columns=None) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns or LOGS[log]] + [T.StructField("event_time", T.TimestampType())])
 
 
-def write_zeek(df: DataFrame, path: str, log: str) -> None:
+def write_zeek(df: DataFrame, path: str, log: str, mode: str = "overwrite") -> None:
     """Write rows as a Zeek TSV log; every part file starts with its header."""
     cols = df.columns
     line = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")) for c in cols])
@@ -99,4 +105,4 @@ def write_zeek(df: DataFrame, path: str, log: str) -> None:
                 first = False
             yield b
 
-    df.select(line.alias("value")).mapInPandas(with_header, "value string").write.mode("overwrite").text(path)
+    df.select(line.alias("value")).mapInPandas(with_header, "value string").write.mode(mode).text(path)

@@ -1,57 +1,15 @@
-"""Keyed streaming state: one fold function per operator, run per key and micro-batch.
-
-State is one JSON text per key. A fold gets the key's new rows in event order and the old
-state and returns output rows and the new state. The rows of one key in one micro-batch are
-bounded by the trigger (`maxFilesPerTrigger` or the source's own limit).
-"""
+"""Folds of keyed streaming operators: a key's rows in event order and its state give output rows and the new state."""
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowlens import values as V
 
 
-def keyed_fold(stream: DataFrame, *, keys, order, fold, output: T.StructType, late_after: str | None = None, ts="ts",
-               keep_seconds: float | None = None) -> DataFrame:
-    """Apply `fold(key, rows, state) -> (rows, state)` per key with state across micro-batches.
-
-    With `late_after` the stream is watermarked on `ts`; with `keep_seconds` the state of a
-    key without new rows is dropped that long after its newest event.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    if late_after:
-        stream = stream.withWatermark(ts, late_after)
-    timeout = GroupStateTimeout.EventTimeTimeout if late_after and keep_seconds else GroupStateTimeout.NoTimeout
-    names = output.names
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
-        old = json.loads(state.get[0]) if state.exists else None
-        out, new = fold(key, rows, old)
-        state.update((json.dumps(new),))
-        if timeout == GroupStateTimeout.EventTimeTimeout:
-            at = int(rows[ts].max().timestamp() * 1000 + keep_seconds * 1000)
-            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-        yield out[names]
-
-    return stream.groupBy(*keys).applyInPandasWithState(run, output, T.StructType([T.StructField("s", T.StringType())]), "append", timeout)
-
-
-def _out(df: DataFrame, extra: list[tuple[str, T.DataType]]) -> T.StructType:
-    return T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in extra])
-
-
 # ── host window ──────────────────────────────────────────────────────────────
 def host_fold(window_us: int = 60_000_000):
     """Evict, query, insert: the 8 aggregates over the key's earlier rows of the window."""
@@ -89,41 +47,6 @@ def host_fold(window_us: int = 60_000_000):
     return fold
 
 
-def stream_host_agg(stream: DataFrame, *, window_us: int = 60_000_000, late_after="2 minutes") -> DataFrame:
-    return keyed_fold(stream, keys="src_ip", order=["t_us", "flow_id"], fold=host_fold(window_us), late_after=late_after,
-                      keep_seconds=window_us / 1e6, output=_out(stream, [(n, T.DoubleType()) for n in V.HOST_AGGREGATES]))
-
-
-# ── long-term baseline ───────────────────────────────────────────────────────
-def ueba_fold(min_samples: int = V.UEBA_MIN_SAMPLES, reset: str = ""):
-    """Update mean and spread per metric, then score. A new reset token forgets the past."""
-    ms = V.UEBA_METRICS
-
-    def fold(key, rows, state):
-        if not state or state["r"] != reset:
-            state = {"r": reset, "n": 0, "mean": [0.0] * len(ms), "m2": [0.0] * len(ms)}
-        n, mean, m2 = state["n"], np.array(state["mean"]), np.array(state["m2"])
-        x, best, which = rows[ms].to_numpy(dtype=float), np.full(len(rows), np.nan), [None] * len(rows)
-        for i in range(len(rows)):
-            n += 1
-            d = x[i] - mean
-            mean = mean + d / n
-            m2 = m2 + d * (x[i] - mean)
-            if n >= min_samples:
-                sd = np.sqrt(m2 / (n - 1))
-                z = np.where(sd > 0, (x[i] - mean) / np.where(sd > 0, sd, 1.0), 0.0)
-                j = int(np.argmax(np.abs(z)))
-                best[i], which[i] = z[j], ms[j]
-        return rows.assign(max_z=best, max_metric=which), {"r": reset, "n": n, "mean": mean.tolist(), "m2": m2.tolist()}
-    return fold
-
-
-def stream_ueba(stream: DataFrame, *, min_samples: int = V.UEBA_MIN_SAMPLES, reset: str = "", key="src_ip") -> DataFrame:
-    """Running z per device (or per department with key='department')."""
-    return keyed_fold(stream, keys=key, order=["t_us", "flow_id"], fold=ueba_fold(min_samples, reset),
-                      output=_out(stream, [("max_z", T.DoubleType()), ("max_metric", T.StringType())]))
-
-
 # ── alert gate ───────────────────────────────────────────────────────────────
 def gate_fold(value: str, wait_us: int, rule: str, always: str | None = None):
     """Keep a row unless the key's last kept row blocks it; rows that `always` marks are kept whatever came before."""
@@ -138,12 +61,6 @@ def gate_fold(value: str, wait_us: int, rule: str, always: str | None = None):
     return fold
 
 
-def stream_dedup(stream: DataFrame, *, wait_us: int = 60_000_000, late_after="2 minutes", correlated: str | None = None) -> DataFrame:
-    """Alert stream without repeats; needs `rank`. Alerts that `correlated` marks are always kept. State expires after the wait."""
-    return keyed_fold(stream, keys=["src_ip", "attack_type"], order=["t_us", "flow_id"], fold=gate_fold("rank", wait_us, "rise", correlated),
-                      late_after=late_after, keep_seconds=wait_us / 1e6, output=_out(stream, []))
-
-
 def stream_drop_repeats(stream: DataFrame, *, key="flow_id", within="10 minutes", ts="ts") -> DataFrame:
     """Exactly repeated rows dropped within the watermark."""
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
