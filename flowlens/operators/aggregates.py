@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from flowlens import values as V
 from flowlens.functions import ip as IP, tls as L
 from flowlens.functions.scores import lookup, severity_name, severity_rank
+from flowlens.operators import quantiles as Q
 from flowlens.operators.joins import family_tactic, frame, oui_prefix, oui_vendor, tactic_ids, vendor_class
+from flowlens.session import cut
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 PEER = ["fpm", "unique_dst", "bytes_per_flow", "send_ratio"]
@@ -50,17 +52,20 @@ def agg_welford(df: DataFrame, *, entity: str, entity_type: str, metrics=tuple(V
 
 
 def merge_welford(*snapshots: DataFrame) -> DataFrame:
-    """Merge baseline snapshots: totals, pooled mean, and M2 with the between-part spread."""
+    """Merge baseline snapshots: totals, pooled mean, and M2 with the spread of the means around it.
+
+    The pooled mean is known before deviations from it are squared, so large values with a small spread keep it.
+    """
     u = snapshots[0]
     for s in snapshots[1:]:
         u = u.unionByName(s)
     keys = ["entity_type", "entity", "metric"]
-    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))
-    g = u.groupBy(*keys).agg(F.sum("n").alias("n"), mean.alias("mean"), F.sum("m2").alias("_m2"),
-                             F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_q"),
-                             F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    return g.select(*keys, "n", "mean", (F.col("_m2") + F.greatest(F.col("_q") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0))).alias("m2"),
-                    "first_us", "last_us")
+    n = F.sum("n").over(W.partitionBy(*keys))
+    # weights before products: no sum of n * mean, which would lose the low digits of large means
+    u = u.withColumn("_mean", F.sum(F.col("mean") * F.try_divide(F.col("n"), n)).over(W.partitionBy(*keys)))
+    away = F.col("mean") - F.col("_mean")
+    return u.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * away * away).alias("m2"),
+                                F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
 
 
 def agg_device_report(baseline: DataFrame, *, target_seconds: int = V.UEBA_TARGET_SECONDS) -> DataFrame:
@@ -335,12 +340,21 @@ def agg_binary_metrics(df: DataFrame, *, keys=(), label="label", predicted="pred
     return g.withColumns({"precision": pr, "recall": rc, "f1": 2 * pr * rc / F.greatest(pr + rc, F.lit(1e-9))})
 
 
-def agg_latency_percentiles(df: DataFrame, *, column: str, accuracy: int | None = None) -> DataFrame:
-    """p50, p95, p99, max, mean; exact, or approximate with bounded memory."""
-    c = F.col(column)
-    pct = [(F.percentile_approx(c, q, accuracy) if accuracy else F.percentile(c, F.lit(q))).alias(n)
-           for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return df.agg(*pct, F.max(c).alias("max"), F.avg(c).alias("mean"))
+LATENCY = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def agg_latency_percentiles(df: DataFrame, *, column: str, k: int | None = None) -> DataFrame:
+    """p50, p95, p99, max, mean: exact ones by narrowing ranges, or with k from sketches of that size."""
+    if k:
+        return Q.sketched_quantiles(Q.quantile_sketches(df, [], column, k), [], LATENCY).drop("n")
+    values = Q.exact_quantiles(df.select(column), [column], list(LATENCY.values()))[column]
+    top = df.agg(F.max(column).cast("double"), F.avg(column)).first()
+    return frame(df.sparkSession, [[*values, *top]], ", ".join(f"{n} double" for n in [*LATENCY, "max", "mean"]))
+
+
+def agg_cold_start_median(df: DataFrame, *, columns=tuple(V.HOST_AGGREGATES)) -> DataFrame:
+    """One row of exact medians, the values that hosts without history start from."""
+    return Q.quantile_row(cut(df.select(*columns), "medians"), {c: (c, 0.5) for c in columns})
 
 
 def agg_class_weights(df: DataFrame, *, label="family") -> DataFrame:

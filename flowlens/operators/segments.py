@@ -6,13 +6,16 @@ is cut into time buckets, and (key, bucket) is the unit of work:
 * `sliding`        sums, distinct counts and gap statistics over the last N seconds;
 * `running_totals` sums since the beginning of the key (bucket totals, then a prefix
                    over buckets, then a running sum inside each bucket);
+* `running_moments` mean and spread since the beginning of the key, by merging moments;
 * `last_rows`      statistics of the last N rows of a key.
 
-All are exact and run as built-in expressions.
+All are exact and run as built-in expressions, but for the scan over moments of buckets.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SECOND = 1_000_000
@@ -169,3 +172,90 @@ def last_rows(df: DataFrame, *, keys, idx: str, n: int, aggs: dict[str, Column],
     w = W.partitionBy(*keys, "_b").orderBy(idx).rowsBetween(-(n - 1), 0)
     d = d.select(*df.columns, "_c", *[a.over(w).alias(k) for k, a in aggs.items()])
     return d.filter(F.col("_c.o")).drop("_c")
+
+
+def merged(a: tuple, b: tuple) -> tuple:
+    """Moments (n, mean, m2) of two parts as one; a part without rows counts for nothing. Columns or numpy arrays alike."""
+    (na, ma, qa), (nb, mb, qb) = a, b
+    n, away = na + nb, mb - ma
+    share = nb / (n + (n == 0)) if isinstance(n, np.ndarray) else F.coalesce(F.try_divide(nb, n), F.lit(0.0))
+    return n, ma + away * share, qa + qb + away * away * na * share
+
+
+def scan_moments(key: np.ndarray, n: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Moments of all rows of a key up to each row; equal keys stand together. n: rows; mean, m2: rows x metrics.
+
+    Every step merges what ends at a row with what ends as far before it as the steps so far have reached: log2 of the
+    longest key's rows steps, each over whole arrays.
+    """
+    at = np.arange(len(key))
+    new = np.append(True, key[1:] != key[:-1])
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    state, reach = (n[:, None].astype(float), mean, m2), 1
+    while len(key) and reach <= (at - first).max():
+        own = np.flatnonzero(at - reach >= first)
+        both = merged(tuple(x[own - reach] for x in state), tuple(x[own] for x in state))
+        state = tuple(x.copy() for x in state)
+        for x, y in zip(state, both, strict=True):
+            x[own] = y
+        reach *= 2
+    return state[0][:, 0], state[1], state[2]
+
+
+def _scanned(batches):
+    """Batches of (keys, n, means, m2s) in key order: the moments of the key's rows before each, across batches."""
+    last, carry = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+        names = [c for c in cols if c.startswith("_key")]
+        keys = list(zip(*[cols[c].to_pylist() for c in names], strict=True))
+        number, at = {}, np.zeros(len(keys), np.int64)
+        for i, k in enumerate(keys):
+            at[i] = number.setdefault(k, len(number))
+        k = len(cols["_means"][0])
+        n = cols["_rows"].to_numpy().astype(float)
+        mean, m2 = (np.array(cols[c].flatten().to_numpy()).reshape(-1, k) for c in ("_means", "_m2s"))
+        if carry is not None and last == keys[0]:
+            at, n, mean, m2 = np.append(0, at), np.append(carry[0], n), np.vstack([carry[1], mean]), np.vstack([carry[2], m2])
+        upto = scan_moments(at, n, mean, m2)
+        extra = len(at) - len(keys)
+        last, carry = keys[-1], tuple(x[-1] for x in upto)
+        begins = np.append(True, at[1:] != at[:-1])
+        before = [np.vstack([np.zeros_like(x[:1]), x[:-1]]) if x.ndim > 1 else np.append(0.0, x[:-1]) for x in upto]
+        for x in before:
+            x[begins] = 0
+        before = [x[extra:] for x in before]
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, k, dtype=np.int32)), pa.array(x.ravel())) for x in before[1:]]
+        yield pa.RecordBatch.from_arrays([*[cols[c] for c in cols if c not in ("_rows", "_means", "_m2s")], pa.array(before[0].astype(np.int64)), *lists],
+                                         [*[c for c in cols if c not in ("_rows", "_means", "_m2s")], "_rows", "_means", "_m2s"])
+
+
+def running_moments(df: DataFrame, *, specs: list[tuple], metrics, t="t_us", rid="flow_id", bucket_us: int = 60 * SECOND) -> DataFrame:
+    """Append, per (keys, prefix) of specs, the moments of strictly earlier rows of the key in (t, rid) order.
+
+    Columns: {prefix}n, and {prefix}a_{metric} (mean) and {prefix}v_{metric} (sum of squared deviations) of each metric.
+    Buckets of time are units of work; the state before a bucket is a prefix scan over the moments of buckets, which are
+    merged and never subtracted, so values that are large beside their spread keep it. Metrics must not be null.
+    """
+    d = out = df.withColumn("_b", bucket_of(t, bucket_us))
+    for keys, p in specs:
+        keys = _names(keys)
+        part = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_rows"), F.array(*[F.avg(m) for m in metrics]).alias("_means"),
+                                          F.array(*[F.var_pop(m) * F.count(F.lit(1)) for m in metrics]).alias("_m2s"))
+        part = part.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_b", "_rows", "_means", "_m2s")
+        named = [f"_key{i}" for i in range(len(keys))]
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema)
+        part = part.repartition(*named).sortWithinPartitions(*named, "_b").mapInArrow(_scanned, schema)
+        part = part.select(*[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], "_b", F.col("_rows").alias("_o"), F.col("_means").alias("_oa"), F.col("_m2s").alias("_ov"))
+        inside = W.partitionBy(*keys, "_b").orderBy(t, rid).rowsBetween(W.unboundedPreceding, -1)
+        have = out.columns
+        out = out.join(part, [*keys, "_b"]).withColumn("_i", F.count(F.lit(1)).over(inside))
+        cols = []
+        for i, m in enumerate(metrics):
+            n, mean, m2 = merged((F.col("_o"), F.col("_oa")[i], F.col("_ov")[i]),
+                                 (F.col("_i"), F.coalesce(F.avg(m).over(inside), F.lit(0.0)), F.coalesce(F.var_pop(m).over(inside) * F.col("_i"), F.lit(0.0))))
+            cols += [mean.alias(f"{p}a_{m}"), m2.alias(f"{p}v_{m}")]
+        out = out.select(*have, (F.col("_o") + F.col("_i")).alias(f"{p}n"), *cols)
+    return out.drop("_b")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from flowlens import values as V
-from flowlens.operators.segments import (SECOND, bucket_of, gap_stats, last_rows, row_index,
-                                         running_totals, sliding)
+from flowlens.operators.segments import (SECOND, bucket_of, gap_stats, last_rows, merged, row_index,
+                                         running_moments, running_totals, sliding)
 
 MINUTE = 60 * SECOND
 HOUR = 3600 * SECOND
@@ -228,13 +228,10 @@ def temporal_ratio_60s(df: DataFrame, *, window_us: int = MINUTE, max_rows: int
 
 
 # ── long-term baselines ──────────────────────────────────────────────────────
-def _spread(n, s, q):
-    """Sample variance from sums; rounding noise of constant values counts as zero."""
-    n = n.cast("double")
-    m2 = q - F.try_divide(s * s, n)
+def _variance(n, mean, m2):
+    """Sample variance; what rounding leaves of constant values counts as zero."""
     var = F.try_divide(m2, n - 1)
-    mean = F.try_divide(s, n)
-    return F.when((n >= 2) & (var > 1e-12 * F.greatest(F.lit(1.0), mean * mean)), var).otherwise(0.0)
+    return F.when((n >= 2) & (var > 1e-26 * F.greatest(F.lit(1.0), mean * mean)), var).otherwise(0.0)
 
 
 def ueba_running_z(df: DataFrame, *, group: str = "department", min_samples: int = V.UEBA_MIN_SAMPLES,
@@ -244,41 +241,37 @@ def ueba_running_z(df: DataFrame, *, group: str = "department", min_samples: int
     The device state covers its flows up to and including the current one. A device whose
     department was mature just before its first flow starts from the department state. A
     device that is not mature is scored against its department; with neither, null.
-    Sums are two-level prefixes, so departments and hot sources split by time bucket.
+    States are prefix scans over moments, so departments and hot sources split by time bucket.
     """
     ms = V.UEBA_METRICS
-    d = df
-    for m in ms:
-        d = d.withColumn(f"_q_{m}", F.col(m) * F.col(m))
-
-    def totals(p):
-        return {f"{p}n": F.lit(1).cast("long"), **{f"{p}s_{m}": F.col(m) for m in ms},
-                **{f"{p}q_{m}": F.col(f"_q_{m}") for m in ms}}
-
-    d = running_totals(d, specs=[(group, totals("_g")), ("src_ip", totals("_d"))], bucket_us=bucket_us)
+    d = running_moments(df, specs=[(group, "_g"), ("src_ip", "_d")], metrics=ms, bucket_us=bucket_us)
     # department state just before the device's first flow
-    seed = F.struct((F.col("_gn") - 1).alias("n"),
-                    *[(F.col(f"_gs_{m}") - F.col(m)).alias(f"s_{m}") for m in ms],
-                    *[(F.col(f"_gq_{m}") - F.col(f"_q_{m}")).alias(f"q_{m}") for m in ms])
+    seed = F.struct(F.col("_gn").alias("n"), *[F.col(f"_g{s}_{m}").alias(f"{s}_{m}") for m in ms for s in "av"])
     seeds = d.groupBy("src_ip").agg(F.min_by(seed, F.struct("t_us", "flow_id")).alias("_seed"))
     d = d.join(seeds, "src_ip")
     has = F.col("_seed.n") >= min_samples
-    add = lambda c, own: F.when(has, F.col(f"_seed.{c}") + own).otherwise(own)
-    d = d.withColumn("_dn2", add("n", F.col("_dn")))
-    on_device = F.col("_dn2") >= min_samples
-    n = F.when(on_device, F.col("_dn2")).otherwise(F.col("_gn"))
-    zs = []
-    for m in ms:
-        s = F.when(on_device, add(f"s_{m}", F.col(f"_ds_{m}"))).otherwise(F.col(f"_gs_{m}"))
-        q = F.when(on_device, add(f"q_{m}", F.col(f"_dq_{m}"))).otherwise(F.col(f"_gq_{m}"))
-        var = _spread(n, s, q)
-        zs.append(F.struct(F.coalesce(F.try_divide(F.col(m) - F.try_divide(s, n), F.sqrt(var)), F.lit(0.0)).alias("z"),
-                           F.lit(m).alias("m")))
-    d = d.withColumn("_zs", F.array(*zs))
-    best = F.aggregate("_zs", F.struct(F.lit(0.0).alias("z"), F.lit("").alias("m")),
+
+    def started(m):
+        return tuple(F.when(has, F.col(f"_seed.{c}")).otherwise(z) for c, z in (("n", 0), (f"a_{m}", 0.0), (f"v_{m}", 0.0)))
+
+    def moments(p, m):
+        return F.col(f"{p}n"), F.col(f"{p}a_{m}"), F.col(f"{p}v_{m}")
+
+    def row(m):
+        return F.lit(1), F.col(m), F.lit(0.0)
+
+    device = {m: merged(merged(started(m), moments("_d", m)), row(m)) for m in ms}
+    whole = {m: merged(moments("_g", m), row(m)) for m in ms}
+    on_device = device[ms[0]][0] >= min_samples
+    n = F.when(on_device, device[ms[0]][0]).otherwise(whole[ms[0]][0])
+    d = d.withColumns({"_n": n, "_on": on_device, **{f"_m_{m}": F.when(on_device, device[m][1]).otherwise(whole[m][1]) for m in ms},
+                       **{f"_q_{m}": F.when(on_device, device[m][2]).otherwise(whole[m][2]) for m in ms}})
+    zs = [F.struct(F.coalesce(F.try_divide(F.col(m) - F.col(f"_m_{m}"), F.sqrt(_variance(F.col("_n"), F.col(f"_m_{m}"), F.col(f"_q_{m}")))), F.lit(0.0)).alias("z"),
+                   F.lit(m).alias("m")) for m in ms]
+    best = F.aggregate(F.array(*zs), F.struct(F.lit(0.0).alias("z"), F.lit("").alias("m")),
                        lambda a, x: F.when(F.abs(x["z"]) > F.abs(a["z"]), x).otherwise(a))
     d = d.withColumn("_best", best)
-    ready = n >= min_samples
-    return d.select(*df.columns, n.alias("score_n"), F.when(ready, on_device).alias("scored_on_device"),
-                    F.when(on_device & has, F.col(group)).alias("inherited_from"),
+    ready = F.col("_n") >= min_samples
+    return d.select(*df.columns, F.col("_n").alias("score_n"), F.when(ready, F.col("_on")).alias("scored_on_device"),
+                    F.when(F.col("_on") & has, F.col(group)).alias("inherited_from"),
                     F.when(ready, F.col("_best.z")).alias("max_z"), F.when(ready, F.col("_best.m")).alias("max_metric"))

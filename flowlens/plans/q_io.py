@@ -103,7 +103,7 @@ def _(spark, sf):
     path = scratch_path(spark, "iocs")
     sinks.snk_upsert(dim(spark, sf, BAD_IPS).withColumn("added", F.lit(1)), path, key="ip", order="added")
     sinks.snk_upsert(dim(spark, sf, _NEW).withColumn("added", F.lit(2)), path, key="ip", order="added")
-    return spark.read.parquet(path)
+    return sinks.read_upserted(spark, path)
 
 
 _FEED = "CASE category WHEN 'anonymizer' THEN 'tor_exit_nodes' WHEN 'botnet_c2' THEN 'feodo_botnet_c2' ELSE 'cinsscore_badguys' END"
@@ -124,10 +124,10 @@ def _(spark, sf):
     return spread(sinks.load_baseline_state(spark, path))
 
 
-@query("snk_engine_stats", vw("SELECT t_us - t_us % 10000000 AS tick_us, count(*) AS flows, sum(CAST(p1 > 0.5 AS INT))::BIGINT AS layer2_attacks, round(round(count(*) / 10.0, 2), 6) + 0.0 AS flows_per_sec FROM flows GROUP BY 1"))
+@query("snk_engine_stats", vw("SELECT t_us - t_us % 10000000 AS tick_us, count(*) AS flows, sum(CAST(p1 > 0.5 AS INT))::BIGINT AS layer2_attacks, round(round(count(*) / 10.0, 2), 6) + 0.0 AS flows_per_sec, round(quantile_disc(duration, 0.5), 6) + 0.0 AS latency_p50_ms, round(quantile_disc(duration, 0.95), 6) + 0.0 AS latency_p95_ms FROM flows GROUP BY 1"))
 def _(spark, sf):
     f = flows(spark, sf).withColumns({"latency_ms": F.col("duration"), "layer2_attacks": F.col("p1") > 0.5})
-    return sinks.snk_engine_stats(f).drop("latency_p50_ms", "latency_p95_ms")
+    return sinks.snk_engine_stats(f)
 
 
 @query("snk_jsonl", vw("SELECT id, severity, round(ml_score, 6) + 0.0 AS ml_score FROM alerts"))

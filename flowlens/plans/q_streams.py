@@ -17,6 +17,7 @@ from flowlens.sources import zeek
 from flowlens.sources.sinks import load_baseline_state, snk_baseline_state
 from flowlens.sources.tail import src_log_tail
 from flowlens.streaming import flow as Fs, stateful as St
+from flowlens.streaming.progress import ProgressLog
 
 STEP = 180_000_000  # event time per file: four files
 
@@ -122,6 +123,17 @@ def _(spark, sf):
     return d.select((F.unix_micros("start") - F.lit(START_US)).alias("start_us"), "severity", "n")
 
 
+@query("stream_progress", vw("SELECT b AS batch_id, n AS input_rows, 1 AS timed, (SELECT max(top) FROM q p WHERE p.b < q.b) // 1000 * 1000 - 120000000 AS watermark_us FROM q", extra={"q": f"SELECT least(t_us // {STEP}, 3) AS b, count(*) AS n, max(t_us) AS top FROM flows GROUP BY 1"}))
+def _(spark, sf):
+    """Progress of a query over four files, as rows of a table."""
+    path = scratch_path(spark, "progress")
+    s = streamed(timed(flows(spark, sf)).select("flow_id", "t_us", "ts", "src_ip")).withWatermark("ts", "2 minutes").dropDuplicatesWithinWatermark(["flow_id"])
+    with ProgressLog(spark, path):
+        Fs.run_available(s)
+    p = spark.read.parquet(path).filter("input_rows > 0")
+    return p.select("batch_id", "input_rows", (F.col("batch_ms") >= F.col("add_batch_ms")).cast("int").alias("timed"), (F.unix_micros("watermark") - F.lit(START_US)).alias("watermark_us"))
+
+
 @query("stream_sliding_ratio", vw("SELECT s AS start_us, src_ip, count(*) AS n, round(avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS ratio FROM (SELECT *, unnest([t_us - t_us % 10000000 - i * 10000000 for i in range(6)]) AS s FROM scored) GROUP BY 1, 2"))
 def _(spark, sf):
     s = Fs.stream_sliding_ratio(streamed(timed(scored(spark, sf)).select("ts", "t_us", "src_ip", (F.col("p") >= 0.5).alias("is_attack"))))

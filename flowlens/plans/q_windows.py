@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowlens import values as V
 from flowlens.functions import scores as S
 from flowlens.operators import features as X, recurrence as R, windows as Wn
+from flowlens.operators.aggregates import agg_cold_start_median
 from flowlens.operators.segments import row_index
 from flowlens.plans.flowview import START_US, alerts, flows, ladder_sql, scored, with_views
 from flowlens.plans.q_features import UM, _RK
@@ -30,7 +31,7 @@ def _(spark, sf):
 
 @query("agg_cold_start_median", with_views("SELECT " + ", ".join(f"round(median({c}), 6) + 0.0 AS {c}" for c in V.HOST_AGGREGATES) + " FROM (" + HOST_SQL.replace("round(", "(").replace(", 6) + 0.0", ")") + ")"))
 def _(spark, sf):
-    return flows(spark, sf).transform(Wn.host_rolling_60s).agg(*[F.median(c).alias(c) for c in V.HOST_AGGREGATES])
+    return agg_cold_start_median(flows(spark, sf).transform(Wn.host_rolling_60s))
 
 
 def win(h, part="src_ip"):

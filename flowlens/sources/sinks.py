@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from flowlens.operators.joins import frame
 from flowlens.operators.output import shape_alerts
 from flowlens.operators.setops import latest_wins
-from flowlens.session import scratch_path
+from flowlens.session import cut
+from flowlens.sources.tail import opened
 
 
 def snk_alerts(df: DataFrame, path: str, *, ts: str = "ts", mode: str = "append") -> None:
@@ -26,14 +27,6 @@ def alert_batch_writer(path: str):
     return write
 
 
-def swap_table(df: DataFrame, path: str) -> None:
-    """Replace a table whose old content `df` may still read: write aside, then copy over."""
-    spark = df.sparkSession
-    aside = scratch_path(spark, "swap")
-    df.write.mode("overwrite").parquet(aside)
-    spark.read.schema(df.schema).parquet(aside).write.mode("overwrite").parquet(path)
-
-
 def exists(spark, path: str) -> bool:
     try:
         spark.read.parquet(path).schema
@@ -44,12 +37,48 @@ def exists(spark, path: str) -> bool:
         raise
 
 
-def snk_upsert(df: DataFrame, path: str, *, key, order: str) -> None:
-    """Insert or replace by key: the newest row per key wins."""
+PARTS = 64
+PENDING = "_pending"  # Spark's readers skip names that begin so
+
+
+def _overwrite_parts(rows: DataFrame, path: str) -> None:
+    """Replace the parts that rows belong to; other parts and their files stay as they are."""
+    rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def finish_upsert(spark, path: str) -> None:
+    """Carry out an upsert that was decided but not finished; repeating it changes nothing."""
+    where, folder = opened(path)
+    if where.get_file_info(f"{folder}/{PENDING}/_SUCCESS").type.name == "File":
+        _overwrite_parts(spark.read.parquet(f"{path}/{PENDING}"), path)
+        where.delete_dir(f"{folder}/{PENDING}")
+
+
+def snk_upsert(df: DataFrame, path: str, *, key, order: str, parts: int = PARTS) -> None:
+    """Insert or replace by key: the newest row per key wins.
+
+    The table is dealt by hash of the key into `parts` folders; only those that df touches are read and rewritten. Their
+    new rows are written aside first, as a whole: a run that is killed before that leaves the old table, one that is
+    killed later is finished by the next call or by `read_upserted`. parts must not change between calls.
+    """
     spark = df.sparkSession
-    if not exists(spark, path):
-        df.limit(0).write.mode("overwrite").parquet(path)
-    swap_table(latest_wins(spark.read.schema(df.schema).parquet(path), df, key=key, order=order), path)
+    keys = [key] if isinstance(key, str) else list(key)
+    finish_upsert(spark, path)
+    new = cut(df.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")), "upsert")
+    touched = [r["part"] for r in new.select("part").distinct().collect()]  # parts of them at most
+    if exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col("part").isin(touched))
+        new = latest_wins(old.select(new.columns), new, key=[*keys, "part"], order=order)
+    else:
+        new = latest_wins(new.limit(0), new, key=[*keys, "part"], order=order)
+    new.write.mode("overwrite").parquet(f"{path}/{PENDING}")
+    finish_upsert(spark, path)
+
+
+def read_upserted(spark, path: str) -> DataFrame:
+    """The rows of an upserted table, after what was left unfinished."""
+    finish_upsert(spark, path)
+    return spark.read.parquet(path).drop("part")
 
 
 def snk_feed_state(iocs: DataFrame, *, updated_us: int) -> DataFrame:
