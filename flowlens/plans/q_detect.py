@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens import values as V
 from flowlens.functions import scores as S
 from flowlens.operators import aggregates as A, detect as D, joins as J, output as O, windows as Wn
+from flowlens.operators.policy import policy_by_rules, read_policies
 from flowlens.operators.segments import running_totals
 from flowlens.plans.cascade import cascade, scored_features
 from flowlens.plans.flowview import START_US, alerts, flows, ladder_sql, scored, tls_flows, with_views
@@ -19,6 +21,7 @@ from flowlens.plans.q_joins import (BAD_DOM, BAD_IPS, BAD_JA3, DIMS, DNS, DNS_SQ
 from flowlens.plans.q_windows import (BEACON, BEACON_SQL, EM_SQL, EXPX, HOST_SQL, TEMP, ZX, hp_sql, keyed, real, recursive, running_z, slots, win, with_dept,
                                       _RISKX, _pick, uf_sql)
 from flowlens.plans.registry import query, sql_round
+from flowlens.session import scratch_path
 
 SEVN = "['BENIGN','LOW','MEDIUM','HIGH','CRITICAL']"
 
@@ -148,17 +151,51 @@ POL = {**IDENT, "pol0": "SELECT i.*, CASE WHEN flow_id % 2 = 0 THEN fwd_bytes *
        "polr": f"""SELECT *, len(v) > 0 AS violation, coalesce({SEVN}[mr + 1], 'BENIGN') AS policy_severity, coalesce(list_filter(v, lambda x: x[1] = CAST(mr AS VARCHAR))[1][2:], '') AS policy_category FROM (SELECT *, CAST(list_max(list_transform(v, lambda x: x[1])) AS INT) AS mr FROM pol)"""}
 
 
-def policy_rows(spark, sf):
+def policy_input(spark, sf):
     d = identified(spark, sf).withColumns({"fwd_bytes": F.when(F.col("flow_id") % 2 == 0, F.col("fwd_bytes") * 2000).otherwise(F.col("fwd_bytes")),
                                            "ts": F.timestamp_micros(F.lit(START_US) + F.col("t_us") * 3600)})
-    d = d.join(dim(spark, sf, BAD_IPS).select(F.col("ip").alias("dst_ip"), F.col("category").alias("dst_category")), "dst_ip", "left")
-    return D.policy_eval(d)
+    return d.join(dim(spark, sf, BAD_IPS).select(F.col("ip").alias("dst_ip"), F.col("category").alias("dst_category")), "dst_ip", "left")
+
+
+def policy_rows(spark, sf):
+    return D.policy_eval(policy_input(spark, sf))
+
+
+# Rules unlike the built-in ones: a new category, other severities, a department without rules, other hours.
+POLICY_FILE = {
+    "anonymizer_detection": {"enabled": True, "tor": {"default_severity": "HIGH", "dst_ports": [9001]}, "i2p": {"default_severity": "HIGH", "dst_ports": [4444]},
+                             "vpn_unauthorized": {"default_severity": "MEDIUM", "dst_ports": [1194]}, "proxy": {"enabled": False, "dst_ports": [80]}, "webproxy": {"default_severity": "LOW", "dst_ports": [8080]}},
+    "device_restrictions": {"enabled": True, "rules": [{"device_types": ["IP_Camera", "printer"], "forbidden_categories": ["Anonymizer"], "severity": "CRITICAL"},
+                                                       {"device_types": ["ip_camera", "printer"], "forbidden_ports": [22, 3389], "severity": "LOW"},
+                                                       {"device_types": ["workstation"], "forbidden_categories": ["i2p"], "severity": "HIGH"}]},
+    "department_policies": {"enabled": True, "rules": {"Finance": {"forbidden_categories": ["webproxy"], "severity_boost": "LOW"}, "IoT": {"forbidden_categories": ["anonymizer"], "severity_boost": "CRITICAL"},
+                                                       "IT": {"allowed_categories": ["webproxy"], "forbidden_categories": ["anonymizer"], "severity_boost": "MEDIUM"}}},
+    "time_based_policies": {"enabled": True, "business_hours": {"start": 6, "end": 21}},
+    "authorized_vpn": {"authorized_ips": ["192.168.20.1"], "authorized_departments": ["Sales"], "authorized_server_ips": []},
+}
+_DIFF = {"pol1": [("dst_port = 1194 AS vpn", f"dst_port = 1194 AS vpn, {_ext} AND dst_port = 8080 AS web"), ("department IN ('IT')", "(department = 'Sales' OR src_ip = '192.168.20.1')")],
+         "pol2": [("(vpn AND NOT auth) AS any_anon", "(vpn AND NOT auth) OR web AS any_anon")], "pol3": [("(22, 3389, 5900, 4444, 6667, 31337)", "(22, 3389)")],
+         "pol4": [("WHEN 'Finance' THEN any_anon OR d1 OR d2", "WHEN 'Finance' THEN web"), ("WHEN 'Guest' THEN i2p", ""), ("WHEN 'IT' THEN false", "WHEN 'IT' THEN tor OR i2p OR vp OR d1 OR d2 OR d3")],
+         "pol5": [("hour(tt) < 8 OR hour(tt) > 19", "hour(tt) < 6 OR hour(tt) > 21"), ("(tor OR i2p OR vpn)", "(tor OR i2p OR vpn OR web)")],
+         "pol": [("CASE WHEN vp THEN '2vpn_unauthorized' END,", "CASE WHEN vp THEN '2vpn_unauthorized' END, CASE WHEN web THEN '1webproxy' END,"), ("'4device_port_violation'", "'1device_port_violation'"),
+                 ("WHEN 'Finance' THEN '3' WHEN 'IoT' THEN '4' ELSE '1' END", "WHEN 'Finance' THEN '1' WHEN 'IoT' THEN '4' ELSE '2' END")]}
+POL_FILE = dict(POL)
+for _k, _changes in _DIFF.items():
+    for _old, _new in _changes:
+        assert _old in POL_FILE[_k]
+        POL_FILE[_k] = POL_FILE[_k].replace(_old, _new)
 
 
 named("policy_eval", "SELECT flow_id, CAST(violation AS INT) AS violation, policy_severity, policy_category, len(v)::INT AS n_violations, round(CAST(CASE policy_severity WHEN 'CRITICAL' THEN 0.5 WHEN 'HIGH' THEN 0.4 WHEN 'MEDIUM' THEN 0.25 WHEN 'LOW' THEN 0.1 ELSE 0 END AS DOUBLE), 6) + 0.0 AS policy_boost FROM polr",
       lambda spark, sf: policy_rows(spark, sf).select("flow_id", F.col("violation").cast("int"), "policy_severity", "policy_category", F.size("policy_reasons").alias("n_violations"), "policy_boost"), extra=POL)
-named("policy_rules_as_data", "SELECT policy_category, policy_severity, count(*) AS n FROM polr WHERE violation GROUP BY 1, 2",
-      lambda spark, sf: policy_rows(spark, sf).filter("violation").groupBy("policy_category", "policy_severity").agg(F.count(F.lit(1)).alias("n")), extra=POL)
+@query("policy_rules_as_data", vw("SELECT flow_id, CAST(violation AS INT) AS violation, policy_severity, policy_category, len(v)::INT AS n_violations FROM polr", extra=POL_FILE))
+def _(spark, sf):
+    path = scratch_path(spark, "policies")
+    spark.createDataFrame([(json.dumps(POLICY_FILE, indent=1),)], "value string").coalesce(1).write.text(path)
+    d = policy_by_rules(policy_input(spark, sf), read_policies(spark, path))
+    return d.select("flow_id", F.col("violation").cast("int"), "policy_severity", "policy_category", F.size("policy_reasons").alias("n_violations"))
+
+
 named("vpn_authorized", "SELECT flow_id, CAST(src_ip IN ('192.168.10.10', '192.168.10.20') OR department = 'IT' AS INT) AS ok FROM ident",
       lambda spark, sf: identified(spark, sf).select("flow_id", D.vpn_authorized().cast("int").alias("ok")), extra=IDENT)
 

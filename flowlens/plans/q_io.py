@@ -3,10 +3,14 @@ below the shared scratch folder and read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import json
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from flowlens import values as V
 from flowlens.operators import aggregates as A, features as X, jobs as Jb, joins as J, setops as So
+from flowlens.operators.joins import cidr_join
 from flowlens.plans.flowview import START_US, alerts, flows, with_views
 from flowlens.plans.q_aggregates import WFX, device_baseline, fp_patterns, spread
 from flowlens.plans.q_features import CONN, conn, _RK
@@ -14,6 +18,7 @@ from flowlens.plans.q_joins import BAD_IPS, DIMS, dim
 from flowlens.plans.registry import query, sql_round
 from flowlens.session import scratch_path
 from flowlens.sources import feeds, flowfiles, sinks, zeek
+from flowlens.sources.dimensions import src_dimensions
 
 
 def vw(sql, **kw):
@@ -88,10 +93,42 @@ def _(spark, sf):
     return feeds.src_popular_domains(spark, text_file(t, "popular"))
 
 
-@query("src_dimensions", vw("SELECT category, severity, count(*) AS n FROM (SELECT CASE dst_port WHEN 9001 THEN 'tor' WHEN 4444 THEN 'i2p' WHEN 1194 THEN 'vpn_unauthorized' END AS category, CASE dst_port WHEN 1194 THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM flows WHERE dst_port IN (9001, 4444, 1194)) GROUP BY 1, 2"))
-def _(spark, sf):
-    d = feeds.src_dimensions(spark)["anonymizer_ports"]
-    return flows(spark, sf).join(d, F.col("dst_port") == F.col("port")).groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))
+# Configuration files unlike the fixed values.
+CONFIG = {
+    "identity": json.dumps({"description": "hosts", "devices": {"192.168.10.7": {"hostname": "h7", "type": "server", "department": "IT", "trusted": True}, "192.168.20.9": {"owner": "x"}},
+                            "subnet_to_department": {"192.168.10.0/24": "IT", "192.168.20.0/24": "Finance"}, "department_sensitivity": {"IT": {"level": "high", "data_class": "internal"}}}, indent=1),
+    "vlans": json.dumps({"vlan_map": {"10": {"department": "Technical", "priority": "critical", "subnet": "192.168.10.0/24"}}}, indent=1),
+    "policies": json.dumps({"anonymizer_detection": {"enabled": True, "tor": {"dst_ports": [9001], "default_severity": "LOW"}, "web": {"dst_ports": [80, 8080]}, "off": {"enabled": False, "dst_ports": [53]}}}, indent=1),
+    "ja3": json.dumps({"malware_ja3": {"b32309a26951912be7dba376398abc3b": {"name": "x", "family": "f", "severity": "HIGH"}}}, indent=1),
+    "mitre": json.dumps({"tactic_meta": {"Impact": {"id": "TA0040", "order": 1}}}, indent=1),
+    "holidays": "# days off\nhours: 4\n\nholidays:\n  - \"2024-01-01\"   # first\n  - 2024-01-26\n",
+    "networks": "extra_internal: [93.184.3.0/24, '93.184.4.0/24']\npublic_office_ips:\n- 93.184.5.6\n",
+}
+_PORTED = "SELECT 'port' AS kind, CASE dst_port WHEN 9001 THEN 'tor' ELSE 'web' END AS a, CASE dst_port WHEN 9001 THEN 'LOW' ELSE 'MEDIUM' END AS b, count(*) AS n FROM flows WHERE dst_port IN (9001, 80, 8080) GROUP BY ALL"
+_ROWS = """(VALUES ('device', '192.168.10.7', 'server/IT/true', 1), ('device', '192.168.20.9', 'unknown/Unknown/false', 1), ('subnet', '192.168.10.0/24', 'IT', 1), ('subnet', '192.168.20.0/24', 'Finance', 1),
+ ('sensitivity', 'IT', 'high/internal/false', 1), ('vlan', '10', 'Technical/192.168.10.0/24', 1), ('tactic', 'TA0040', 'Impact', 1), ('holiday', '2024-01-01', NULL, 1), ('holiday', '2024-01-26', NULL, 1))"""
+
+
+@query("src_dimensions", vw(f"""{_PORTED} UNION ALL SELECT 'ja3', 'x', 'f/HIGH', count(*) FROM flows WHERE ja3 = 'b32309a26951912be7dba376398abc3b' UNION ALL SELECT * FROM {_ROWS}
+ UNION ALL SELECT 'internal', dst_ip, NULL, count(*) FROM flows WHERE dst_ip LIKE '93.184.3.%' OR dst_ip LIKE '93.184.4.%' OR dst_ip = '93.184.5.6' GROUP BY 2"""))
+def _(spark, sf):
+    """All dimensions from files, matched with flows where they meet them."""
+    base = scratch_path(spark, "config")
+    for name, text in CONFIG.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{base}/{name}")
+    d, f = src_dimensions(spark, {name: f"{base}/{name}" for name in CONFIG}), flows(spark, sf)
+
+    def rows(df, kind, a, b=None, n=F.lit(1)):
+        return df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), (F.concat_ws("/", *b) if b else F.lit(None).cast("string")).alias("b"), n.cast("long").alias("n"))
+
+    ports = f.join(d["anonymizer_ports"], F.col("dst_port") == F.col("port")).groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))
+    ja3 = f.select("ja3").join(d["ja3_malware"], "ja3").groupBy("name", "family", "severity").agg(F.count(F.lit(1)).alias("n"))
+    nets = d["internal_networks"].filter("cidr LIKE '93.%'").withColumn("inside", F.lit(1))
+    inside = cidr_join(f.filter("dst_ip LIKE '93.%'"), nets, ip="dst_ip", values=["inside"]).filter("inside = 1").groupBy("dst_ip").agg(F.count(F.lit(1)).alias("n"))
+    tables = [rows(ports, "port", "category", ["severity"], F.col("n")), rows(ja3, "ja3", "name", ["family", "severity"], F.col("n")), rows(d["devices"], "device", "ip", ["device_type", "department", "trusted"]),
+              rows(d["subnets"], "subnet", "cidr", ["department"]), rows(d["sensitivity"], "sensitivity", "department", ["level", "data_class", "escalate"]), rows(d["vlans"], "vlan", "vlan", ["department", "cidr"]),
+              rows(d["tactics"], "tactic", "tactic_id", ["tactic"]), rows(d["holidays"], "holiday", "day"), rows(inside, "internal", "dst_ip", None, F.col("n"))]
+    return reduce(DataFrame.unionByName, tables)
 
 
 # ── sinks ────────────────────────────────────────────────────────────────────

@@ -1,13 +1,10 @@
-"""Threat feeds from files, and dimension files."""
+"""Threat feeds from files."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens import values as V
-from flowlens.operators.joins import frame
 
 
 def _lines(spark, path: str, comment: str) -> DataFrame:
@@ -49,24 +46,3 @@ def src_popular_domains(spark, path: str) -> DataFrame:
     """Lower-cased names of a `rank,domain` list."""
     v = F.split("value", ",", 2)
     return spark.read.text(path).select(F.trim("value").alias("value")).filter(F.size(v) == 2).select(F.lower(F.element_at(v, 2)).alias("domain")).distinct()
-
-
-def src_dimensions(spark, *, identity_json: str | None = None) -> dict[str, DataFrame]:
-    """Dimension tables: from an identity file where one is given, else from the fixed values."""
-    devices = "ip string, hostname string, mac string, device_type string, department string, owner string, priority string, trusted boolean"
-    subnets, rows = V.SUBNET_DEPARTMENTS, []
-    if identity_json:  # a few KB of configuration
-        cfg = json.loads("\n".join(r[0] for r in spark.read.text(identity_json).collect()))
-        subnets = cfg.get("subnet_to_department", {})
-        rows = [(ip, d.get("hostname", ""), d.get("mac", ""), d.get("type", "unknown"), d.get("department", "Unknown"), d.get("owner", ""),
-                 d.get("priority", "medium"), bool(d.get("trusted", False))) for ip, d in cfg.get("devices", {}).items()]
-    return {
-        "devices": frame(spark, rows, devices),
-        "subnets": frame(spark, subnets.items(), "cidr string, department string"),
-        "sensitivity": frame(spark, [(k, *v) for k, v in V.DEPARTMENT_SENSITIVITY.items()], "department string, level string, data_class string, escalate boolean"),
-        "vlans": frame(spark, [(i, *v) for i, v in enumerate(V.VLANS)], "ord int, vlan string, department string, priority string, cidr string"),
-        "anonymizer_ports": frame(spark, [(n, s, p) for n, s, ps in V.ANONYMIZERS for p in ps], "category string, severity string, port int"),
-        "ja3_malware": frame(spark, [(k, *v) for k, v in V.JA3_MALWARE.items()], "ja3 string, name string, family string, severity string"),
-        "tactics": frame(spark, V.TACTICS, "tactic_id string, tactic string"),
-        "holidays": frame(spark, [(d,) for d in V.HOLIDAYS], "day string"),
-        "internal_networks": frame(spark, [(c,) for c in V.INTERNAL_CIDRS_V4], "cidr string")}
