@@ -33,10 +33,13 @@ def agg_peer_baseline(samples: DataFrame, *, group="department", last: int = 500
     return g.withColumn("is_ready", (F.col("n_samples") >= 10) & (F.col("members") >= 2))
 
 
-def agg_group_norms(samples: DataFrame, *, group="department", column="dst_port", top: int = 10) -> DataFrame:
-    """Most common values per group, by the number of samples that saw them."""
-    g = samples.filter(F.col(column) > 0).groupBy(group, column).agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(group).orderBy(F.col("n").desc(), column)
+def agg_group_norms(samples: DataFrame, values: DataFrame, *, group="department", top: int = 10) -> DataFrame:
+    """(group, value, n, rank): most common values per group, by the samples whose window held them.
+
+    values: (flow_id, value) as `windows.window_values` gives them for the samples.
+    """
+    g = samples.select("flow_id", group).join(values, "flow_id").groupBy(group, "value").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy(group).orderBy(F.col("n").desc(), "value")
     return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 

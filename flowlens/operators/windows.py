@@ -62,6 +62,27 @@ def peer_push(df: DataFrame, *, every: int = 100) -> DataFrame:
     return d.filter(F.col("push_idx") % every == 0)
 
 
+def window_values(df: DataFrame, samples: DataFrame, column: str, *, window_us: int = MINUTE, bucket_us: int = 10 * MINUTE) -> DataFrame:
+    """(flow_id, value) of every different value above 0 that the source's window holds at each sample, the sample included.
+
+    samples: rows of df (src_ip, t_us, flow_id). Flows of a source and a value that follow each other within the window
+    make one interval of presence; a sample meets the intervals of its source and time bucket, and those it lies in
+    count. Null values are none; repeated samples count each.
+    """
+    order = F.struct("t_us", "flow_id")
+    v = df.filter(F.col(column) > 0).select("src_ip", F.col(column).alias("value"), "t_us", "flow_id")
+    # gaps are looked for within buckets, which repeat what can still reach into the next one
+    own = bucket_of("t_us", bucket_us)
+    near = F.pmod(F.col("t_us"), F.lit(bucket_us)) + window_us > bucket_us
+    v = v.withColumn("b", F.explode(F.when(near, F.array(own, own + 1)).otherwise(F.array(own))))
+    by = W.partitionBy("src_ip", "value", "b").orderBy("t_us", "flow_id")
+    opens = F.coalesce(F.col("t_us") - F.lag("t_us").over(by) >= window_us, F.lit(True))
+    runs = v.withColumn("run", F.sum(F.when(opens, 1).otherwise(0)).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    spans = runs.groupBy("src_ip", "b", "value", "run").agg(F.min(order).alias("first"), (F.max("t_us") + window_us).alias("until"))
+    at = samples.select("src_ip", "t_us", "flow_id", own.alias("b"))
+    return at.join(spans, ["src_ip", "b"]).filter((order >= F.col("first")) & (F.col("t_us") < F.col("until"))).select("flow_id", "value")
+
+
 def ueba_60s_features(df: DataFrame, *, window_us: int = MINUTE) -> DataFrame:
     """Append 60-second rate, distinct destinations, failed ratio, send ratio and bytes."""
     df = df.withColumn("_dnn", F.when(F.col("dst_ip") != "", F.col("dst_ip")))
@@ -123,7 +144,25 @@ def hourly_snapshot(df: DataFrame, *, ts="ts", warmup: int = 20) -> DataFrame:
         F.weekday(F.min(ts)).alias("dow"), F.avg("w_fpm").alias("fpm"), F.avg("w_unique_dst").alias("unique_dst"),
         F.avg(total).alias("bytes_pf"), F.avg(F.col("fwd_bytes") / F.greatest(total, F.lit(1))).alias("send_ratio"),
         F.count(F.lit(1)).alias("n_flows"), F.max("t_us").alias("last_us"),
-        *[F.count_if(F.col("protocol") == p).alias(f"proto_{p}") for p in (6, 17, 1)])
+        *[F.count_if(F.col("protocol") == p).alias(f"proto_{p}") for p in (6, 17, 1)],
+        F.array_sort(F.collect_set(F.when(F.col("dst_port") > 0, F.col("dst_port")))).alias("ports"))  # 65,535 of them at most
+
+
+def hour_buffer(df: DataFrame, *, ts="ts", warmup: int = 20) -> DataFrame:
+    """Append hour_n and hour_{mean,std}_<metric>: the source's rows of the current hour before this one.
+
+    They are what `hourly_snapshot` will make of the hour, as far as it has come; they start anew with every hour and
+    hold rows from the source's 20th flow on. One row has a deviation of a fifth of its value, at least 1. Needs the
+    columns of `ueba_60s_features`.
+    """
+    total = F.col("fwd_bytes") + F.col("bwd_bytes")
+    d = row_index(df.select("flow_id", "t_us", "src_ip", F.date_trunc("hour", F.col(ts)).alias("_hour"), F.col("w_fpm").alias("fpm"), F.col("w_unique_dst").alias("unique_dst"),
+                            total.cast("double").alias("bytes_pf"), (F.col("fwd_bytes") / F.greatest(total, F.lit(1))).alias("send_ratio")), keys="src_ip", name="_idx")
+    d = running_moments(d.filter(F.col("_idx") >= warmup), specs=[(["src_ip", "_hour"], "_h")], metrics=SNAP, bucket_us=10 * MINUTE)
+    n = F.col("_hn")
+    cols = [c for m in SNAP for mean in [F.col(f"_ha_{m}")] for c in (
+        mean.alias(f"hour_mean_{m}"), F.when(n < 2, F.greatest(mean * 0.20, F.lit(1.0))).otherwise(F.greatest(F.sqrt(F.col(f"_hv_{m}") / n), F.lit(0.01))).alias(f"hour_std_{m}"))]
+    return df.join(d.filter(n > 0).select("flow_id", n.alias("hour_n"), *cols), "flow_id", "left").withColumn("hour_n", F.coalesce("hour_n", F.lit(0)))
 
 
 def _std(n, mean, sq_mean):
@@ -156,21 +195,26 @@ def _mean_of_slots(slots: DataFrame, keys, prefix: str) -> DataFrame:
 
 
 def expected_fallback(keys: DataFrame, slots: DataFrame) -> DataFrame:
-    """Expected metrics of each (src_ip, dow, hour) row: slot, else weekday, else global, else constants."""
+    """Expected metrics of each (src_ip, dow, hour) row: slot, else weekday, else global, else the current hour, else constants.
+
+    The current hour counts where keys have the columns of `hour_buffer`.
+    """
     s = slots.withColumnsRenamed({"n": "s_n", **{f"{k}_{m}": f"s_{k}_{m}" for k in ("mean", "std") for m in SNAP}})
     d = (keys.join(s, ["src_ip", "dow", "hour"], "left")
          .join(_mean_of_slots(slots, ["src_ip", "dow"], "d"), ["src_ip", "dow"], "left")
          .join(_mean_of_slots(slots, ["src_ip"], "g"), ["src_ip"], "left"))
     use = (F.when(F.col("s_n") >= 2, "slot").when(F.col("d_n") >= 2, "weekday")
-           .when(F.col("g_n") >= 1, "global").otherwise("none"))
+           .when(F.col("g_n") >= 1, "global").when(F.col("hour_n") > 0 if "hour_n" in keys.columns else F.lit(False), "hour").otherwise("none"))
     const = {"mean": {"fpm": 1.0, "unique_dst": 1.0, "bytes_pf": 1.0, "send_ratio": 0.5},
              "std": {"fpm": 1.0, "unique_dst": 1.0, "bytes_pf": 1.0, "send_ratio": 0.1}}
     d = d.withColumn("source", use)
     pick = {f"{k}_{m}": F.when(F.col("source") == "slot", F.col(f"s_{k}_{m}"))
             .when(F.col("source") == "weekday", F.col(f"d_{k}_{m}"))
-            .when(F.col("source") == "global", F.col(f"g_{k}_{m}")).otherwise(F.lit(const[k][m]))
+            .when(F.col("source") == "global", F.col(f"g_{k}_{m}"))
+            .when(F.col("source") == "hour", F.col(f"hour_{k}_{m}") if "hour_n" in keys.columns else F.lit(None)).otherwise(F.lit(const[k][m]))
             for k in ("mean", "std") for m in SNAP}
-    return d.select(*keys.columns, "source", *[e.alias(n) for n, e in pick.items()])
+    kept = [c for c in keys.columns if not c.startswith("hour_")]
+    return d.select(*kept, "source", *[e.alias(n) for n, e in pick.items()])
 
 
 def zscore_slot(df: DataFrame, *, current: dict[str, str]) -> DataFrame:

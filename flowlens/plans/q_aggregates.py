@@ -39,8 +39,17 @@ def peer_baseline(spark, sf):
 
 named("agg_peer_baseline", "SELECT department, n_samples, members, CAST(is_ready AS INT) AS is_ready, " + sql_round({f"{k}_{c}": f"{k}_{c}" for k in ("mean", "std") for c in A.PEER}) + " FROM peerm",
       lambda spark, sf: peer_baseline(spark, sf).withColumn("is_ready", F.col("is_ready").cast("int")), extra=PEERX)
-named("agg_group_norms", "SELECT * FROM (SELECT department, dst_port, n, row_number() OVER (PARTITION BY department ORDER BY n DESC, dst_port) AS rank FROM (SELECT department, dst_port, count(*) AS n FROM pd GROUP BY 1, 2)) WHERE rank <= 4",
-      lambda spark, sf: A.agg_group_norms(with_dept(pushes(spark, sf)), top=4), extra=PEERX)
+_held = " UNION ALL ".join(f"SELECT DISTINCT pd.flow_id, department, '{c}' AS kind, f.{c} AS value FROM pd JOIN flows f ON f.src_ip = pd.src_ip AND f.t_us > pd.t_us - 60000000 AND (f.t_us < pd.t_us OR (f.t_us = pd.t_us AND f.flow_id <= pd.flow_id)) WHERE f.{c} > 0" for c in ("dst_port", "protocol"))
+
+
+def group_norms(spark, sf):
+    samples, f = with_dept(pushes(spark, sf)), flows(spark, sf)
+    norms = [A.agg_group_norms(samples, Wn.window_values(f, samples, c, bucket_us=90_000_000), top=4).withColumn("kind", F.lit(c)).withColumn("value", F.col("value").cast("long")) for c in ("dst_port", "protocol")]
+    return norms[0].unionByName(norms[1]).withColumn("rank", F.col("rank").cast("long"))
+
+
+named("agg_group_norms", f"SELECT * FROM (SELECT department, kind, CAST(value AS BIGINT) AS value, n, row_number() OVER (PARTITION BY department, kind ORDER BY n DESC, value) AS rank FROM (SELECT department, kind, value, count(*) AS n FROM ({_held}) GROUP BY ALL)) WHERE rank <= 4",
+      group_norms, extra=PEERX)
 
 # ── baselines ────────────────────────────────────────────────────────────────
 _wf = lambda ent, typ: " UNION ALL ".join(

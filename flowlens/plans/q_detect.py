@@ -11,7 +11,7 @@ from flowlens import values as V
 from flowlens.functions import scores as S
 from flowlens.operators import aggregates as A, detect as D, joins as J, output as O, windows as Wn
 from flowlens.operators.policy import policy_by_rules, read_policies
-from flowlens.operators.segments import running_totals
+from flowlens.operators.segments import running_totals, sliding
 from flowlens.plans.cascade import cascade, scored_features
 from flowlens.plans.flowview import START_US, alerts, flows, ladder_sql, scored, tls_flows, with_views
 from flowlens.plans.q_aggregates import PEERX, peer_baseline
@@ -231,8 +231,19 @@ named("ueba_long_result", f"""SELECT flow_id, CAST(ready AS INT) AS ueba_ready,
       .select("flow_id", F.col("ueba_ready").cast("int"), F.col("ueba_alert").cast("int"), "ueba_severity", "ueba_risk", "ueba_anomaly"), extra=UL)
 
 
+# Two specialists, one behind a gate of its own.
+_SPECS = {"spec2_botnet": ("p1", 0.80), "spec9": ("p2", 0.70)}
+_at = {s: f"({p} >= 0.6 AND {p} >= {g})" for s, (p, g) in _SPECS.items()}
+_nat = "(" + " + ".join(f"CAST({a} AS INT)" for a in _at.values()) + ")"
+_conf = "greatest(" + ", ".join(f"CASE WHEN {a} THEN {_SPECS[s][0]} ELSE 0 END" for s, a in _at.items()) + ")"
+_add = f"CASE WHEN {_nat} >= 2 THEN 0.3 WHEN {_nat} = 1 AND {_conf} >= 0.9 THEN 0.15 WHEN {_nat} = 1 AND {_conf} >= 0.75 THEN 0.05 ELSE 0 END"
+_named = f"CAST({_nat} >= 2 OR ({_nat} = 1 AND {_conf} >= 0.9) AS INT)"
+_calm = "(p1 < 0.6 AND p2 < 0.6 AND ((1 - p1) + (1 - p2)) / 2 > 0.9)"
+
+
 def behaviour(spark, sf):
     """All inputs of the ten checks, on real time."""
+    verdicts = F.array(*[F.struct(F.lit(s).alias("source"), (F.col(p) >= 0.6).alias("is_attack"), F.col(p).alias("confidence"), (F.lit(1.0) - F.col(p)).alias("benign_prob")) for s, (p, _) in _SPECS.items()])
     f = real(spark, sf)
     one = F.lit(1).cast("long")
     first = F.struct("t_us", "flow_id")
@@ -242,10 +253,12 @@ def behaviour(spark, sf):
     d = d.join(ports, ["src_ip", "dst_port"])
     d = d.withColumn("port_is_new", F.col("_pf.flow_id") == F.col("flow_id")).drop("_pf")
     d = running_totals(d, specs=[("src_ip", {"flow_idx": one, "_np": F.col("port_is_new").cast("long")}), (["src_ip", "protocol"], {"_pc": one})])
+    same = sliding(f.select("flow_id", "t_us", "src_ip", "protocol"), key=["src_ip", "protocol"], horizon_us=60_000_000)
+    d = d.join(same.select("flow_id", F.col("win_n").alias("proto_in_window")), "flow_id")
     e = Wn.expected_fallback(keyed(spark, sf), slots(spark, sf)).transform(Wn.zscore_slot, current={"fpm": "w_fpm", "unique_dst": "w_unique_dst", "bytes_pf": "flow_bytes"})
     d = d.join(e.select("flow_id", "flow_bytes", "mean_fpm", "z_fpm", "z_unique_dst", "z_bytes_pf"), "flow_id")
     return d.withColumns({"known_ports": F.col("_np") - F.col("port_is_new").cast("long"), "proto_share": F.col("_pc") / F.col("flow_idx"),
-                          "proto_in_window": F.col("w_fpm"), "mature": F.col("flow_idx") >= 30})
+                          "mature": F.col("flow_idx") >= 30, "verdicts": verdicts})
 
 
 _chk = {"rate": "CASE WHEN z_fpm >= 8 THEN 0.5 WHEN z_fpm >= 5 THEN 0.35 WHEN z_fpm >= 3 THEN 0.2 END",
@@ -256,18 +269,19 @@ _chk = {"rate": "CASE WHEN z_fpm >= 8 THEN 0.5 WHEN z_fpm >= 5 THEN 0.35 WHEN z_
         "beac": "CASE WHEN beacon_n >= 15 THEN CASE WHEN beacon_cv < 0.05 AND beacon_mean > 10 THEN 0.4 WHEN beacon_cv < 0.15 AND beacon_mean > 30 THEN 0.2 END END",
         "hour": "CASE WHEN hour_dev >= 1 AND w_fpm > greatest(mf, 0.1) * 2 THEN 0.25 WHEN hour_dev >= 0.5 AND w_fpm > greatest(mf, 0.1) * 3 THEN 0.12 END",
         "vol": "CASE WHEN flow_bytes > 0 THEN CASE WHEN z_b >= 8 THEN 0.35 WHEN z_b >= 5 THEN 0.25 END END",
-        "prot": "CASE WHEN fi > 50 AND pc / fi < 0.02 AND w_fpm >= 3 THEN 0.2 END"}
+        "prot": "CASE WHEN fi > 50 AND pc / fi < 0.02 AND pw >= 3 THEN 0.2 END"}
 _w = "(PARTITION BY {} ORDER BY t_us, flow_id ROWS UNBOUNDED PRECEDING)"
 TENX = {**EXPX, **BEACON, "beac": BEACON_SQL, "hprof": hp_sql(40),
         "ten0": f"""SELECT uf.*, b.beacon_n, b.beacon_mean, b.beacon_cv, h.hour_dev, row_number() OVER {_w.format('uf.src_ip').replace('t_us, flow_id', 'uf.t_us, uf.flow_id')} AS fi, uf.protocol AS pr,
- row_number() OVER (PARTITION BY uf.src_ip, uf.dst_port ORDER BY uf.t_us, uf.flow_id) = 1 AS pnew, row_number() OVER (PARTITION BY uf.src_ip, uf.protocol ORDER BY uf.t_us, uf.flow_id) AS pc
- FROM uf JOIN beac b USING (flow_id) JOIN hprof h USING (flow_id)""",
+ row_number() OVER (PARTITION BY uf.src_ip, uf.dst_port ORDER BY uf.t_us, uf.flow_id) = 1 AS pnew, row_number() OVER (PARTITION BY uf.src_ip, uf.protocol ORDER BY uf.t_us, uf.flow_id) AS pc,
+ count(*) OVER (PARTITION BY uf.src_ip, uf.protocol ORDER BY uf.t_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS pw FROM uf JOIN beac b USING (flow_id) JOIN hprof h USING (flow_id)""",
         "ten1": f"""SELECT t.*, sum(CAST(pnew AS INT)) OVER (PARTITION BY t.src_ip ORDER BY t.t_us, t.flow_id ROWS UNBOUNDED PRECEDING) - CAST(pnew AS INT) AS kp, e.flow_bytes, e.w_unique_dst AS ud, {_pick['mean_fpm']} AS mf,
  abs(e.w_fpm - {_pick['mean_fpm']}) / greatest({_pick['std_fpm']}, 0.01) AS z_fpm, abs(e.w_unique_dst - {_pick['mean_unique_dst']}) / greatest({_pick['std_unique_dst']}, 0.01) AS z_dst,
  abs(e.flow_bytes - {_pick['mean_bytes_pf']}) / greatest({_pick['std_bytes_pf']}, 0.01) AS z_b FROM ten0 t JOIN expd e USING (flow_id)""",
-        "ten": "SELECT flow_id, fi >= 30 AS mature, " + " + ".join(f"coalesce({e}, 0)" for e in _chk.values()) + " AS s, " + " + ".join(f"CASE WHEN {e} IS NULL THEN 0 ELSE 1 END" for e in _chk.values()) + " AS k FROM ten1"}
-named("anomaly_10_checks", "SELECT flow_id, round(CAST(CASE WHEN mature THEN least(s, 1.0) ELSE 0 END AS DOUBLE), 6) + 0.0 AS behaviour_score, CASE WHEN mature THEN k ELSE 0 END AS n_reasons FROM ten",
-      lambda spark, sf: D.anomaly_10_checks(behaviour(spark, sf)).select("flow_id", "behaviour_score", F.size("behaviour_reasons").alias("n_reasons")), compress=1, extra=TENX)
+        "ten": "SELECT flow_id, fi >= 30 AS mature, " + " + ".join(f"coalesce({e}, 0)" for e in _chk.values()) + " AS s, " + " + ".join(f"CASE WHEN {e} IS NULL THEN 0 ELSE 1 END" for e in _chk.values()) + " AS k FROM ten1",
+        "tenv": f"SELECT flow_id, mature, CASE WHEN {_calm} AND s + {_add} < 0.6 AND k + {_named} < 3 THEN greatest(0, s + {_add} - 0.15) ELSE s + {_add} END AS s, k + {_named} AS k FROM ten JOIN (SELECT flow_id, p1, p2 FROM uf) USING (flow_id)"}
+named("anomaly_10_checks", "SELECT flow_id, round(CAST(CASE WHEN mature THEN least(s, 1.0) ELSE 0 END AS DOUBLE), 6) + 0.0 AS behaviour_score, CASE WHEN mature THEN k ELSE 0 END AS n_reasons FROM tenv",
+      lambda spark, sf: D.anomaly_10_checks(behaviour(spark, sf), verdicts="verdicts").select("flow_id", "behaviour_score", F.size("behaviour_reasons").alias("n_reasons")), compress=1, extra=TENX)
 
 # behaviour columns drawn from the flow for the gate tests
 _BS, _BN = "CAST((flow_id * 29) % 100 AS DOUBLE) / 100", "(flow_id % 4)"

@@ -125,8 +125,8 @@ def _(spark, sf):
 SNAPX = {"uf": uf_sql(),
          "snap": f"""SELECT src_ip, CAST({TS} AS DATE) AS date, hour({TS}) AS hour, isodow(min({TS})) - 1 AS dow, avg(w_fpm) AS fpm, avg(w_unique_dst) AS unique_dst,
  avg(fwd_bytes + bwd_bytes) AS bytes_pf, avg(fwd_bytes / greatest(fwd_bytes + bwd_bytes, 1)) AS send_ratio, count(*) AS n_flows, max(t_us) AS last_us,
- count(*) FILTER (protocol = 6) AS proto_6, count(*) FILTER (protocol = 17) AS proto_17, count(*) FILTER (protocol = 1) AS proto_1
- FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY t_us, flow_id) AS i FROM uf) WHERE i >= 20 GROUP BY 1, 2, 3""",
+ count(*) FILTER (protocol = 6) AS proto_6, count(*) FILTER (protocol = 17) AS proto_17, count(*) FILTER (protocol = 1) AS proto_1,
+ array_to_string(list_sort(list(DISTINCT dst_port) FILTER (dst_port > 0)), ',') AS ports FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY t_us, flow_id) AS i FROM uf) WHERE i >= 20 GROUP BY 1, 2, 3""",
          "latest": "SELECT max(last_us) AS m FROM snap",
          "wsnap": "SELECT snap.*, CASE WHEN (m - last_us)/86400e6 <= 3 THEN 0.5 WHEN (m - last_us)/86400e6 <= 7 THEN 0.3 ELSE 0.2 END AS w FROM snap JOIN latest ON true WHERE (m - last_us)/86400e6 <= 14"}
 _sb = ", ".join(f"sum(w*{m})/sum(w) AS mean_{m}, sum(w*{m}*{m})/sum(w) AS q_{m}" for m in Wn.SNAP)
@@ -144,9 +144,9 @@ def slots(spark, sf):
     return Wn.slot_baseline(snap, as_of_us=snap.select(F.max("last_us")).scalar())
 
 
-@query("hourly_snapshot", with_views(f"SELECT src_ip, strftime(date, '%Y-%m-%d') AS date, hour, dow, {sql_round({m: m for m in Wn.SNAP})}, n_flows, proto_6, proto_17, proto_1 FROM snap", compress=1, extra=SNAPX))
+@query("hourly_snapshot", with_views(f"SELECT src_ip, strftime(date, '%Y-%m-%d') AS date, hour, dow, {sql_round({m: m for m in Wn.SNAP})}, n_flows, proto_6, proto_17, proto_1, ports FROM snap", compress=1, extra=SNAPX))
 def _(spark, sf):
-    return snapshots(spark, sf).withColumn("date", F.date_format("date", "yyyy-MM-dd")).drop("last_us")
+    return snapshots(spark, sf).withColumns({"date": F.date_format("date", "yyyy-MM-dd"), "ports": F.array_join("ports", ",")}).drop("last_us")
 
 
 @query("slot_baseline", with_views(f"SELECT src_ip, dow, hour, n, {sql_round({c: c for c in SNAP_COLS})} FROM slots", compress=1, extra=SNAPX))
@@ -171,9 +171,19 @@ def keyed(spark, sf):
                     F.weekday("ts").alias("dow"), F.hour("ts").alias("hour"))
 
 
-@query("expected_fallback", with_views(f"SELECT flow_id, source, {sql_round(_pick)} FROM expd", compress=1, extra=EXPX))
+_HB = f"OVER (PARTITION BY src_ip, CAST({TS} AS DATE), hour({TS}) ORDER BY t_us, flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_HM = {"fpm": "w_fpm", "unique_dst": "w_unique_dst", "bytes_pf": "CAST(fwd_bytes + bwd_bytes AS DOUBLE)", "send_ratio": "fwd_bytes / greatest(fwd_bytes + bwd_bytes, 1)"}
+HOURX = {**EXPX, "hb0": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY t_us, flow_id) AS i FROM uf) WHERE i >= 2",
+         "hb": f"SELECT flow_id, count(*) {_HB} AS hour_n, " + ", ".join(f"avg({e}) {_HB} AS hour_mean_{m}, CASE WHEN count(*) {_HB} < 2 THEN greatest(avg({e}) {_HB} * 0.2, 1.0) ELSE greatest(stddev_pop({e}) {_HB}, 0.01) END AS hour_std_{m}" for m, e in _HM.items()) + " FROM hb0",
+         "hexp": "SELECT expd.* REPLACE (CASE WHEN source = 'none' AND coalesce(hour_n, 0) > 0 THEN 'hour' ELSE source END AS source), hb.* EXCLUDE (flow_id) FROM expd LEFT JOIN hb USING (flow_id)"}
+_hpick = {c: e.replace("CASE source ", f"CASE source WHEN 'hour' THEN hour_{c} ") for c, e in _pick.items()}
+
+
+@query("expected_fallback", with_views(f"SELECT flow_id, source, {sql_round(_hpick)} FROM hexp", compress=1, extra=HOURX))
 def _(spark, sf):
-    return Wn.expected_fallback(keyed(spark, sf).select("flow_id", "src_ip", "dow", "hour"), slots(spark, sf)).drop("src_ip", "dow", "hour")
+    d = real(spark, sf).transform(Wn.ueba_60s_features).transform(Wn.hour_buffer, warmup=2)
+    d = d.select("flow_id", "src_ip", F.weekday("ts").alias("dow"), F.hour("ts").alias("hour"), *[c for c in d.columns if c.startswith("hour_")])
+    return Wn.expected_fallback(d, slots(spark, sf)).drop("src_ip", "dow", "hour")
 
 
 _CUR = {"fpm": "w_fpm", "unique_dst": "w_unique_dst", "bytes_pf": "flow_bytes", "send_ratio": "w_send_ratio"}
