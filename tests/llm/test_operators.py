@@ -305,6 +305,96 @@ def test_common_subsequence():
         assert len(page_diff.common(a, b)) == best[-1][-1]
 
 
+def lines_text(page):
+    found = page_diff.blocks(page)
+    return page_diff.text_of([b[0] for b in found], [b[1] for b in found], None)
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><p class=it's>Hello <b>x</b> world</p><p>That's it. More text.</p><p>Last</p></article>", "Hello x world\n\nThat's it. More text.\n\nLast"),
+    ("<article><div class='share-price'>Price 5</div><p>a <label>b</label></p><div class='share-buttons'>Tweet</div></article>", "Price 5\n\na b"),
+    ("<p title=\"a > b\">x</p><p title='it is'>y</p><a href=unclosed\">z</a>", "x\n\ny\n\nz"),
+    ("a < b <1 <!-- <p>no</p> --> c<script>if (a<b) '</p>'</SCRIPT>d <br> e", "a < b <1 c d e".replace("c d", "cd")),
+    ("<nav>n</nav><p>t<aside>s</aside>u<form>f</form></p><div class='site-footer'>z</div><div id=comments>c</div>", "t\n\nu"),
+    ("", ""), (None, ""), ("<p>open", "open"), ("<", "<"), ("<p", "<p")])
+def test_blocks(page, want):
+    assert lines_text(page) == want
+
+
+@pytest.mark.parametrize("bad", ['<a "', '<a ="', "<a x='", "<!--", "<script>", "<p>x", "<div class=a>", "<", "&", '<a =">" ', "</", "<svg/>"])
+def test_broken_markup_takes_linear_time(bad):
+    import time
+
+    def took(n):
+        t0 = time.process_time()
+        page_diff.blocks(bad * (n // len(bad)))
+        return time.process_time() - t0
+
+    assert took(800_000) < 40 * max(took(100_000), 0.02)
+
+
+def test_alignment_of_many_equal_lines():
+    import time
+
+    t0 = time.process_time()
+    a, b = [i % 2 for i in range(6000)], [i * i % 3 % 2 for i in range(6000)]
+    got = page_diff.common(a, b)
+    assert time.process_time() - t0 < 5 and got == sorted(set(got))
+    at = iter(b)
+    assert all(any(a[i] == x for x in at) for i in got)
+
+
+def diffed(pages):
+    """Brute force: every page against its nearest pages of other lines on the host."""
+    out = {}
+    for host in {h for h, _, _ in pages}:
+        own = sorted((p, i) for i, (h, p, _) in enumerate(pages) if h == host)
+        lists, order = {}, []
+        for p, i in own:
+            found = tuple(page_diff.blocks(pages[i][2]))
+            if found not in lists:
+                lists[found] = len(order)
+                order.append(found)
+        for _, i in own:
+            found = tuple(page_diff.blocks(pages[i][2]))
+            at, last = lists[found], len(order) - 1
+            near = [1, 2] if at == 0 else [at - 1, at - 2] if at == last else [at - 1, at + 1]
+            others = [[x[0] for x in order[k]] for k in near if 0 <= k <= last and k != at]
+            keys, bits = [x[0] for x in found], [x[1] for x in found]
+            control = [len(x.split()) <= 8 and x[-1:] not in ".!?…:;,)]\"'»”" for x in keys]
+            gone = page_diff.shared_lines(keys, bits, [len(x) for x in keys], control, others)
+            out[i] = page_diff.text_of(keys, bits, gone)
+    return out
+
+
+def test_page_differencing_equals_brute_force(spark):
+    rng = random.Random(8)
+    pages = []
+    for n in range(60):
+        host, marked = rng.choice("abc"), rng.random() < 0.4
+        site = f"<div>{host} site</div><p>Legal notice of {host}. All rights.</p>"
+        body = "".join(f"<p>{rng.choice(['Share this', 'A sentence that many have.', f'Own {n} {k} text.', f'Own {n} {k} text.'])}</p>" for k in range(rng.randrange(1, 7)))
+        pages.append((host, f"/{rng.randrange(20)}/{n}", f"{site}<article><h1>H{n % 3}</h1>{body}</article>" if marked else site + body))
+    for copy in (3, 3, 4):
+        pages.append((pages[copy][0], pages[copy][1] + "z", pages[copy][2]))
+    near = "<div>d site</div>" + "".join(f"<p>Long shared sentence number {k} of the copies.</p>" for k in range(9))
+    pages += [("d", f"/{i}", near + f"<p>Edition {i}.</p>") for i in range(4)]  # near copies of each other keep their text
+    table = spark.createDataFrame([(i, f"http://{h}{p}", page) for i, (h, p, page) in enumerate(pages)], "page_id long, url string, html string").withColumn("lines", F.lit(1)).repartition(5)
+    got = {r.page_id: r for r in page_diff.extracted(table).collect()}
+    want = diffed(pages)
+    assert {i: got[i].text for i in got} == want
+    assert sum(r.n_gone for r in got.values()) > 60 and "Long shared sentence number 4" in got[len(pages) - 1].text
+    assert all("site" not in want[i] for i, (h, _, page) in enumerate(pages) if h in "abc" and "<article>" in page)
+
+
+def test_page_differencing_of_empty_tables_and_long_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert page_diff.extracted(empty).collect() == []
+    rows = [(1, "http://h/1", "<p>" + "word " * 200_000), (2, "http://h/1", "<p>same path"), (3, "http://h/1", "<p>same path"), (None, "http://h/2", "<p>x"), (4, "no host", "<p>y")]
+    got = sorted((r.page_id or 0, r.n_chars) for r in page_diff.extracted(spark.createDataFrame(rows, empty.schema)).collect())
+    assert got == [(0, 1), (1, 999_999), (2, 9), (3, 9), (4, 1)]
+
+
 def test_large_conversation_is_cut_into_ranges(spark):
     rnd = random.Random(5)
     rows = [("big" if rnd.random() < 0.8 else f"c{i % 5}", i) for i in range(500)]
