@@ -63,22 +63,24 @@ def cef_format(df: DataFrame, *, vendor: str = "flowlens", product: str = "flowl
 
 
 def recommended_action() -> Column:
-    within = "Report to CERT-In within 6 hours"
-    return (F.when(F.col("severity") == "CRITICAL", "IMMEDIATE: Isolate affected systems. Block source IP at perimeter firewall. Preserve forensic evidence. " + within + ".")
-            .when(F.col("attack_type") == "Ransomware", "Isolate affected host. Disconnect from network. Do NOT pay ransom. Engage incident response team. " + within + ".")
-            .when(F.col("severity") == "HIGH", "Investigate source IP. Check for lateral movement. Block if confirmed malicious. " + within + " if confirmed.")
-            .otherwise("Monitor and investigate. Collect additional evidence. Report to CERT-In if incident confirmed."))
+    return (F.when(F.col("severity") == "CRITICAL", V.ACTION_CRITICAL).when(F.col("attack_type") == "Ransomware", V.ACTION_RANSOMWARE)
+            .when(F.col("severity") == "HIGH", V.ACTION_HIGH).otherwise(V.ACTION_DEFAULT))
 
 
-def certin_report(*, organization: str = "", sector: str = "", email: str = "", phone: str = "", reported_at=None, product: str = "flowlens") -> Column:
-    """Incident report per alert, as nested JSON text."""
+def certin_report(df: DataFrame, *, organization: str = "", sector: str = "", email: str = "", phone: str = "", reported_at=None, product: str = "flowlens", name: str = "report") -> DataFrame:
+    """Append an incident report per alert, as nested JSON text.
+
+    Alerts may bring ja3 (text) and threat_intel_hits (list of text); without them both are empty.
+    """
+    ja3 = F.coalesce(F.col("ja3"), F.lit("")) if "ja3" in df.columns else F.lit("")
+    hits = F.coalesce(F.col("threat_intel_hits"), F.array().cast("array<string>")) if "threat_intel_hits" in df.columns else F.array().cast("array<string>")
     a = lambda c, n=None: F.col(c).alias(n or c)
     lit = lambda v, n: F.lit(v).alias(n)
     when = F.coalesce(reported_at, F.current_timestamp()) if reported_at is not None else F.current_timestamp()
     text = F.concat(F.col("attack_type"), F.lit(f" detected by {product}. Source: "), F.col("src_ip"), F.lit(" -> Destination: "), F.col("dst_ip"),
                     F.lit(":"), F.col("dst_port").cast("string"), F.lit(". Confidence: "), F.format_number("confidence", 1), F.lit("%."))
     end = lambda ip, role, dept, port: F.struct(F.col(ip).alias("ip"), F.lit(role).alias("role"), dept.alias("department"), port.alias("port"))
-    return F.to_json(F.struct(
+    return df.withColumn(name, F.to_json(F.struct(
         lit("1.0", "certin_schema_version"),
         F.struct(lit(organization, "organization"), lit(sector, "sector"), lit(email, "contact_email"), lit(phone, "contact_phone")).alias("reporting_entity"),
         F.struct(F.coalesce(lookup("attack_type", V.INCIDENT_TYPES), F.lit(V.INCIDENT_DEFAULT)).alias("type"), a("severity"),
@@ -86,8 +88,8 @@ def certin_report(*, organization: str = "", sector: str = "", email: str = "",
                  F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss").alias("reporting_timestamp"), text.alias("description")).alias("incident"),
         F.array(end("src_ip", "source", F.col("department"), F.lit(None).cast("int")),
                 end("dst_ip", "destination", F.lit(None).cast("string"), F.col("dst_port").cast("int"))).alias("affected_systems"),
-        F.struct(a("attack_type"), a("ml_score"), a("ueba_score"), a("rule_score"), a("reasons")).alias("indicators"),
-        recommended_action().alias("recommended_action")))
+        F.struct(a("attack_type"), a("ml_score"), a("ueba_score"), a("rule_score"), ja3.alias("ja3_hash"), hits.alias("threat_intel_hits"), a("reasons")).alias("indicators"),
+        recommended_action().alias("recommended_action"))))
 
 
 def alert_text(df: DataFrame, *, product: str = "flowlens") -> DataFrame:

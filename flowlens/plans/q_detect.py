@@ -393,10 +393,20 @@ named("cef_format", f"""SELECT id, concat('<', 32 + s, '>CEF:0|flowlens|flowlens
  FROM (SELECT *, CASE severity WHEN 'CRITICAL' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 4 ELSE 6 END AS s FROM alerts)""",
       lambda spark, sf: (lambda d: d.select("id", O.cef_format(d).alias("line")))(reasoned(spark, sf).withColumn("confidence", (F.col("id") % 50).cast("double"))))
 _IT = casemap("attack_type", {k: v for k, v in V.INCIDENT_TYPES.items()}, f"'{V.INCIDENT_DEFAULT}'")
-named("certin_report", f"SELECT id, {_IT} AS type, CASE severity WHEN 'CRITICAL' THEN 'IMMEDIATE' WHEN 'HIGH' THEN 'Investiga' ELSE 'Monitor a' END AS action, src_ip AS src, dst_port AS port FROM alerts",
-      lambda spark, sf: reasoned(spark, sf).select("id", O.certin_report(organization="Org").alias("j")).select(
-          "id", F.get_json_object("j", "$.incident.type").alias("type"), F.substring(F.get_json_object("j", "$.recommended_action"), 1, 9).alias("action"),
-          F.get_json_object("j", "$.affected_systems[0].ip").alias("src"), F.get_json_object("j", "$.affected_systems[1].port").cast("int").alias("port")))
+_ACT = " ".join([f"WHEN severity = 'CRITICAL' THEN '{V.ACTION_CRITICAL}'", f"WHEN attack_type = 'Ransomware' THEN '{V.ACTION_RANSOMWARE}'", f"WHEN severity = 'HIGH' THEN '{V.ACTION_HIGH}'"])
+_HITS = "CASE WHEN id % 3 = 0 THEN dst_ip || ',feed' ELSE '' END"
+named("certin_report", f"""SELECT id, {_IT} AS type, CASE {_ACT} ELSE '{V.ACTION_DEFAULT}' END AS action, src_ip AS src, dst_ip AS dst, dst_port AS port, severity, f.ja3 AS ja3_hash, {_HITS.replace('dst_ip', 'alerts.dst_ip')} AS hits,
+ round(ml_score, 6) + 0.0 AS ml_score, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS detected, '2024-02-01T00:00:00' AS reported, 'Org' AS organization, array_to_string({_RS}, ';') AS reasons
+ FROM (SELECT *, id AS fid FROM alerts) alerts JOIN (SELECT flow_id AS jid, ja3 FROM flows) f ON f.jid = alerts.fid""".replace("SELECT id, ", "SELECT alerts.id, ", 1),
+      lambda spark, sf: O.certin_report(
+          reasoned(spark, sf).join(flows(spark, sf).select(F.col("flow_id").alias("id"), "ja3"), "id").withColumn("threat_intel_hits", F.when(F.col("id") % 3 == 0, F.array("dst_ip", F.lit("feed")))),
+          organization="Org", reported_at=F.lit("2024-02-01 00:00:00").cast("timestamp"), name="j").select(
+          "id", *[F.get_json_object("j", f"$.{path}").cast(kind).alias(n) for n, path, kind in (
+              ("type", "incident.type", "string"), ("action", "recommended_action", "string"), ("src", "affected_systems[0].ip", "string"), ("dst", "affected_systems[1].ip", "string"),
+              ("port", "affected_systems[1].port", "int"), ("severity", "incident.severity", "string"), ("ja3_hash", "indicators.ja3_hash", "string"), ("ml_score", "indicators.ml_score", "double"),
+              ("detected", "incident.detection_timestamp", "string"), ("reported", "incident.reporting_timestamp", "string"), ("organization", "reporting_entity.organization", "string"))],
+          F.array_join(F.from_json(F.get_json_object("j", "$.indicators.threat_intel_hits"), "array<string>"), ",").alias("hits"),
+          F.array_join(F.from_json(F.get_json_object("j", "$.indicators.reasons"), "array<string>"), ";").alias("reasons")))
 named("alert_text", "SELECT id, concat('[', severity, '] flowlens: ', attack_type, ' from ', src_ip) AS mail_subject, concat('[', severity, '] ', attack_type) AS chat_title, array_to_string(list_transform((" + _RS + ")[1:5], lambda r: concat('- ', r)), chr(10)) AS chat_evidence FROM alerts",
       lambda spark, sf: O.alert_text(reasoned(spark, sf)).select("id", "mail_subject", "chat_title", "chat_evidence"))
 named("json_lists", "SELECT id, CASE WHEN id % 4 = 0 THEN 0 ELSE 2 END AS n FROM alerts",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlens import values as V
 from flowlens.functions import ip as IP, scores as S, tls as L
 from flowlens.operators import features as X
-from flowlens.plans.flowview import (START_US, flows, fused_sql, ladder_sql, scored, tls_flows, with_views)
+from flowlens.plans.flowview import (START_US, alerts, flows, fused_sql, ladder_sql, scored, tls_flows, with_views)
 from flowlens.plans.registry import query, sql_round
 
 # ── Zeek-shaped view of the flows, one text for both engines ─────────────────
@@ -457,3 +457,40 @@ _HD = "('2024-01-05','2024-01-15')"
 def _(spark, sf):
     d = flows(spark, sf, 1)
     return d.select("flow_id", S.post_holiday(F.timestamp_micros(F.col("t_us") + START_US), ("2024-01-05", "2024-01-15")).cast("int").alias("quiet"))
+
+
+# ── expressions and checks by themselves ─────────────────────────────────────
+query("sld", "SELECT page_id, CASE WHEN len(p) >= 2 THEN p[-2] || '.' || p[-1] END AS sld FROM (SELECT page_id, string_split(lower(regexp_extract(url, '://([^/?#]*)', 1)), '.') AS p FROM pages)")(
+    lambda spark, sf: spark.read.parquet(f"{sf}/pages.parquet").select("page_id", L.sld(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("sld")))
+_fe = {x: f"CASE WHEN {x}_flag > 0 THEN {x}_flag / t * ln({x}_flag / t) ELSE 0 END" for x in ("syn", "fin", "rst", "ack", "psh")}
+query("flag_entropy", with_views(f"SELECT flow_id, round(CASE WHEN t > 0 THEN -({' + '.join(_fe.values())}) ELSE 0 END, 6) + 0.0 AS flag_entropy FROM (SELECT *, CAST(syn_flag + fin_flag + rst_flag + ack_flag + psh_flag AS DOUBLE) AS t FROM flows)"))(
+    lambda spark, sf: flows(spark, sf).select("flow_id", X.flag_entropy().alias("flag_entropy")))
+query("temperature_scale", with_views(f"SELECT flow_id, {sql_round({'warm': f'1/(1+exp(-{_lg('p1')}/2.5))', 'cold': f'1/(1+exp(-{_lg('p1')}/0.5))'})} FROM flows"))(
+    lambda spark, sf: flows(spark, sf).select("flow_id", S.temperature_scale("p1", 2.5).alias("warm"), S.temperature_scale("p1", 0.5).alias("cold")))
+query("bump", with_views(f"SELECT id, CASE {_RK} WHEN 0 THEN 0 WHEN 4 THEN 4 ELSE {_RK} + 1 END AS bumped FROM alerts"))(
+    lambda spark, sf: alerts(spark, sf).select("id", S.bump(S.severity_rank("severity")).alias("bumped")))
+
+# an exporter's spelling of the flow columns; `note` is none of ours
+EXPORTER = {"src_ip": "Src IP", "dst_ip": "Destination_IP", "dst_port": "dst.port", "protocol": "PROTOCOL", "syn_flag": "SYN Flag Cnt", "psh_flag": "PSH Flag Count", "family": "note"}
+
+
+@query("map_columns", with_views("SELECT src_ip, dst_port, sum(syn_flag)::BIGINT AS syn, sum(psh_flag)::BIGINT AS psh, count(*) AS n, 'note' AS unmapped FROM flows GROUP BY 1, 2"))
+def _(spark, sf):
+    d = flows(spark, sf).select(*[F.col(c).alias(n) for c, n in EXPORTER.items()])
+    names = X.map_columns(d.columns)
+    mapped = d.select(*[F.col(f"`{c}`").alias(names[c]) for c in d.columns if c in names])
+    return mapped.groupBy("src_ip", "dst_port").agg(F.sum("syn_flag").alias("syn"), F.sum("psh_flag").alias("psh"), F.count(F.lit(1)).alias("n")).withColumn(
+        "unmapped", F.lit(",".join(c for c in d.columns if c not in names)))
+
+
+@query("validate_schema", with_views("SELECT dst_port, count(*) AS n, 1 AS refused FROM flows GROUP BY 1"))
+def _(spark, sf):
+    """Canonical rows pass unchanged; without a column they are refused."""
+    d = flows(spark, sf).withColumn("ts", F.timestamp_micros(F.col("t_us"))).transform(X.canonical_45)
+    d = d.select(*V.CANONICAL_45, *[F.lit("").alias(c) for c in V.METADATA])
+    try:
+        X.validate_schema(d.drop(V.METADATA[-1]))
+        refused = 0
+    except ValueError:
+        refused = 1
+    return X.validate_schema(d).groupBy("dst_port").agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.lit(refused))
