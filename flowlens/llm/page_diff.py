@@ -44,7 +44,9 @@ PLAIN = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "
          "main", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "stories", "top", "unit", "user", "wrap", "wrapper"}
 ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"}
 ATTR = re.compile(r"(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
+SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>=]*)>")  # a tag without attribute values
+CLOSE = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 START = re.compile(r"<(?=/?[a-zA-Z]|!|\?)")
 NEXT = re.compile(r"[>=]")
 SPACES = re.compile(r"\s*")
@@ -76,17 +78,25 @@ class Scanner:
 
     def __init__(self, page: str):
         self.page = page
-        self.low = page.translate(ASCII_LOWER)
         self.none: set[str] = set()
 
-    def find(self, what: str, at: int, low: bool = False) -> int:
+    def find(self, what: str, at: int) -> int:
         if what in self.none:
             return -1
-        found = (self.low if low else self.page).find(what, at)
+        found = self.page.find(what, at)
         if found < 0:
             self.none.add(what)
         return found
 
+    def raw_end(self, name: str, at: int) -> int:
+        """Place of the closing tag of a raw element, or -1."""
+        if name in self.none:
+            return -1
+        m = CLOSE[name].search(self.page, at)
+        if m is None:
+            self.none.add(name)
+        return m.start() if m else -1
+
     def tag_end(self, at: int) -> int:
         """Place of the `>` that ends a tag whose name ends at `at`, or -1. Quotes open a value only right after `=`."""
         begin = at
@@ -109,6 +119,10 @@ class Scanner:
         at, page = 0, self.page
         while (start := START.search(page, at)) is not None:
             at = start.start()
+            if (m := SIMPLE.match(page, at)) is not None and (name := m.group(2).lower()) not in RAW:
+                yield at, m.end(), bool(m.group(1)), name, m.group(3)
+                at = m.end()
+                continue
             if page.startswith("<!--", at):
                 end = self.find("-->", at + 4)
                 end = len(page) if end < 0 else end + 3
@@ -131,7 +145,7 @@ class Scanner:
                 continue
             name, attrs = m.group().lower(), page[m.end():end]
             if name in RAW and not closing:
-                close = -1 if attrs.endswith("/") and name in ("svg", "math") else self.find(f"</{name}", end, low=True)
+                close = -1 if attrs.endswith("/") and name in ("svg", "math") else self.raw_end(name, end)
                 after = len(page) if close < 0 else self.find(">", close)
                 after = len(page) if after < 0 else after + (close >= 0)
                 if attrs.endswith("/") and name in ("svg", "math"):
@@ -143,9 +157,6 @@ class Scanner:
             at = end + 1
 
 
-ASCII_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
-
-
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """(line, bits of INSIDE the marked article, HEADING, HIDDEN by markup) of each block of a page."""
     out: list[tuple[str, int]] = []
@@ -159,7 +170,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
 
     def flush():
         nonlocal heading
-        text = " ".join(entities.unescape("".join(buffer)).split())
+        text = "".join(buffer)
+        text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
             out.append((text, (INSIDE if inside > 0 else 0) | (HEADING if heading else 0) | (HIDDEN if hidden else 0)))
         buffer.clear()
