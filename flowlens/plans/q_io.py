@@ -61,6 +61,17 @@ def _(spark, sf):
     return d.select("flow_id", "src_ip", "src_port", "dst_port", "protocol", "syn_flag", "rst_flag", "label", "duration", "total_bytes", "fwd_bytes")
 
 
+@query("src_csv_row_numbers", vw("SELECT count(*) AS n, 1::BIGINT AS lowest, count(*) AS highest, count(*) AS different, 1 AS in_file_order FROM flows"))
+def _(spark, sf):
+    """Numbers of exporter rows, against their places in the files."""
+    d = flowfiles.src_csv_flows(spark, cic_csv(spark, sf))
+    numbered = flowfiles.number_rows(d.withColumn("place", F.col("_metadata.file_path")), "idx")
+    per_file = numbered.groupBy("place").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count(F.lit(1)).alias("n"))
+    whole = per_file.agg(F.bool_and(F.col("hi") - F.col("lo") + 1 == F.col("n")).cast("int").alias("in_file_order"))
+    return numbered.agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("lowest"), F.max("idx").alias("highest"), F.count_distinct("idx").alias("different")).withColumn(
+        "in_file_order", F.lit(whole.first()[0]))
+
+
 @query("src_parquet_flows", vw("SELECT flow_id, src_ip, fwd_bytes FROM flows"))
 def _(spark, sf):
     path = scratch_path(spark, "flows")

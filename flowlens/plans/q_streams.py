@@ -110,10 +110,18 @@ def _(spark, sf):
         return Fs.collected(spark, Fs.run_available(s), s.schema).select("id")
 
 
-@query("keyed_recurrence", recursive("SELECT attack_type, count(*) AS n FROM e JOIN alerts USING (id, attack_type) WHERE hit GROUP BY 1", _gate(["src_ip", "attack_type"], _RK, "(b.t_us - e.lt >= 60000000 OR b.v > e.lv)"), "e"))
+@query("keyed_recurrence", recursive("SELECT attack_type, count(*) AS n, count(*) AS n_streamed, 0::BIGINT AS differing FROM e JOIN alerts USING (id, attack_type) WHERE hit GROUP BY 1", _gate(["src_ip", "attack_type"], _RK, "(b.t_us - e.lt >= 60000000 OR b.v > e.lv)", "id % 7 = 0"), "e"))
 def _(spark, sf):
+    """One recurrence in batch, over buckets, and as state of a stream whose rows come out of order: the same alerts stay."""
     from flowlens.operators.recurrence import dedup_alert_60s
-    return dedup_alert_60s(alerts(spark, sf).select(*_AC)).groupBy("attack_type").agg(F.count(F.lit(1)).alias("n"))
+    d = alerts(spark, sf).select(*_AC).withColumn("correlated", F.col("id") % 7 == 0)
+    batch = dedup_alert_60s(d, bucket_us=120_000_000, correlated="correlated").select("id", "attack_type", F.lit(1).alias("b"))
+    ranked = d.withColumn("rank", S.severity_rank("severity"))
+    with St.state_conf(spark):
+        s = St.stream_dedup(streamed(ranked, slot=F.expr(f"(t_us + {LAG}) DIV {STEP}"), beat={"src_ip": "", "attack_type": "", "flow_id": -1}), correlated="correlated")
+        stream = Fs.collected(spark, Fs.run_available(s), s.schema).select("id", "attack_type", F.lit(1).alias("s"))
+    both = batch.join(stream, ["id", "attack_type"], "full")
+    return both.groupBy("attack_type").agg(F.count("b").alias("n"), F.count("s").alias("n_streamed"), F.count_if(F.col("b").isNull() | F.col("s").isNull()).alias("differing"))
 
 
 @query("stream_tumbling_counts", vw("SELECT (t_us - t_us % 60000000) AS start_us, severity, count(*) AS n FROM alerts GROUP BY 1, 2"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowlens import values as V
+from flowlens.session import cut
 
 
 def src_parquet_flows(spark, path: str, *, columns=None) -> DataFrame:
@@ -55,14 +57,17 @@ def src_csv_to_flow(df: DataFrame, *, row_id: str | None = None) -> DataFrame:
 
 
 def number_rows(df: DataFrame, name: str) -> DataFrame:
-    """1-based row numbers in file order, without sorting everything in one task.
+    """1-based row numbers in the order of files and of rows in them, without sorting everything in one task.
 
-    Rows are counted per partition; the counts (one row per partition) give each its offset.
+    Where each row stands is written with it first, so that all later steps see the same. Rows are counted per split of a
+    file; the counts, one row a split, give each split its offset. Rows that no file holds are numbered by partition.
     """
-    from pyspark.sql import Window as W
-    d = df.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-    per = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    off = per.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    # ids rise by one inside a partition, starting at partition id * 2^33
-    d = d.withColumn("_k", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
-    return d.join(off, "_p").withColumn(name, F.col("_o") + F.col("_k") + 1).drop("_p", "_m", "_k", "_o")
+    try:
+        rows = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"))
+    except AnalysisException:  # no rows of files
+        rows = df.select("*", F.lit("").alias("_f"), F.spark_partition_id().cast("long").alias("_s"))
+    d = cut(rows.withColumn("_m", F.monotonically_increasing_id()), "numbered")  # rises by one inside a split
+    per = d.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_first"))
+    before = F.sum("_c").over(W.orderBy("_f", "_s").rowsBetween(W.unboundedPreceding, -1))
+    off = per.select("_f", "_s", F.coalesce(before, F.lit(0)).alias("_o"), "_first")
+    return d.join(off, ["_f", "_s"]).withColumn(name, F.col("_o") + F.col("_m") - F.col("_first") + 1).drop("_f", "_s", "_m", "_o", "_first")

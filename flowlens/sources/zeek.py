@@ -43,7 +43,7 @@ def src_zeek_tsv(spark, path: str, *, columns=None, max_rows: int | None = None)
     """Read Zeek TSV (plain or gzip) as text columns.
 
     Each file names its own fields in its `#fields` line. Rows whose field count differs are
-    dropped; '-' and '(empty)' become null. `columns` fixes the result columns; by default
+    left out, `zeek_misfits` has them; '-' and '(empty)' become null. `columns` fixes the result columns; by default
     they are the union over the distinct headers.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
@@ -56,6 +56,12 @@ def src_zeek_tsv(spark, path: str, *, columns=None, max_rows: int | None = None)
     return out.limit(max_rows) if max_rows else out
 
 
+def zeek_misfits(spark, path: str) -> DataFrame:
+    """(file, value) of the rows that `src_zeek_tsv` leaves out: another number of fields than their header names, or no header."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return _rows(lines, _heads(lines)).filter("NOT fits").select("file", "value")
+
+
 def src_zeek_stream(spark, directory: str, log: str, *, files_per_trigger: int = 16, pattern: str | None = None) -> DataFrame:
     """Stream of the lines (value, file) of one rotated log (conn, ssl or dns), to be landed by `zeek_landing`.
 
