@@ -95,13 +95,13 @@ def agg_dept_baselines(baseline: DataFrame, *, min_samples: int = V.UEBA_MIN_SAM
 def device_signals(df: DataFrame) -> DataFrame:
     """(ip, t_us, port, class, weight, signal) rows of both ends of each internal flow.
 
-    The listener is judged by its port; either end by address vendor, DHCP list and TLS use.
+    The listener is judged by its port; either end by address vendor, DHCP list and TLS use. An end without a hardware
+    address of its own (dst_mac, src_mac) has the flow's (mac); the DHCP list is dhcp_option_55, else dhcp_fp.
     """
-    cols = df.columns
-    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in cols else F.lit("")
+    text = lambda *names: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names if c in df.columns], F.lit(""))
     end = lambda ip, port, mac, server: F.struct(
-        F.col(ip).alias("ip"), F.col(port).cast("int").alias("port"), text(mac).alias("mac"), F.lit(server).alias("server"))
-    d = df.select("t_us", text("ja3").alias("ja3"), text("dhcp_fp").alias("dhcp"),
+        F.col(ip).alias("ip"), F.col(port).cast("int").alias("port"), text(mac, "mac").alias("mac"), F.lit(server).alias("server"))
+    d = df.select("t_us", text("ja3").alias("ja3"), text("dhcp_option_55", "dhcp_fp").alias("dhcp"),
                   F.explode(F.array(end("dst_ip", "dst_port", "dst_mac", True), end("src_ip", "src_port", "src_mac", False))).alias("e"))
     d = d.select("t_us", "ja3", "dhcp", "e.*").filter(IP.is_device_endpoint("ip"))
     cls = lookup("port", {p: c for p, (c, _) in V.PORT_EVIDENCE.items()})

@@ -92,23 +92,28 @@ _MACS = "CASE flow_id % 4 WHEN 0 THEN '3C:07:54:00:00:01' WHEN 1 THEN 'B8-27-EB-
 _DH = "CASE WHEN flow_id % 50 = 0 THEN '1,3,6,15,119,252' ELSE '' END"
 _pc = "CASE port " + " ".join(f"WHEN {p} THEN '{c}'" for p, (c, _) in V.PORT_EVIDENCE.items()) + " END"
 _pw = "CASE port " + " ".join(f"WHEN {p} THEN {w}" for p, (_, w) in V.PORT_EVIDENCE.items()) + " END"
-DEVX = {"ends": f"SELECT dst_ip AS ip, t_us, dst_port AS port, '' AS mac, ja3, {_DH} AS dhcp FROM flows WHERE dst_ip LIKE '192.168.%' UNION ALL SELECT src_ip, t_us, NULL, {_MACS}, ja3, {_DH} FROM flows",
+DEVX = {"ends": f"SELECT dst_ip AS ip, t_us, dst_port AS port, CASE WHEN flow_id % 4 = 1 THEN 'B8-27-EB-11-22-33' ELSE '' END AS mac, ja3, {_DH} AS dhcp FROM flows WHERE dst_ip LIKE '192.168.%' UNION ALL SELECT src_ip, t_us, NULL, {_MACS}, ja3, {_DH} FROM flows",
         "votes": f"""SELECT DISTINCT ip, {_pc} AS cls, {_pw} AS w, concat('port:', port) AS sig FROM ends WHERE {_pc} IS NOT NULL
  UNION SELECT DISTINCT ip, CASE WHEN mac LIKE '3C%' THEN 'laptop' ELSE 'server' END, 0.55, mac FROM ends WHERE mac <> '' UNION SELECT DISTINCT ip, 'laptop', 0.10, 'ja3' FROM ends WHERE ja3 <> ''
  UNION SELECT DISTINCT ip, 'personal_mobile', 0.75, dhcp FROM ends WHERE dhcp <> ''""",
         "cls": "SELECT ip, cls, sum(CAST(w AS DOUBLE)) AS w FROM votes WHERE cls <> 'unknown' GROUP BY 1, 2",
+        "scores": "SELECT ip, string_agg(cls || '=' || CAST(round(w * 10000) AS BIGINT), ';' ORDER BY cls) AS scores FROM (SELECT ip, cls, sum(CAST(w AS DOUBLE)) AS w FROM votes GROUP BY 1, 2) GROUP BY 1",
         "best": "SELECT ip, max_by(cls, struct_pack(w := round(w, 9), c := cls)) AS device_class, max(w) / sum(w) AS confidence FROM cls GROUP BY 1"}
 
 
 def evidence(spark, sf):
-    f = flows(spark, sf).withColumns({"src_mac": F.expr(_MACS), "dhcp_fp": F.expr(_DH)})
+    # half of the hardware addresses are the flow's, half of the DHCP lists stand in the other column
+    f = flows(spark, sf).withColumns({"src_mac": F.expr(f"IF(flow_id % 4 = 0, {_MACS}, '')"), "mac": F.expr(f"IF(flow_id % 4 = 1, {_MACS}, NULL)"),
+                                      "dhcp_option_55": F.expr(f"IF(flow_id % 100 = 0, {_DH}, '')"), "dhcp_fp": F.expr(f"IF(flow_id % 100 = 50, {_DH}, '')")})
     return A.agg_device_evidence(f)
 
 
-@query("agg_device_evidence", vw("""SELECT ip, coalesce(device_class, 'unknown') AS device_class, round(round(coalesce(confidence, 0), 4), 6) + 0.0 AS confidence, flow_count, first_us, last_us, n_ports
- FROM (SELECT ip, count(*) AS flow_count, min(t_us) AS first_us, max(t_us) AS last_us, count(DISTINCT CASE WHEN """ + _pc + """ IS NOT NULL THEN port END) AS n_ports FROM ends GROUP BY 1) LEFT JOIN best USING (ip)""", extra=DEVX))
+@query("agg_device_evidence", vw("""SELECT ip, coalesce(device_class, 'unknown') AS device_class, round(round(coalesce(confidence, 0), 4), 6) + 0.0 AS confidence, flow_count, first_us, last_us, n_ports, coalesce(scores, '') AS scores
+ FROM (SELECT ip, count(*) AS flow_count, min(t_us) AS first_us, max(t_us) AS last_us, count(DISTINCT CASE WHEN """ + _pc + """ IS NOT NULL THEN port END) AS n_ports FROM ends GROUP BY 1) LEFT JOIN best USING (ip) LEFT JOIN scores USING (ip)""", extra=DEVX))
 def _(spark, sf):
-    return evidence(spark, sf).withColumn("n_ports", F.coalesce(F.size(F.map_keys("observed_ports")), F.lit(0)).cast("long")).drop("class_scores", "observed_ports")
+    return evidence(spark, sf).withColumn("n_ports", F.coalesce(F.size(F.map_keys("observed_ports")), F.lit(0)).cast("long")).withColumn(
+        "scores", F.coalesce(F.array_join(F.transform(F.map_entries("class_scores"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 10000).cast("long").cast("string"))), ";"), F.lit(""))).drop(
+        "class_scores", "observed_ports")
 
 
 OBSX = {"obs": f"""SELECT array_to_string(string_split(sni, '.')[-2:], '.') AS domain, count(DISTINCT src_ip) AS distinct_hosts, count(*) AS total_queries, min(t_us) AS first_us, max(t_us) AS last_us,
