@@ -2,8 +2,10 @@
 
 A line's quote level is the number of `>` before its text (white space between them allowed). A passage is one line of
 text: lower case, white space squeezed, empty ones and those that only announce a quotation left out. Passages are joined
-by hash to lines that an earlier message of the same conversation wrote itself. The message that wrote most of a
-message's quotations of the lowest level, the latest of several, is its parent; without one, the message before.
+by hash to lines that an earlier message of the same conversation wrote itself. A line without such a match is also
+looked for by its sentences: consecutive lines of one level are joined, as clients wrap quotations anew, and cut into
+sentences, and so are the messages' own lines; both joined and line by line, sentences of LEAST_WORDS words or more.
+The message that wrote most of a message's quotations of the lowest level, the latest of several, is its parent; without one, the message before.
 Runs of messages whose parent is the one before are one branch; the order key lists the branches on the way to a message.
 """
 
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowlens.llm.tables import keep
 
 FAR = (1 << 62)
+LEAST_WORDS = 3  # of a sentence that links by itself
+SENTENCE = r"(?<=[.!?…])\s+"
 # How clients announce a quotation: a fixed value.
 ANNOUNCE = r"(?i)^(on .{0,200} wrote|.{0,100} (wrote|writes|said)|-+ ?original message ?-+|quote from .{0,100}):?$"
 PREFIX = r"^[ \t]*((>[ \t]*)*)"
@@ -29,6 +33,32 @@ def lines_of(rows: DataFrame) -> DataFrame:
             .withColumn("passage", plain).withColumn("announces", F.col("passage").rlike(ANNOUNCE)))
 
 
+def sentences_of(lines: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, words, places) of the sentences of LEAST_WORDS words or more in lines of one level.
+
+    Lines that follow each other are joined by a space; places are the lines that a sentence touches. Sentences of single
+    lines are there as well. lines: (conv_id, turn, place, level, passage), passages not empty.
+    """
+    follows = Window.partitionBy("conv_id", "turn").orderBy("place")
+    new = (F.col("place") - F.lag("place").over(follows) != 1) | (F.col("level") != F.lag("level").over(follows))
+    runs = lines.withColumn("run", F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(follows))
+    own = F.array_sort(F.collect_list(F.struct("place", "passage")))  # lines of one message
+    joined = runs.groupBy("conv_id", "turn", "level", "run").agg(own.alias("own")).select("conv_id", "turn", "level", "own")
+    single = lines.select("conv_id", "turn", "level", F.array(F.struct("place", "passage")).alias("own"))
+
+    def spans(parts: Column, gap: int) -> Column:
+        """Ends of texts that stand one after another with a gap between, as (begin, end)."""
+        sizes = F.transform(parts, F.length)
+        return F.transform(sizes, lambda n, i: F.struct((F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x + gap)).alias("begin"), n.alias("size")))
+
+    both = joined.where(F.size("own") > 1).unionByName(single)
+    both = both.withColumn("parts", F.split(F.array_join(F.col("own.passage"), " "), SENTENCE)).where((F.size("own") > 1) | (F.size("parts") > 1))
+    both = both.withColumns({"at": spans(F.col("parts"), 1), "lines_at": spans(F.col("own.passage"), 1)})
+    each = both.select("conv_id", "turn", "level", "own", "lines_at", F.inline(F.arrays_zip("parts", "at")))
+    touched = F.filter(F.arrays_zip("own", "lines_at"), lambda x: (x["lines_at"]["begin"] < F.col("at.begin") + F.col("at.size")) & (x["lines_at"]["begin"] + x["lines_at"]["size"] > F.col("at.begin")))
+    return each.where(F.size(F.split("parts", " ")) >= LEAST_WORDS).select("conv_id", "turn", "level", F.col("parts").alias("words"), F.transform(touched, lambda x: x["own"]["place"]).alias("places"))
+
+
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conv_id, turn, parent_turn, n_quoted, n_linked, depth_quoted, branch, order_key, content) of each different row with ids.
 
@@ -46,8 +76,15 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     own = lines.where((F.col("level") == 0) & (F.col("passage") != "")).select("conv_id", F.col("turn").alias("source"), F.xxhash64("passage").alias("h"), F.col("passage").alias("words"))
     # the first message that wrote a passage; later ones of the conversation only repeat it
     first = own.groupBy("conv_id", "h", "words").agg(F.min("source").alias("source"))
-    quoted = lines.where((F.col("level") > 0) & (F.col("passage") != "") & ~F.col("announces")).select("conv_id", "turn", "level", F.xxhash64("passage").alias("h"), F.col("passage").alias("words"))
+    quoted = lines.where((F.col("level") > 0) & (F.col("passage") != "") & ~F.col("announces")).select("conv_id", "turn", "place", "level", F.xxhash64("passage").alias("h"), F.col("passage").alias("words"))
     found = quoted.join(first, ["conv_id", "h", "words"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
+    # what no line matches may be a sentence of one, or stand on other lines; a quoted line alone may be a sentence too
+    lone = quoted.select("conv_id", "turn", "level", "words", F.array("place").alias("places"))
+    asked = sentences_of(quoted.withColumnRenamed("words", "passage")).unionByName(lone.where(F.size(F.split("words", " ")) >= LEAST_WORDS)).withColumn("h", F.xxhash64("words"))
+    told = sentences_of(lines.where((F.col("level") == 0) & (F.col("passage") != ""))).select("conv_id", F.xxhash64("words").alias("h"), "words", F.col("turn").alias("by"))
+    told = told.unionByName(first.select("conv_id", "h", "words", F.col("source").alias("by"))).groupBy("conv_id", "h", "words").agg(F.min("by").alias("by"))
+    by_sentence = asked.join(told, ["conv_id", "h", "words"]).where("by < turn").select("conv_id", "turn", F.explode("places").alias("place"), "by").groupBy("conv_id", "turn", "place").agg(F.min("by").alias("by"))
+    found = found.join(by_sentence, ["conv_id", "turn", "place"], "left").withColumn("source", F.coalesce("source", "by")).drop("by")
     counts = found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quoted"), F.count("source").alias("n_linked"), F.max("level").alias("depth_quoted"))
     votes = found.where("source IS NOT NULL").groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("votes"))
     parents = votes.groupBy("conv_id", "turn").agg(F.max_by("source", F.struct(-F.col("level"), "votes", "source")).alias("quoted_parent"))

@@ -423,3 +423,38 @@ def test_quotation_links(spark):
     whole = {r.conv_id: [m.turn for m in r.messages] for r in quotes.conversations(table).collect()}
     assert whole == {1: [0, 1, 2, 3, 4, 5], 2: [0]}
     assert quotes.linked(table.where("false")).count() == 0
+
+
+def test_rewrapped_and_partial_quotations(spark):
+    first = "The meeting is on Monday at noon. Please bring the figures of the last quarter, all of them.\nThanks a lot for that"
+    rows = [(1, 0, first), (1, 1, "Something else entirely. With two sentences here."), (1, 2, "> The meeting is on Monday\n> at noon. Please bring the figures of\n> the last quarter, all of them.\nFine."),
+            (1, 3, "> Please bring the figures of the last quarter, all of them.\nWhich?"), (1, 4, "> With two sentences here.\nYes"), (1, 5, "> Nobody said this before, ever.\nHm"), (1, 6, "> all of them.\nshort"),
+            (1, 7, ">> Something else entirely.\n>> With two\n>> sentences here.\n> Yes\nok"), (2, 0, "> The meeting is on Monday at noon."), (2, 1, "x" * 200_000 + ". And more of it.")]
+    table = spark.createDataFrame([(*r, "t", 1) for r in rows], "conv_id long, turn long, text string, words string, place int")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_quoted, r.n_linked) for r in quotes.linked(table).collect()}
+    assert got == {(1, 0): (None, 0, 0), (1, 1): (0, 0, 0), (1, 2): (0, 3, 3), (1, 3): (0, 1, 1), (1, 4): (1, 1, 1), (1, 5): (4, 1, 0), (1, 6): (5, 1, 0), (1, 7): (4, 4, 4), (2, 0): (None, 1, 0), (2, 1): (0, 0, 0)}
+
+
+def test_planted_quotations_are_found(spark):
+    """Messages that quote one to three sentences of an earlier one, wrapped anew: all lead back to it."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for conv in range(4):
+        said = []
+        for turn in range(25):
+            own = [f"{prose(rng, rng.randrange(3, 14))} c{conv}t{turn}s{k}." for k in range(rng.randrange(2, 6))]
+            lines = []
+            if said and rng.random() < 0.7:
+                parent = rng.randrange(len(said))
+                at = rng.randrange(len(said[parent]))
+                words = " ".join(said[parent][at:at + rng.randrange(1, 4)]).split()
+                while words:
+                    n = rng.randrange(2, 9)
+                    lines.append("> " + " ".join(words[:n]))
+                    words = words[n:]
+                want[conv, turn] = parent
+            rows.append((conv, turn, "\n".join([*lines, " ".join(own)])))
+            said.append(own)
+    got = {(r.conv_id, r.turn): r for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3)).collect()}
+    assert {k: got[k].parent_turn for k in want} == want
+    assert all(got[k].n_linked == got[k].n_quoted > 0 for k in want)
