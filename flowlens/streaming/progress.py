@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import threading
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
@@ -22,12 +23,14 @@ def _time(text: str | None) -> datetime.datetime | None:
 class ProgressLog(StreamingQueryListener):
     """Collects the progress of the queries of a session: rows read and processed a second, durations, watermark lag, state.
 
-    Attach with `with ProgressLog(spark) as log:`. Rows wait in memory until `write` moves them to a table, which also
+    Attach with `with ProgressLog(spark) as log:`; at its end it waits for the events of queries that have ended, which
+    arrive after them and in order, `patience_s` at most. Rows wait in memory until `write` moves them to a table, which also
     happens by itself every `flush` rows where a path is given.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, flush: int = 1000):
-        self.spark, self.path, self.flush = spark, path, flush
+    def __init__(self, spark: SparkSession, path: str | None = None, flush: int = 1000, patience_s: float = 30.0):
+        self.spark, self.path, self.flush, self.patience_s = spark, path, flush, patience_s
+        self.open: set[str] = set()
         self.found: list[tuple] = []
         self.lock = threading.Lock()
 
@@ -36,12 +39,15 @@ class ProgressLog(StreamingQueryListener):
         return self
 
     def __exit__(self, *error) -> None:
+        deadline = time.monotonic() + self.patience_s
+        while time.monotonic() < deadline and self.open - {str(q.runId) for q in self.spark.streams.active}:
+            time.sleep(0.05)
         self.spark.streams.removeListener(self)
         if self.path:
             self.write(self.path)
 
     def onQueryStarted(self, event) -> None:
-        pass
+        self.open.add(str(event.runId))
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
@@ -62,7 +68,7 @@ class ProgressLog(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self.open.discard(str(event.runId))
 
     def rows(self) -> DataFrame:
         """What has not been written yet."""
