@@ -121,3 +121,33 @@ def test_tail_in_parts_and_shrunk_files(tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="shrunk"):
         reader.partitions(end, {"files": {identity: [path, upto - 5]}})
     assert tail.head_of(b"#fields\ta\n") is None and tail.head_of(b"x\ty\n")[1] == []
+
+
+def test_state_calls_grow_with_groups_not_keys(spark):
+    schema = "flow_id long, t_us long, src_ip string, department string, x double, y double"
+    rows = [(i, i * 50_000, f"h{i % 300}", "d", 1e6 + i % 7, 5.0) for i in range(1500)]
+    ends = [[(-1, 90_000_000_000, "beat", "beat", 0.0, 0.0)], [(5000, 1_000_000, "h0", "d", 1.0, 1.0)]]
+    checkpoint = scratch_path(spark, "groups")
+    with stateful.state_conf(spark):
+        s = stateful.stream_group_state(files(spark, schema, [rows[::2] + rows[1:100:2], rows[101::2], *ends]), group="src_ip", metrics=["x", "y"])
+        found = ran(spark, s, checkpoint=checkpoint).collect()
+        got, late = {r.flow_id: r for r in found if not r.late}, [(r.flow_id, r.group_mean) for r in found if r.late]
+        due = spark.read.format("statestore").option("stateVarName", "due").option("path", checkpoint).load().count()
+    saved = {(r.src_ip, r.metric): r for r in stateful.moments(spark, checkpoint, "src_ip").collect()}
+    assert due <= 128 and len(saved) == 600 and len(got) == 1500 and late == [(5000, None)]
+    for src in ("h0", "h299"):
+        values = [r[4] for r in rows if r[2] == src]
+        last = got[max(r[0] for r in rows if r[2] == src)]
+        mean = sum(values) / 5
+        want = (mean, sum((v - mean) ** 2 for v in values))
+        assert last.group_n == saved[src, "x"].n == 5 and last.before_n == 4 and saved[src, "y"].m2 == 0
+        assert (saved[src, "x"].mean, saved[src, "x"].m2) == pytest.approx(want) and (last.group_mean[0], last.group_m2[0]) == pytest.approx(want)
+
+
+def test_moments_in_pieces_equal_those_in_one(spark):
+    import numpy as np
+    x = np.random.default_rng(1).normal(1e6, 1.0, (9000, 2))
+    _, (n, mean, m2), state = stateful.moved({}, ["x", "y"], x)
+    _, (a, b, c), half = stateful.moved(stateful.moved({}, ["x", "y"], x[:5000])[2], ["x", "y"], x[5000:])
+    assert n[-1] == a[-1] == 9000 and np.allclose(mean[5000:], b, rtol=1e-14) and np.allclose(m2[5000:], c, rtol=1e-9)
+    assert state["x"] == pytest.approx(half["x"]) and m2[-1] == pytest.approx(((x - x.mean(axis=0)) ** 2).sum(axis=0))
