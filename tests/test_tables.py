@@ -128,3 +128,12 @@ def test_progress_rows(spark):
     assert [(r.batch_id, r.input_rows) for r in got] == [(0, 10), (1, 20), (2, 30)]
     assert got[0].watermark is None and got[2].watermark_lag_sec > 0 and all(r.batch_ms >= r.add_batch_ms for r in got)
     assert log.rows().count() == 0
+
+
+def test_rows_of_one_partition_are_dealt_to_all_tasks(spark):
+    from flowlens.session import dealt
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id", "id % 7 AS k")
+    got = dealt(rows, "dealt")
+    sizes = [r.n for r in got.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) <= 2 * min(sizes)
+    assert got.exceptAll(rows).isEmpty() and got.count() == 4000
