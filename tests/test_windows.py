@@ -170,3 +170,11 @@ def test_results_do_not_depend_on_partitioning(spark):
     a = d.repartition(7).orderBy(F.rand(1)).transform(Wn.host_rolling_60s)
     b = d.coalesce(1).transform(Wn.host_rolling_60s)
     assert a.exceptAll(b.select(*a.columns)).count() == 0
+
+
+def test_inputs_of_the_ten_checks_take_the_windows_once(spark, monkeypatch):
+    from flowlens.plans import q_detect
+    calls, own = [], Wn.ueba_60s_features
+    monkeypatch.setattr(Wn, "ueba_60s_features", lambda df, **kw: calls.append(1) or own(df, **kw))
+    assert "z_fpm" in q_detect.behaviour(spark, "/root/testdata/sf0.001").columns
+    assert len(calls) == 1
