@@ -151,3 +151,94 @@ def test_moments_in_pieces_equal_those_in_one(spark):
     _, (a, b, c), half = stateful.moved(stateful.moved({}, ["x", "y"], x[:5000])[2], ["x", "y"], x[5000:])
     assert n[-1] == a[-1] == 9000 and np.allclose(mean[5000:], b, rtol=1e-14) and np.allclose(m2[5000:], c, rtol=1e-9)
     assert state["x"] == pytest.approx(half["x"]) and m2[-1] == pytest.approx(((x - x.mean(axis=0)) ** 2).sum(axis=0))
+
+
+def in_blocks(monkeypatch, fold, store, keys, schema, calls):
+    """Output of a store's fold over calls of due rows, a few rows at a time."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    class Handle:
+        def getListState(self, *_):
+            return None
+
+    monkeypatch.setattr(stateful, "PIECE", 16)
+    schema = T._parse_datatype_string(f"{schema}, {stateful.AT} long")
+    store.declare(Handle(), T.StructType([schema[k] for k in keys]))
+    state, found = store.arrow.empty_table(), []
+    for rows in calls:
+        table = pa.Table.from_pylist([dict(zip(schema.names, (*r, r[1]), strict=True)) for r in rows], to_arrow_schema(schema))
+        frames = store.folded(fold, table, state, ["t_us", "flow_id"], [*V.HOST_AGGREGATES, "flow_id"] if "dst_ip" in schema.names else ["flow_id"])
+        while True:
+            try:
+                found.append(next(frames))
+            except StopIteration as end:
+                state = end.value
+                break
+    return {int(r["flow_id"]): r for f in found for r in f.to_dict("records")}, state
+
+
+@pytest.mark.parametrize("window_us", [60_000_000, 4_000_000_000])
+def test_windows_of_many_keys_at_once(spark, monkeypatch, window_us):
+    from flowlens.streaming.keyed import host_fold
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(0, 40) * window_us // 20, rng.choice(["hot"] * 6 + ["a", "b", None]), rng.choice(["x", "y", None]), rng.choice([80, 81]), 1, rng.choice([0, 1]), i) for i in range(300)]
+    rows += [(1000, 0, "gaps", "x", 80, 1, 0, 1)] + [(1001 + i, 10**13 + i * 1_000_001, "gaps", "x", 80, 1, 0, 1) for i in range(3)]
+    rows.sort(key=lambda r: (r[1], r[0]))
+    store = stateful.BlockStore("t bigint, dst string, port bigint, flag bigint, bytes bigint")
+    got, state = in_blocks(monkeypatch, host_fold(window_us), store, ["src_ip"], FLOW, [rows[:130], rows[130:131], rows[131:]])
+    assert len(got) == len(rows) and len(state) < len(rows)
+    for at, r in enumerate(rows):
+        w = [x for x in rows[:at] if x[2] == r[2] and x[1] >= r[1] - window_us]
+        steps = [(b[1] - a[1]) / 1e6 for a, b in zip(w, w[1:])]
+        mean = sum(steps) / len(steps) if steps else 0.0
+        std = (sum((s - mean) ** 2 for s in steps) / len(steps)) ** 0.5 if steps else 0.0
+        want = [len(w), len({x[3] for x in w} - {None}), len({x[4] for x in w}), sum(x[6] == 0 for x in w), len(w) / (window_us / 1e6), sum(x[7] for x in w), mean, std]
+        assert [got[r[0]][n] for n in V.HOST_AGGREGATES] == pytest.approx(want, abs=1e-9), r
+
+
+def test_gate_of_many_keys_at_once(spark, monkeypatch):
+    from flowlens.streaming.keyed import gate_fold
+    rng = random.Random(4)
+    rows = sorted([(i, rng.randrange(0, 300_000_000), rng.choice("aaaabc"), rng.choice("tu"), rng.randrange(1, 4), rng.choice([None, False, False, False, True])) for i in range(300)], key=lambda r: (r[1], r[0]))
+    store = stateful.BlockStore("t bigint, v bigint")
+    got, state = in_blocks(monkeypatch, gate_fold("rank", 60_000_000, "rise", "correlated"), store, ["src_ip", "attack_type"],
+                           "flow_id long, t_us long, src_ip string, attack_type string, rank int, correlated boolean", [rows[:150], rows[150:]])
+    last, want = {}, []
+    for i, t, src, kind, rank, force in rows:
+        own = last.get((src, kind))
+        if own is None or force or t - own[0] >= 60_000_000 or rank > own[1]:
+            last[src, kind] = t, rank
+            want.append(i)
+    assert sorted(got) == sorted(want) and {(r["src_ip"], r["attack_type"]): (r["t"], r["v"]) for r in state.to_pylist()} == last
+
+
+def test_windows_in_state_are_batches_not_rows(spark):
+    rows = [a_flow(i, i * 0.02, src=f"h{i % 100}") for i in range(2000)]
+    checkpoint = scratch_path(spark, "windows")
+    with stateful.state_conf(spark):
+        s = stateful.stream_host_agg(files(spark, FLOW, [rows, [a_flow(-1, 200, src="beat")]]), delay_s=160)
+        got = ran(spark, s, checkpoint=checkpoint, partitions=stateful.state_partitions(spark)).count()
+        state = spark.read.format("statestore").option("stateVarName", "folded").option("path", checkpoint).load()
+    # the watermark stands at 40 s: all rows are folded, and their windows still open
+    assert got == 2000 and 0 < state.count() <= 128
+
+
+def test_state_partitions_do_not_follow_shuffle_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        assert stateful.state_partitions(spark) == 8 and stateful.state_partitions(spark, 3) == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_slots_have_equal_numbers_of_files(spark, monkeypatch):
+    from flowlens.plans import q_streams
+    monkeypatch.setattr(q_streams, "SLOT_FILE_ROWS", 20)
+    rows = spark.range(400).select(F.col("id").alias("flow_id"), (F.col("id") * 1_800_000).alias("t_us"))
+    stream = q_streams.streamed(q_streams.timed(rows), beat={"flow_id": -1})
+    seen = scratch_path(spark, "slots")
+    flow.run_available(stream, write=lambda b, i: b.withColumn("file", F.input_file_name()).write.parquet(f"{seen}/batch_id={i}"))
+    got = spark.read.parquet(seen).groupBy("batch_id").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"), F.min("flow_id").alias("lo"), F.max("flow_id").alias("hi")).orderBy("batch_id").collect()
+    assert [tuple(r) for r in got] == [*[(i, 100, 4, 100 * i, 100 * i + 99) for i in range(4)], (4, 1, 1, -1, -1)]
