@@ -137,3 +137,29 @@ def test_rows_of_one_partition_are_dealt_to_all_tasks(spark):
     sizes = [r.n for r in got.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) <= 2 * min(sizes)
     assert got.exceptAll(rows).isEmpty() and got.count() == 4000
+
+
+def test_few_values_of_a_feed_do_not_deal_out_the_flows(spark):
+    from flowlens.plans import cascade, q_detect
+    made, plans = cascade.cut, {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()
+        return made(df, name)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    cascade.cut = seen
+    try:
+        got = q_detect.cascade_alerts(spark, "/root/testdata/sf0.001")
+        assert got.count() > 0
+    finally:
+        cascade.cut = made
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plans["gated"][0] and "SortMergeJoin" not in plans["gated"][1]
+
+
+def test_first_of_the_largest_scores_and_equal_ids(spark):
+    rows = [(7, 1_000_000 * i, "s", "IT", *[float(i % 5)] * len(V.UEBA_METRICS)) for i in range(60)] + [(7, 1_000, "t", "IT", *[1.0] * len(V.UEBA_METRICS))]
+    table = spark.createDataFrame(rows, ["flow_id", "t_us", "src_ip", "department", *V.UEBA_METRICS]).repartition(3)
+    got = [r for r in windows.ueba_running_z(table).collect() if r.max_z is not None]
+    assert got and {r.max_metric for r in got} <= {V.UEBA_METRICS[0], ""} and all((r.max_metric == "") == (r.max_z == 0) for r in got)
