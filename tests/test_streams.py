@@ -257,3 +257,78 @@ def test_view_of_both_sides_is_worked_out_once(spark, monkeypatch, name, view):
     got = catalog.QUERIES[name](spark, sf).collect()
     assert got and all(r.differing == 0 if name == "keyed_recurrence" else r.ok == 1 for r in got)
     assert seen.value == made(spark, sf).count()
+
+
+class Held:
+    """State of one key in memory."""
+
+    def __init__(self):
+        self.value, self.map, self.rows, self.alarms = None, {}, [], []
+
+    def getValueState(self, *_):
+        return Held()
+
+    getMapState = getListState = getValueState
+
+    def registerTimer(self, at):
+        self.alarms.append(at)
+
+    def exists(self):
+        return self.value is not None or bool(self.map) or bool(self.rows)
+
+    def get(self):
+        return self.value if self.value is not None else iter(self.rows)
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.value, self.map, self.rows = None, {}, []
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+def test_due_rows_of_a_hot_key_fold_in_pieces(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+    monkeypatch.setattr(stateful, "PIECE", 64)
+    monkeypatch.setattr(stateful, "RUN", 512, raising=False)
+    rng, sizes, found, upto = np.random.default_rng(5), [], [], [0]
+
+    class Store(stateful.BlockStore):
+        def folded(self, fold, table, states, order, output):
+            sizes.append(len(table))
+            found.extend(sorted(zip(table["t_us"].to_pylist(), table["flow_id"].to_pylist())))
+            yield table.to_pandas()
+            return states
+
+    schema = T._parse_datatype_string(f"flow_id long, t_us long, src_ip string, {stateful.AT} long")
+    held = Held()
+    one = stateful.InOrder(None, Store("x int"), ["src_ip"], schema.names, schema, ["t_us"], [*schema.names, "late"], None)
+    monkeypatch.setattr(one, "passed", lambda _: upto[0])
+    one.init(held)
+    times = rng.permutation(np.repeat(np.arange(1, 1001), 3))
+    rows = pd.DataFrame({"flow_id": np.arange(3000), "t_us": times, "src_ip": "hot", stateful.AT: times})
+    for lo, mark in ((0, 0), (1000, 0), (2000, 0), (3000, 700), (3000, 1000)):
+        batch = rows.iloc[lo:lo + 1000]
+        if len(batch):
+            assert not list(one.handleInputRows("g", iter([batch[i:i + 100].copy() for i in range(0, 1000, 100)]), None))
+        else:
+            upto[0] = mark
+            list(one.handleExpiredTimer("g", None, None))
+            assert len(found) == 3 * mark
+    assert found == sorted(zip(times.tolist(), range(3000))) and max(sizes) <= 7 * 64 and not one.waiting.exists() and not one.index.exists()
