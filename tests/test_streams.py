@@ -332,3 +332,16 @@ def test_due_rows_of_a_hot_key_fold_in_pieces(spark, monkeypatch):
             list(one.handleExpiredTimer("g", None, None))
             assert len(found) == 3 * mark
     assert found == sorted(zip(times.tolist(), range(3000))) and max(sizes) <= 7 * 64 and not one.waiting.exists() and not one.index.exists()
+
+
+def test_names_of_many_addresses_share_groups(spark):
+    flows = [(i, i * 1_000_000, f"x{i % 400}") for i in range(800)]
+    answers = [(i * 1_000_000, f"n{i}", f"x{i}") for i in range(400)]
+    beat = 90_000_000_000
+    one = files(spark, "flow_id long, t_us long, dst_ip string", [flows, [(-1, beat, "beat")]])
+    two = files(spark, "t_us long, query string, answers string", [answers, [(beat, "-", "")]])
+    checkpoint = scratch_path(spark, "names")
+    with stateful.state_conf(spark):
+        got = {r.flow_id: r.name for r in ran(spark, stateful.stream_names(one, two), checkpoint=checkpoint).collect()}
+        due = spark.read.format("statestore").option("stateVarName", "due").option("path", checkpoint).load().count()
+    assert got == {i: f"n{i % 400}" for i in range(800)} and due <= 128
